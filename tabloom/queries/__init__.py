@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["profile"]
+FAMILIES = ["profile", "prepare"]
 
 
 def _merged(attribute: str) -> dict:

@@ -82,3 +82,8 @@ def nan_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(
         *[F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floats else col(c) for c in df.columns]
     )
+
+
+def null_safe_text(name: str) -> Column:
+    """The value as text, for grouping columns of any type under one key."""
+    return F.coalesce(col(name).cast("string"), F.lit("null"))
