@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tabloom.errors import PrepareError
 from tabloom.functions import stats
 from tabloom.functions.linalg import covariance, fix_signs, means, scatter
-from tabloom.plans.steps import Step, number, sql_double
+from tabloom.plans.steps import Projection, Step
 from tabloom.types import as_double, col
 
 STEP = "data_reduction"
@@ -31,13 +31,9 @@ def _frame(df: DataFrame, columns: Sequence[str], op: str, label: str) -> DataFr
     return df.select(*[as_double(df, c).alias(c) for c in columns])
 
 
-def _project(df: DataFrame, columns: Sequence[str], centre: np.ndarray, weights: np.ndarray, prefix: str) -> list:
-    """(name, SQL) of the projections (x - centre) @ weights."""
-    centred = [f"({sql_double(df, c)} - {number(m)})" for c, m in zip(columns, centre)]
-    return [
-        (f"{prefix}{k + 1}", " + ".join(f"{x} * {number(w)}" for x, w in zip(centred, weights[:, k])))
-        for k in range(weights.shape[1])
-    ]
+def _project(columns: Sequence[str], centre: np.ndarray, weights: np.ndarray, prefix: str) -> Projection:
+    names = [f"{prefix}{k + 1}" for k in range(weights.shape[1])]
+    return Projection(list(columns), [float(c) for c in centre], weights.tolist(), names)
 
 
 def pca_components(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +56,7 @@ def fit_pca(df: DataFrame, columns: Sequence[str]) -> Step:
         keep = min(int(np.searchsorted(share, PCA_VARIANCE, side="right")) + 1, most)
     else:
         keep = most - 1
-    return Step(STEP, "pca", add=_project(df, columns, centre, vectors[:, :keep], "PC"), drop=columns)
+    return Step(STEP, "pca", projection=_project(columns, centre, vectors[:, :keep], "PC"), drop=columns)
 
 
 def pca_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -122,7 +118,7 @@ def fit_lda(df: DataFrame, columns: Sequence[str], target: str) -> Step:
     frame = frame.withColumn("_class", F.coalesce("_class", F.lit("nan")))
     centre, directions, _ = lda_directions(frame, features, "_class")
     keep = min(len(features), present - 1)
-    return Step(STEP, "lda", add=_project(df, features, centre, directions[:, :keep], "LDA"), drop=features)
+    return Step(STEP, "lda", projection=_project(features, centre, directions[:, :keep], "LDA"), drop=features)
 
 
 def ica_directions(
@@ -174,7 +170,7 @@ def fit_ica(df: DataFrame, columns: Sequence[str], max_iter: int = ICA_MAX_ITER,
     k = max(1, min(len(columns) - 1, frame.count() - 1))
     centre, directions, _ = ica_directions(frame, columns, k, max_iter, seed=seed)
     directions = fix_signs(directions)
-    names = _project(df, columns, centre, directions, "IC")
-    got = stats.one_row(df, {name: F.kurtosis(F.expr(sql)) for name, sql in names})
-    order = sorted(range(len(names)), key=lambda i: -(got[names[i][0]] or 0.0))
-    return Step(STEP, "ica", add=_project(df, columns, centre, directions[:, order], "IC"), drop=columns)
+    parts = _project(columns, centre, directions, "IC")
+    got = stats.one_row(parts.apply(frame, columns), {name: F.kurtosis(name) for name in parts.names})
+    order = sorted(range(k), key=lambda i: -(got[f"IC{i + 1}"] or 0.0))
+    return Step(STEP, "ica", projection=_project(columns, centre, directions[:, order], "IC"), drop=columns)

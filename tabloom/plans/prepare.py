@@ -224,7 +224,7 @@ def _reduction(run: _Run, ops: list[str], numeric: list[str], seed: int) -> list
     else:
         step = reduce.fit_ica(run.df, numeric, seed=seed)
     run.add(step)
-    return [name for name, _ in step.add]
+    return list(step.projection.names)
 
 
 def _imbalance(run: _Run, ops: list[str], numeric: list[str], seed: int, artifacts: dict) -> None:

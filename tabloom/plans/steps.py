@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ def text(value: str) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+ARITHMETIC_TERMS = 256
+
+
 @dataclass
 class LookupTable:
     """(k, v, w): category, its value and its row count. Small tables (checked) are held
@@ -44,13 +49,46 @@ class LookupTable:
         return cls(frame.sparkSession.createDataFrame(rows, frame.schema), True)
 
 
+@dataclass
+class Projection:
+    """New columns ``(columns - centre) @ weights``. Small ones are plain arithmetic inside
+    generated code; large ones are one matrix product per Arrow batch."""
+
+    columns: list[str]
+    centre: list[float]
+    weights: list[list[float]]  # one list per input column
+    names: list[str]
+
+    def apply(self, df: DataFrame, drop: list[str]) -> DataFrame:
+        kept = [col(c) for c in df.columns if c not in drop]
+        if len(self.columns) * len(self.names) <= ARITHMETIC_TERMS:
+            return df.select(*kept, *[F.expr(sql).alias(name) for name, sql in self.sql(df)])
+        centre, weights = np.array(self.centre), np.array(self.weights)
+
+        @F.pandas_udf("array<double>")
+        def product(x: pd.DataFrame) -> pd.Series:
+            return pd.Series(list((x.to_numpy(dtype=float) - centre) @ weights))
+
+        inputs = F.struct(*[F.expr(sql_double(df, c)).alias(f"x{i}") for i, c in enumerate(self.columns)])
+        wide = df.select(*kept, product(inputs).alias("_projected"))
+        kept = [col(c) for c in df.columns if c not in drop]
+        return wide.select(*kept, *[F.get("_projected", F.lit(k)).alias(n) for k, n in enumerate(self.names)])
+
+    def sql(self, df: DataFrame) -> list[tuple[str, str]]:
+        centred = [f"({sql_double(df, c)} - {number(m)})" for c, m in zip(self.columns, self.centre)]
+        return [
+            (name, " + ".join(f"{x} * {number(row[k])}" for x, row in zip(centred, self.weights)))
+            for k, name in enumerate(self.names)
+        ]
+
+
 @dataclass
 class Step:
     """One fitted operation.
 
     ``replace`` and ``add`` map column names to SQL over the incoming columns,
     ``drop`` removes columns, ``where`` keeps matching rows, ``lookups`` replaces
-    categories by values. ``rows_only_in_fit`` marks changes of the fitted data that
+    categories by values, ``projection`` adds linear combinations. ``rows_only_in_fit`` marks changes of the fitted data that
     must not be repeated on later data (de-duplication, synthetic rows).
     """
 
@@ -61,6 +99,7 @@ class Step:
     drop: list[str] = field(default_factory=list)
     where: str | None = None
     lookups: list[tuple[str, LookupTable, float | None, bool]] = field(default_factory=list)
+    projection: Projection | None = None
     rows_only_in_fit: Callable[[DataFrame], DataFrame] | None = None
 
     def apply(self, df: DataFrame, fitting: bool = False) -> DataFrame:
@@ -74,6 +113,8 @@ class Step:
             df = lookup_join(
                 df, column, table.frame, "k", "v", None if default is None else F.lit(default), "w", small=table.small
             )
+        if self.projection is not None:
+            return self.projection.apply(df, self.drop)
         if self.replace or self.add or self.drop:
             gone = set(self.drop)
             kept = [
@@ -106,7 +147,8 @@ class FittedPreparation:
                 table.frame.write.parquet(f"{path}/lookup-{i}-{j}")
                 tables.append([column, f"lookup-{i}-{j}", table.small, default, null_text])
             described.append(
-                {"step": s.step, "op": s.op, "replace": s.replace, "add": s.add, "drop": s.drop, "where": s.where, "lookups": tables}
+                {"step": s.step, "op": s.op, "replace": s.replace, "add": s.add, "drop": s.drop, "where": s.where, "lookups": tables,
+                 "projection": asdict(s.projection) if s.projection else None}
             )
         spark.createDataFrame([(json.dumps(described),)], "steps string").coalesce(1).write.parquet(f"{path}/steps")
 
@@ -119,7 +161,8 @@ class FittedPreparation:
                 for column, where, small, default, null_text in d["lookups"]
             ]
             add = [(n, e) for n, e in d["add"]]
-            steps.append(Step(d["step"], d["op"], d["replace"], add, d["drop"], d["where"], lookups))
+            projection = Projection(**d["projection"]) if d["projection"] else None
+            steps.append(Step(d["step"], d["op"], d["replace"], add, d["drop"], d["where"], lookups, projection))
         return cls(steps)
 
 
