@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["profile", "prepare"]
+FAMILIES = ["profile", "prepare", "metrics"]
 
 
 def _merged(attribute: str) -> dict:
