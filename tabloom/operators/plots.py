@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import stats
 from tabloom.operators.profile import FENCE
+from tabloom.operators.sampling import sample_cap
 from tabloom.types import as_double, col, dtype_of, is_numeric
 
 SCATTER_POINTS = 2000
@@ -90,14 +92,16 @@ def box_outliers(df: DataFrame, column: str, limit: int = BOX_OUTLIERS) -> DataF
     return outer.orderBy("v").limit(limit).select(F.round("v", 4).alias("outlier"))
 
 
-def scatter_points(df: DataFrame, x: str, y: str, limit: int = SCATTER_POINTS, seed: int = 42) -> DataFrame:
-    """Up to ``limit`` complete pairs, chosen by a seeded hash so that reruns agree."""
+def scatter_points(
+    df: DataFrame, x: str, y: str, limit: int = SCATTER_POINTS, seed: int = 42, key: Sequence[str] | None = None
+) -> DataFrame:
+    """Up to ``limit`` complete pairs; with a key, reruns give the same ones."""
     _require_numeric(df, x)
     _require_numeric(df, y)
-    pairs = df.select(as_double(df, x).alias("x"), as_double(df, y).alias("y")).dropna()
-    # xxhash64 of the pair alone would keep or drop all copies of a pair together;
-    # that is harmless here because a limit cuts through equal hashes as well
-    return pairs.orderBy(F.xxhash64("x", "y", F.lit(seed)), "x", "y").limit(limit)
+    keys = [col(k).alias(f"k{i}") for i, k in enumerate(key or ())]
+    pairs = df.select(as_double(df, x).alias("x"), as_double(df, y).alias("y"), *keys).dropna(subset=["x", "y"])
+    names = [f"k{i}" for i in range(len(keys))] or None
+    return sample_cap(pairs, limit, seed, names).select("x", "y")
 
 
 def bar_counts(df: DataFrame, column: str, limit: int = BAR_CATEGORIES) -> DataFrame:

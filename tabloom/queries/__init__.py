@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["profile", "prepare", "metrics"]
+FAMILIES = ["profile", "prepare", "metrics", "catalog", "sql"]
 
 
 def _merged(attribute: str) -> dict:

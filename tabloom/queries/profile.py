@@ -68,7 +68,9 @@ QUERIES: QueryMap = {
     "histogram_events": lambda s, d: plots.histogram(table(s, d, "events"), "value"),
     "box_summary": lambda s, d: plots.box_summary(lineitem_x(s, d), "qty_o"),
     "box_outliers": lambda s, d: plots.box_outliers(lineitem_x(s, d), "qty_o"),
-    "scatter_sample": lambda s, d: plots.scatter_points(lineitem_x(s, d), "price_n", "l_quantity"),
+    "scatter_sample": lambda s, d: plots.scatter_points(
+        lineitem_x(s, d), "price_n", "l_quantity", key=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    ),
     "bar_counts": lambda s, d: plots.bar_counts(table(s, d, "part"), "p_type"),
 }
 
