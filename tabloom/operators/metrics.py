@@ -170,16 +170,22 @@ def roc_auc(df: DataFrame, positive: Column, score: str, digits: int | None = 4,
     return out if digits is None else out.select("metric", F.round("value", digits).alias("value"))
 
 
-def roc_auc_ovr(df: DataFrame, actual: str, scores: Mapping[object, str]) -> float | None:
-    """One-vs-rest area per class, weighted by class frequency."""
-    sizes = {r[0]: r[1] for r in df.groupBy(actual).count().collect() if r[0] in scores}
-    total, area = sum(sizes.values()), 0.0
-    for label, n in sizes.items():
-        one = auc_value(df, F.col(actual) == F.lit(label), scores[label])
-        if one is None:
-            return None
-        area += one * n / total
-    return area
+def roc_auc_ovr(df: DataFrame, actual: str, scores: Mapping[object, str], ranges: int | None = None) -> float | None:
+    """One-vs-rest areas weighted by class frequency, all classes in one pass."""
+    cells = [F.struct(F.lit(i).alias("c"), F.col(s).alias("score"), (F.col(actual) == F.lit(label)).alias("hit")) for i, (label, s) in enumerate(scores.items())]
+    long = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*").where("score IS NOT NULL AND hit IS NOT NULL")
+    grouped = materialize(
+        long.groupBy("c", "score").agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
+    )
+    ranked = running_sums(grouped, "score", {"below": "neg"}, by=["c"], ranges=ranges)
+    per = ranked.groupBy("c").agg(
+        F.sum(F.col("pos") * (F.col("below") - F.col("neg") + F.col("neg") / 2.0)).alias("u"),
+        F.sum("pos").cast("double").alias("p"),
+        F.sum("neg").cast("double").alias("n"),
+    ).collect()
+    if not per or any(not r["p"] or not r["n"] for r in per):
+        return None
+    return sum(r["u"] / r["n"] for r in per) / sum(r["p"] for r in per)
 
 
 def _clip_probability(p: Column) -> Column:

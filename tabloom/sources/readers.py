@@ -17,8 +17,6 @@ NA_TEXTS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-CORRUPT = "_corrupt_record"
-
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, sampling_ratio: float = 1.0, multi_line: bool | None = None
@@ -84,25 +82,13 @@ def _infer(raw: DataFrame, sampling_ratio: float) -> T.StructType:
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """One object per line, or whole-file arrays of objects when no line is an object."""
+    """One object per line, or whole-file arrays of objects (or one object over several
+    lines), told apart by the first line."""
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    first = head[0]["value"].strip() if head else "{}"
+    whole_file = not (first.startswith("{") and first.endswith("}"))
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    lines = reader.json(path)
-    if schema is None and not _only_corrupt(lines):
-        return nan_to_null(lines)
-    if schema is not None:
-        marked = spark.read.schema(_with_corrupt(spark, schema)).json(path)
-        good = marked.where(F.col(CORRUPT).isNull()).limit(1).count()
-        if good or marked.limit(1).count() == 0:
-            return nan_to_null(lines)
-    return nan_to_null(reader.option("multiLine", True).json(path))
-
-
-def _with_corrupt(spark: SparkSession, schema) -> T.StructType:
-    return T.StructType(list(_struct(spark, schema).fields) + [T.StructField(CORRUPT, T.StringType())])
-
-
-def _only_corrupt(df: DataFrame) -> bool:
-    return df.columns == [CORRUPT]
+    return nan_to_null(reader.option("multiLine", whole_file).json(path))
 
 
 def read_parquet(spark: SparkSession, path: str, keep_nan: bool = False) -> DataFrame:
