@@ -18,25 +18,27 @@ MAX_RANGES = 1024
 SAMPLE_PER_RANGE = 32
 
 
-def split_values(df: DataFrame, order: str, ranges: int) -> list:
-    """``ranges - 1`` values cutting the distinct values of ``order`` evenly.
-
-    The sample is the values with the smallest hashes, so it does not depend on
-    how the rows are partitioned, and it is at most a few thousand values.
-    """
+def hashed_values(df: DataFrame, column: str, want: int, rows: int) -> list:
+    """About ``want`` or more distinct values of a column (all, if there are fewer), chosen
+    by the smallest hashes, so that neither partitioning nor copies matter. Only values
+    below a hash bound are shuffled; the bound is raised until enough are found."""
+    values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
+    buckets = 1 << 30
+    share = min(1.0, 4.0 * want / max(rows, 1))
+    while True:
+        kept = values if share >= 1.0 else values.where(F.pmod(F.xxhash64("v"), F.lit(buckets)) < int(share * buckets))
+        distinct = kept.groupBy("v").agg(F.xxhash64(F.first("v")).alias("h"))
+        picked = distinct.orderBy(F.pmod("h", F.lit(buckets)), "v").limit(want).collect()
+        if len(picked) >= want or share >= 1.0:
+            return [r["v"] for r in picked]
+        share = min(1.0, share * 64)
+
+
+def split_values(df: DataFrame, order: str, ranges: int, rows: int) -> list:
+    """``ranges - 1`` values cutting the distinct values of ``order`` about evenly."""
     if ranges < 2:
         return []
-    want = ranges * SAMPLE_PER_RANGE
-    picked = (
-        df.select(F.col(order).alias("v"))
-        .where(F.col("v").isNotNull())
-        .groupBy("v")
-        .agg(F.xxhash64(F.first("v")).alias("h"))
-        .orderBy("h", "v")
-        .limit(want)
-        .collect()
-    )
-    values = sorted(r["v"] for r in picked)
+    values = sorted(hashed_values(df, order, ranges * SAMPLE_PER_RANGE, rows))
     step = len(values) / ranges
     return list(dict.fromkeys(values[int(i * step)] for i in range(1, ranges) if int(i * step) < len(values)))
 
@@ -70,9 +72,9 @@ def running_sums(
     ``order`` should be unique within ``by`` (aggregate equal values first).
     ``df`` is read twice, so hand in something deterministic.
     """
-    if ranges is None:
-        ranges = ranges_for(df.count())
-    splits = split_values(df, order, ranges)
+    rows = df.count()
+    ranges = ranges or ranges_for(rows)
+    splits = split_values(df, order, ranges, rows)
     frame = df.withColumn("_range", range_of(F.col(order), splits))
     totals = frame.groupBy(*by, "_range").agg(*[F.sum(src).alias(f"_t_{new}") for new, src in sums.items()])
     direction = F.col("_range").desc() if descending else F.col("_range").asc()
@@ -117,9 +119,9 @@ def asof_join(
     wins, so that the result does not depend on row order.
     """
     by = list(by)
-    if ranges is None:
-        ranges = ranges_for(left.count() + right.count())
-    splits = split_values(left.select(on).unionByName(right.select(on)), on, ranges)
+    rows = left.count() + right.count()
+    ranges = ranges or ranges_for(rows)
+    splits = split_values(left.select(on).unionByName(right.select(on)), on, ranges, rows)
     payload_cols = [c for c in right.columns if c not in by]
     payload = F.struct(*[F.col(c).alias(c) for c in [on] + [c for c in payload_cols if c != on]])
     left_struct = F.struct(*[F.col(c).alias(c) for c in left.columns])

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.lookup import lookup_join
+from tabloom.functions.lookup import fits_broadcast, lookup_join
 from tabloom.functions.ordered import first_per_group
 
 TTL_HOURS = 6
@@ -80,10 +80,11 @@ def breadcrumbs(nodes: DataFrame, id_: str = "id", parent: str = "parent_id", na
     )
     step = F.struct(F.col(id_).alias("id"), F.col(name).alias("name"))
     walk = nodes.select(F.col(id_).alias("id"), F.col(parent).alias("up"), F.array(step).alias("path"))
+    small = fits_broadcast(table, "k")
     for _ in range(max_depth):
         if walk.where(F.col("up").isNotNull()).limit(1).count() == 0:
             return walk.select("id", "path")
-        joined = lookup_join(walk, "up", table, "k", "v", weight="w", into="_v")
+        joined = lookup_join(walk, "up", table, "k", "v", weight="w", small=small, into="_v")
         here = F.array(F.struct(F.col("_v")["id"].alias("id"), F.col("_v")["name"].alias("name")))
         walk = joined.select(
             "id", F.col("_v")["up"].alias("up"), F.when(F.col("_v").isNull(), F.col("path")).otherwise(F.concat(here, "path")).alias("path")

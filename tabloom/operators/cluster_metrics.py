@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions import stats
 from tabloom.types import as_double
 
 BLOCK_ROWS = 2048
@@ -35,10 +36,11 @@ def calinski_harabasz(df: DataFrame, columns: Sequence[str], cluster: str) -> Da
     """(B / (k - 1)) / (W / (n - k)) from per-cluster means and variances."""
     d = len(columns)
     points = _points(df, columns, cluster)
-    overall = points.agg(*[F.avg(f"x{i}").alias(f"g{i}") for i in range(d)])
-    between = sum((F.pow(F.col(f"m{i}") - F.col(f"g{i}"), F.lit(2)) for i in range(1, d)), F.pow(F.col("m0") - F.col("g0"), F.lit(2)))
+    overall = stats.one_row(points, {i: F.avg(f"x{i}") for i in range(d)})
+    gap = lambda i: F.pow(F.col(f"m{i}") - F.lit(overall[i]), F.lit(2))
+    between = sum((gap(i) for i in range(1, d)), gap(0))
     within = sum((F.col(f"v{i}") for i in range(1, d)), F.col("v0"))
-    got = centroids(points, d).join(F.broadcast(overall)).agg(
+    got = centroids(points, d).agg(
         F.sum(F.col("n") * between).alias("b"),
         F.sum(F.col("n") * within).alias("w"),
         F.sum("n").alias("n"),
@@ -92,7 +94,7 @@ def silhouette_squared(df: DataFrame, columns: Sequence[str], cluster: str) -> D
     points = _points(df, columns, cluster)
     within = sum((F.col(f"v{i}") for i in range(1, d)), F.col("v0"))
     table = centroids(points, d).select("c", "n", within.alias("v"), F.array(*[F.col(f"m{i}") for i in range(d)]).alias("m"))
-    # one struct per cluster, attached to every row as a single array
+    # one row holding one struct per cluster, attached to every point
     every = table.agg(F.collect_list(F.struct("c", "n", "v", "m")).alias("all"))
     x = F.array(*[F.col(f"x{i}") for i in range(d)])
 

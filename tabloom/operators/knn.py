@@ -18,10 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.ordered import hashed_values
 from tabloom.session import materialize
 
 CELL_ROWS = 4096
 MAX_LEAVES = 1024
+BROADCAST_CHUNKS = 500_000  # three integers each
 TREE_SAMPLE = 8192
 METRICS = ("euclidean", "manhattan", "minkowski", "chebyshev", "nan_euclidean")
 
@@ -128,8 +130,7 @@ def _lay_out(train: DataFrame, cell_rows: int) -> tuple[_Tree, _Cells]:
         depth += 1
     sample = np.zeros((0, 1))
     if depth:
-        picked = train.select("tid", "vec").orderBy(F.xxhash64("tid"), "tid").limit(TREE_SAMPLE).select("vec").toPandas()
-        sample = _matrix(picked["vec"])
+        sample = _matrix(pd.Series(hashed_values(train, "vec", TREE_SAMPLE, n)))
     tree = _Tree(sample, depth)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,7 +277,7 @@ def nearest(
             yield assigned(batch, allowed & near & ~home_cells(lower, allowed))
 
     spread = f"qid {qid_t}, vec array<double>, need int, cell int, tc int"
-    found = _search(queries.mapInPandas(first_round, spread), laid, k, metric, skip_self, cell_rows, masked)
+    found = _search(queries.mapInPandas(first_round, spread), laid, k, metric, skip_self, cell_rows, masked, int(t_chunks.sum()))
     found = _merge(found, k)
     if len(parts) > 1 and (masked or len(set(parts)) < len(parts)):
         found = materialize(found)
@@ -284,7 +285,7 @@ def nearest(
             F.when(F.sum("taken") >= k, F.max("dist")).otherwise(F.lit(float("nan"))).alias("reach")
         )
         bounded = queries.join(reach, "qid", "left")
-        more = _search(bounded.mapInPandas(second_round, spread), laid, k, metric, skip_self, cell_rows, masked)
+        more = _search(bounded.mapInPandas(second_round, spread), laid, k, metric, skip_self, cell_rows, masked, int(t_chunks.sum()))
         found = _merge(found.drop("taken").unionByName(more), k)
     return found
 
@@ -295,11 +296,12 @@ def _uniform(parts: np.ndarray) -> bool:
 
 
 def _search(
-    asked: DataFrame, laid: DataFrame, k: int, metric: Metric, skip_self: bool, chunk: int, masked: bool
+    asked: DataFrame, laid: DataFrame, k: int, metric: Metric, skip_self: bool, chunk: int, masked: bool, chunks: int
 ) -> DataFrame:
     """Search every (cell, chunk) for the queries sent to it; k rows per query and chunk."""
-    # queries per (cell, chunk): at most MAX_LEAVES * parts * chunks small rows, kept distributed
+    # one small row per (cell, chunk) that is asked; `chunks` is their exact number at most
     load = asked.groupBy("cell", "tc").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("qn"))
+    load = F.broadcast(load) if chunks <= BROADCAST_CHUNKS else load
     keys = ["cell", "tc"]
     sliced = asked.join(load, keys).withColumn("qc", F.pmod(F.xxhash64("qid", "need"), F.col("qn")).cast("int")).drop("qn")
     copied = laid.join(load, keys).withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).drop("qn")

@@ -288,10 +288,9 @@ def _corr_long(frame: DataFrame, columns: list[str], full: bool) -> DataFrame:
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """Balanced weights rows / (classes * rows of the class)."""
     counts = df.where(col(target).isNotNull()).groupBy(col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_classes"))
-    return counts.join(F.broadcast(total)).select(
-        "class", "n", (F.col("_rows") / (F.col("_classes") * F.col("n"))).alias("weight")
-    )
+    total = stats.one_row(counts, {"rows": F.sum("n"), "classes": F.count(F.lit(1))})
+    share = F.lit(float(total["rows"] or 0)) / (F.lit(float(total["classes"] or 1)) * F.col("n"))
+    return counts.select("class", "n", share.alias("weight"))
 
 
 def owner_counts(df: DataFrame, owner: str, flags: Mapping[str, Column]) -> DataFrame:

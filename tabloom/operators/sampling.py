@@ -14,20 +14,35 @@ SAMPLE_ROWS = 10_000
 TEST_PERCENT = 20
 
 
+STEPS = 1 << 40
+
+
 def _draw(key: Sequence[str] | None, seed: int) -> Column:
-    """A pseudo-random order: a hash of the key, or plain random numbers. Hashing whole
-    rows would move all copies of a row together, so it is not an option here."""
+    """A pseudo-random number in [0, 1) per row: a hash of the key, or plain random. Hashing
+    whole rows would move all copies of a row together, so it is not an option here."""
     if key:
-        return F.xxhash64(*[col(k) for k in key], F.lit(seed))
+        return F.pmod(F.xxhash64(*[col(k) for k in key], F.lit(seed)), F.lit(STEPS)) / F.lit(float(STEPS))
     return F.rand(seed)
 
 
 def sample_cap(df: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
-    """Exactly ``rows`` rows (all of them when there are fewer). Only the running best
-    ``rows`` of every partition move. Without a key the sample is written once."""
-    ordered = df.withColumn("_draw", _draw(key, seed)).orderBy("_draw", *[col(k) for k in key or ()])
-    picked = ordered.limit(rows).drop("_draw")
-    return picked if key else materialize(picked)
+    """Exactly ``rows`` rows (all of them when there are fewer), picked by the smallest draws.
+
+    A bound on the draw first thins the table to about twice the wanted rows, so that
+    ordering touches only those. Without a key the thinned rows are written once.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    share = (2.0 * rows + 100.0) / total
+    drawn = df.withColumn("_draw", _draw(key, seed))
+    thin = drawn.where(F.col("_draw") < share) if share < 1.0 else drawn
+    if not key:
+        thin = materialize(thin)
+    if share < 1.0 and thin.count() < rows:
+        # a key with few distinct values draws unevenly; then order everything
+        thin = drawn if key else materialize(df.withColumn("_draw", _draw(key, seed)))
+    return thin.orderBy("_draw", *[col(k) for k in key or ()]).limit(rows).drop("_draw")
 
 
 def train_test_split(
@@ -35,17 +50,15 @@ def train_test_split(
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test). With a key the side of a row is a hash of it and no data moves.
     Without one, sides are drawn at random and written once, so both frames agree."""
-    share = F.lit(test_percent)
+    side = _draw(key, seed) < test_percent / 100.0
     if key:
-        side = F.pmod(_draw(key, seed), F.lit(100)) < share
         return df.where(~side), df.where(side)
-    drawn = materialize(df.withColumn("_test", F.rand(seed) * 100 < share))
+    drawn = materialize(df.withColumn("_test", side))
     return drawn.where(~F.col("_test")).drop("_test"), drawn.where("_test").drop("_test")
 
 
 def folds(df: DataFrame, k: int = 3, seed: int = 42, key: Sequence[str] | None = None, name: str = "fold") -> DataFrame:
     """A fold number per row. Hashing spreads every class evenly over the folds without
     ranking the rows of a class, which would put a frequent class into one task."""
-    if key:
-        return df.withColumn(name, F.pmod(F.xxhash64(*[col(c) for c in key], F.lit(seed)), F.lit(k)).cast("int"))
-    return materialize(df.withColumn(name, F.floor(F.rand(seed) * k).cast("int")))
+    drawn = df.withColumn(name, F.floor(_draw(key, seed) * k).cast("int"))
+    return drawn if key else materialize(drawn)

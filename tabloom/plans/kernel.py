@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.ordered import hashed_values
 from tabloom.plans.features import FEATURES
 
 LANDMARKS = 200
@@ -67,9 +68,8 @@ def fit_map(df: DataFrame, name: str, gamma, degree: int, landmarks: int = LANDM
     """Landmarks are distinct feature vectors with the smallest hashes: a uniform sample
     of bounded size, the same for any partitioning."""
     g = gamma_value(df, gamma)
-    rows = df.select(vector_to_array(FEATURES).alias("x")).groupBy("x").count()
-    picked = rows.orderBy(F.xxhash64("x"), "x").limit(landmarks).select("x").collect()
-    points = np.array([r["x"] for r in picked], dtype=float)
+    rows = df.select(vector_to_array(FEATURES).alias("x"))
+    points = np.array(hashed_values(rows, "x", landmarks, rows.count()), dtype=float)
     values, vectors = np.linalg.eigh(kernel(name, points, points, g, degree))
     keep = values > 1e-8 * max(values.max(), 1e-300)
     weights = vectors[:, keep] / np.sqrt(values[keep])

@@ -32,6 +32,7 @@ LABEL = "_label"
 MAX_DEPTH = 30  # the deepest tree Spark grows
 MAX_BINS = 256
 PARALLEL_CLASSES = 8  # one-vs-rest fits that run side by side
+SVM_TOL = 1e-4
 
 
 @dataclass
@@ -220,7 +221,7 @@ def fit_estimator(algorithm: str, task: str, data: DataFrame, p: dict, seed: int
         mapped = None if p["kernel"] == "linear" else fit_map(data, p["kernel"], p["gamma"], p["degree"])
         frame = mapped.apply(data) if mapped else data
         n = data.count()
-        svc = LinearSVC(regParam=1.0 / (p["C"] * max(n, 1)), standardization=False, **common)
+        svc = LinearSVC(regParam=1.0 / (p["C"] * max(n, 1)), standardization=False, tol=SVM_TOL, **common)
         if p.get("class_weight") == "balanced":
             sizes = {r[LABEL]: r["count"] for r in data.groupBy(LABEL).count().collect()}
             weight = F.lit(1.0)
