@@ -17,7 +17,7 @@ from tabloom.types import as_double, col
 
 # up to this many rows the built-in exact `percentile` keeps every value of the
 # column in one aggregation buffer; beyond it ranks are found by narrowing
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 100_000
 # most rows of one narrowed bracket whose values may reach the driver
 VALUE_LIMIT = 10_000
 ACCURACY = 10_000
@@ -95,7 +95,7 @@ def sample_kurtosis(n: Column, kurt: Column) -> Column:
 
 @dataclass
 class _Bracket:
-    """An open interval (lo, hi) known to hold the wanted rank."""
+    """An open interval (lo, hi) known to hold the wanted rank, and what lies in it."""
 
     column: str
     rank: int
@@ -105,14 +105,40 @@ class _Bracket:
     hi: float | None = None
     value: float | None = None
 
-    def inside(self) -> Column:
-        x = col(self.column)
-        cond = x.isNotNull()
-        if self.lo is not None:
-            cond = cond & (x > self.lo)
-        if self.hi is not None:
-            cond = cond & (x < self.hi)
-        return cond
+    @property
+    def span(self) -> tuple:
+        return self.column, self.lo, self.hi
+
+    def probes(self, eps: float) -> list[float]:
+        q = (self.rank - self.below) / max(self.rows - 1, 1)
+        return [max(q - eps, 0.0), min(q + eps, 1.0)]
+
+    def narrow(self, lo: float, hi: float, ranks: Mapping[tuple[str, float], tuple[int, int]]) -> None:
+        """``ranks`` gives the rows below and up to each bound. A bound that holds the rank
+        is the answer; otherwise the rank lies before, between or behind the bounds."""
+        before_lo, upto_lo = ranks[(self.column, lo)]
+        before_hi, upto_hi = ranks[(self.column, hi)]
+        end = self.below + self.rows
+        if self.rank < before_lo:
+            self.hi, self.rows = lo, before_lo - self.below
+        elif self.rank < upto_lo:
+            self.value = lo
+        elif self.rank < before_hi:
+            self.lo, self.hi, self.below, self.rows = lo, hi, upto_lo, before_hi - upto_lo
+        elif self.rank < upto_hi:
+            self.value = hi
+        else:
+            self.lo, self.below, self.rows = hi, upto_hi, end - upto_hi
+
+
+def _inside(column: str, lo: float | None, hi: float | None) -> Column:
+    x = col(column)
+    cond = x.isNotNull()
+    if lo is not None:
+        cond = cond & (x > lo)
+    if hi is not None:
+        cond = cond & (x < hi)
+    return cond
 
 
 def order_statistics(
@@ -124,52 +150,42 @@ def order_statistics(
 ) -> dict[tuple[str, int], float]:
     """Exact k-th smallest values (0-based ranks) of DOUBLE columns.
 
-    Each round takes a quantile sketch of what lies inside every open bracket,
-    then counts rows below, on and between its two bounds. A bound that holds
-    the rank is the answer, so heavily repeated values end the search instead
-    of slowing it; otherwise the bracket shrinks by about ``accuracy / 4``.
+    Each round takes one quantile sketch per open interval, then counts the rows below
+    and at every bound. Heavily repeated values become bounds and end the search instead
+    of slowing it; any other interval shrinks by about ``accuracy / 4`` per round.
     """
     brackets = [_Bracket(c, k, counts[c]) for c, k in dict.fromkeys(wanted)]
     open_ = [b for b in brackets if b.rows > value_limit]
     eps = 2.0 / accuracy
     while open_:
-        sketch = {}
-        for i, b in enumerate(open_):
-            q = (b.rank - b.below) / max(b.rows - 1, 1)
-            probes = [max(q - eps, 0.0), min(q + eps, 1.0)]
-            sketch[i] = F.percentile_approx(F.when(b.inside(), col(b.column)), probes, accuracy)
-        bounds = one_row(frame, sketch)
+        probes: dict[tuple, list[float]] = {}
+        for b in open_:
+            probes.setdefault(b.span, []).extend(b.probes(eps))
+        sketches = one_row(
+            frame, {s: F.percentile_approx(F.when(_inside(*s), col(s[0])), p, accuracy) for s, p in probes.items()}
+        )
+        bounds: dict[int, tuple[float, float]] = {}
+        taken = dict.fromkeys(probes, 0)
+        for b in open_:
+            at = taken[b.span]
+            bounds[id(b)] = (sketches[b.span][at], sketches[b.span][at + 1])
+            taken[b.span] = at + 2
+        edges = sorted({(b.column, e) for b in open_ for e in bounds[id(b)]})
         aggs = {}
-        for i, b in enumerate(open_):
-            x, (lo, hi) = col(b.column), bounds[i]
-            aggs[(i, "lt")] = F.count_if(b.inside() & (x < lo))
-            aggs[(i, "lo")] = F.count_if(x == lo)
-            aggs[(i, "mid")] = F.count_if((x > lo) & (x < hi))
-            aggs[(i, "hi")] = F.count_if(x == hi)
+        for c, e in edges:
+            aggs[(c, e, "below")] = F.count_if(col(c) < e)
+            aggs[(c, e, "upto")] = F.count_if(col(c) <= e)
         got = one_row(frame, aggs)
-        for i, b in enumerate(open_):
-            lo, hi = bounds[i]
-            at_lo = b.below + got[(i, "lt")]
-            at_mid = at_lo + got[(i, "lo")]
-            at_hi = at_mid + got[(i, "mid")]
-            past = at_hi + (got[(i, "hi")] if hi > lo else 0)
-            total = b.below + b.rows
-            if b.rank < at_lo:
-                b.hi, b.rows = lo, at_lo - b.below
-            elif b.rank < at_mid:
-                b.value = lo
-            elif b.rank < at_hi:
-                b.lo, b.hi, b.below, b.rows = lo, hi, at_mid, at_hi - at_mid
-            elif b.rank < past:
-                b.value = hi
-            else:
-                b.lo, b.below, b.rows = hi, past, total - past
+        ranks = {(c, e): (got[(c, e, "below")], got[(c, e, "upto")]) for c, e in edges}
+        for b in open_:
+            b.narrow(*bounds[id(b)], ranks)
         open_ = [b for b in open_ if b.value is None and b.rows > value_limit]
 
     left = [b for b in brackets if b.value is None]
     if left:
+        spans = list(dict.fromkeys(b.span for b in left))
         tagged = F.array(
-            *[F.when(b.inside(), F.struct(F.lit(i).alias("i"), col(b.column).alias("v"))) for i, b in enumerate(left)]
+            *[F.when(_inside(*s), F.struct(F.lit(i).alias("i"), col(s[0]).alias("v"))) for i, s in enumerate(spans)]
         )
         counted = (
             frame.select(F.explode(F.filter(tagged, lambda s: s.isNotNull())).alias("s"))
@@ -178,10 +194,10 @@ def order_statistics(
             .toPandas()
             .sort_values(["i", "v"])
         )
-        for i, part in counted.groupby("i"):
-            b = left[int(i)]
-            reached = part["n"].cumsum().to_numpy()
-            b.value = float(part["v"].to_numpy()[(reached > b.rank - b.below).argmax()])
+        parts = {int(i): (p["v"].to_numpy(), p["n"].cumsum().to_numpy()) for i, p in counted.groupby("i")}
+        for b in left:
+            values, reached = parts[spans.index(b.span)]
+            b.value = float(values[(reached > b.rank - b.below).argmax()])
     return {(b.column, b.rank): b.value for b in brackets}
 
 

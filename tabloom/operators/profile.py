@@ -270,10 +270,14 @@ def _corr(a: Column, b: Column) -> Column:
 
 def _corr_long(frame: DataFrame, columns: list[str], full: bool) -> DataFrame:
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    aggs = [_corr(col(columns[i]), col(columns[j])).alias(f"p{i}_{j}") for i, j in pairs]
-    if full:
+    if full:  # every row is complete, so one spread per column serves all its pairs
+        aggs = [F.covar_pop(col(columns[i]), col(columns[j])).alias(f"c{i}_{j}") for i, j in pairs]
         aggs += [F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(columns)]
-    wide = frame.agg(*(aggs or [F.count(F.lit(1)).alias("_n")]))
+        ratio = lambda i, j: F.col(f"c{i}_{j}") / F.nullif(F.col(f"s{i}") * F.col(f"s{j}"), F.lit(0.0))
+        wide = frame.agg(*aggs).select("*", *[ratio(i, j).alias(f"p{i}_{j}") for i, j in pairs])
+    else:
+        aggs = [_corr(col(columns[i]), col(columns[j])).alias(f"p{i}_{j}") for i, j in pairs]
+        wide = frame.agg(*(aggs or [F.count(F.lit(1)).alias("_n")]))
 
     def cell(i: int, j: int, value: Column) -> Column:
         return F.struct(F.lit(columns[i]).alias("col_a"), F.lit(columns[j]).alias("col_b"), value.alias("corr"))

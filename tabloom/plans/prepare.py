@@ -13,10 +13,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 
 from tabloom.errors import PrepareError
-from tabloom.functions import stats
 from tabloom.operators import balance, encode, knn_impute, missing, outliers, reduce, scale, select, transform
 from tabloom.plans.steps import FittedPreparation, Step
-from tabloom.types import dtype_of, is_numeric, nan_to_null, numeric_columns
+from tabloom.session import working_copy
+from tabloom.types import dtype_of, is_numeric, nan_to_null
 
 # fixed values: steps in the order they run, each with its operations by precedence
 STEPS = {
@@ -94,8 +94,32 @@ def prepare(
                 raise PrepareError(step, op, "Unknown operation.")
     asked = lambda step: [o for o in STEPS[step] if o in chosen.get(step, ())]
 
-    run = _Run(nan_to_null(df), attributes, target)
+    clean = nan_to_null(df)
     artifacts: dict[str, DataFrame] = {}
+    # steps that build rows are computed once, so their result is kept as it is
+    builds_rows = "knn" in asked("missing_values") or "smote" in asked("imbalanced_data")
+    if builds_rows:
+        run = _Run(clean, attributes, target)
+        _fit(run, asked, values, max_categories, seed, artifacts)
+        out = run.df
+    else:
+        with working_copy(clean) as held:
+            run = _Run(held, attributes, target)
+            _fit(run, asked, values, max_categories, seed, artifacts)
+        out = clean
+        for step in run.steps:
+            out = step.apply(out, fitting=True)
+        if "class_weights" in artifacts:
+            artifacts["class_weights"] = balance.class_weights(out, target)
+
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    log = [(step, op, list(attributes), now) for step, ops in chosen.items() for op in ops]
+    schema = "step_type string, op_name string, attributes array<string>, ts timestamp_ntz"
+    step_log = df.sparkSession.createDataFrame(log, schema)
+    return PrepareResult(out, step_log, FittedPreparation(run.steps), artifacts)
+
+
+def _fit(run: _Run, asked, values, max_categories: int, seed: int, artifacts: dict[str, DataFrame]) -> None:
     _drop(run, asked("drop_columns"))
     numeric, categorical = run.numeric(), run.categorical()
     _missing(run, asked("missing_values"), numeric, values)
@@ -108,12 +132,6 @@ def prepare(
     numeric = _reduction(run, asked("data_reduction"), numeric, seed)
     _imbalance(run, asked("imbalanced_data"), numeric, seed, artifacts)
 
-    now = datetime.now(timezone.utc).replace(tzinfo=None)
-    log = [(step, op, list(attributes), now) for step, ops in chosen.items() for op in ops]
-    schema = "step_type string, op_name string, attributes array<string>, ts timestamp_ntz"
-    step_log = df.sparkSession.createDataFrame(log, schema)
-    return PrepareResult(run.df, step_log, FittedPreparation(run.steps), artifacts)
-
 
 def _drop(run: _Run, ops: list[str]) -> None:
     if "remove_duplicates" in ops:
@@ -236,6 +254,3 @@ def _imbalance(run: _Run, ops: list[str], numeric: list[str], seed: int, artifac
         run.add(balance.fit_smote(features, target, seed))
     if "class_weights" in ops:
         artifacts["class_weights"] = balance.class_weights(run.df, target)
-
-
-__all__ = ["STEPS", "PrepareResult", "prepare", "numeric_columns", "stats"]

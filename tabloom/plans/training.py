@@ -19,6 +19,7 @@ from tabloom.operators.sampling import SAMPLE_ROWS, folds, sample_cap, train_tes
 from tabloom.plans import registry
 from tabloom.plans.features import FEATURES, feature_columns, fit_features, with_features
 from tabloom.plans.models import LABEL, FittedModel, KnnTable, fit_estimator
+from tabloom.session import working_copy
 from tabloom.types import as_double, col, dtype_of, is_numeric, nan_to_null
 
 MAX_CLASSES = 1000
@@ -85,7 +86,12 @@ def fit_model(
     params = registry.resolve(algorithm, hyperparameters)
     if task != "clustering" and (not target or target not in df.columns):
         raise TrainError(f"Target column '{target}' not found in dataset columns: {df.columns}")
-    clean = nan_to_null(df).dropna()
+    with working_copy(nan_to_null(df).dropna()) as clean:
+        return _fit(clean, algorithm, task, target, params, key, seed)
+
+
+def _fit(clean: DataFrame, algorithm: str, task: str, target: str | None, params: dict, key: Sequence[str] | None, seed: int) -> FitResult:
+    df = clean
     inputs_frame = clean.drop(*(key or []))
     numeric, text = feature_columns(inputs_frame, target if task != "clustering" else None)
     train, test = train_test_split(clean, seed=seed, key=key)
@@ -234,7 +240,12 @@ def tune(
     candidates = [dict(c) for c in (candidates or registry.grid(algorithm))]
     if task == "clustering":
         raise TrainError(f"Auto-Tune is not supported for clustering models like '{algorithm}'.")
-    clean = nan_to_null(df).dropna()
+    with working_copy(nan_to_null(df).dropna()) as clean:
+        return _tune(clean, algorithm, task, target, candidates, key, k, parallelism, seed)
+
+
+def _tune(clean, algorithm, task, target, candidates, key, k, parallelism, seed) -> TuneResult:
+    df = clean
     numeric, text = feature_columns(clean.drop(*(key or [])), target)
     train, _ = train_test_split(clean, seed=seed, key=key)
     classes = _classes(clean, target) if task == "classification" else None

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +67,22 @@ def materialize(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+# inputs the optimizer estimates below this size are held in memory while they are fitted on
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
+@contextmanager
+def working_copy(df: DataFrame) -> Iterator[DataFrame]:
+    """A small input spread over all cores and cached for the passes of a fit; a large one
+    as it is, to be scanned again with only the needed columns."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if estimate > SMALL_INPUT_BYTES:
+        yield df
+        return
+    kept = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
