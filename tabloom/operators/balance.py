@@ -111,5 +111,3 @@ def smote(df: DataFrame, features: Sequence[str], target: str, seed: int = 42, c
 def fit_smote(features: Sequence[str], target: str, seed: int = 42) -> Step:
     return Step(STEP, "smote", rows_only_in_fit=lambda df: smote(df, features, target, seed))
 
-
-__all__ = ["check_target", "class_weights", "fit_smote", "smote"]

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tabloom.errors import PrepareError
 from tabloom.functions import stats
-from tabloom.functions.lookup import BROADCAST_ROWS
 from tabloom.functions.ordered import running_sums
 from tabloom.plans.steps import LookupTable, Step, text
 from tabloom.session import materialize
@@ -105,5 +104,3 @@ def fit_freq(df: DataFrame, attributes: Sequence[str]) -> Step:
         lookups.append((a, LookupTable.freeze(share), 0.0, False))
     return Step(STEP, "freq", lookups=lookups)
 
-
-__all__ = ["BROADCAST_ROWS", "categories", "ranked", "fit_onehot", "fit_label", "fit_ordinal", "fit_target", "fit_freq"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import stats
 from tabloom.functions.ordered import running_sums
-from tabloom.session import materialize
+from tabloom.session import materialize, working_copy
 
 EPS = 2.220446049250313e-16  # spacing of doubles at 1
 
@@ -217,28 +217,29 @@ def regression_metrics(
     """All error measures from one aggregate, plus the exact median absolute error."""
     pairs = df.select(F.col(actual).cast("double").alias("y"), F.col(predicted).cast("double").alias("f")).dropna()
     e = F.col("y") - F.col("f")
-    got = stats.one_row(
-        pairs,
-        {
-            "n": F.count(F.lit(1)),
-            "sse": F.sum(e * e),
-            "mae": F.avg(F.abs(e)),
-            "mse": F.avg(e * e),
-            "max": F.max(F.abs(e)),
-            "me": F.avg(e),
-            "ve": F.var_pop(e),
-            "se": F.stddev_pop(e),
-            "vy": F.var_pop("y"),
-            "vf": F.var_pop("f"),
-            "cov": F.covar_pop("y", "f"),
-            "mape": F.avg(F.abs(e) / F.greatest(F.abs("y"), F.lit(EPS))),
-        },
-    )
+    with working_copy(pairs) as pairs:
+        got = stats.one_row(
+            pairs,
+            {
+                "n": F.count(F.lit(1)),
+                "sse": F.sum(e * e),
+                "mae": F.avg(F.abs(e)),
+                "mse": F.avg(e * e),
+                "max": F.max(F.abs(e)),
+                "me": F.avg(e),
+                "ve": F.var_pop(e),
+                "se": F.stddev_pop(e),
+                "vy": F.var_pop("y"),
+                "vf": F.var_pop("f"),
+                "cov": F.covar_pop("y", "f"),
+                "mape": F.avg(F.abs(e) / F.greatest(F.abs("y"), F.lit(EPS))),
+            },
+        )
+        median = stats.quantiles(pairs.select(F.abs(e).alias("a")), {"a": [0.5]}, {"a": got["n"]})["a"][0]
     schema = "metric string, value double"
     n = got["n"]
     if not n:
         return df.sparkSession.createDataFrame([], schema)
-    median = stats.quantiles(pairs.select(F.abs(e).alias("a")), {"a": [0.5]}, {"a": n})["a"][0]
     sst = got["vy"] * n
     r2 = 1 - got["sse"] / sst if sst else 0.0
     values = {

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import stats
 from tabloom.operators.profile import FENCE
 from tabloom.operators.sampling import sample_cap
+from tabloom.session import working_copy
 from tabloom.types import as_double, col, dtype_of, is_numeric
 
 SCATTER_POINTS = 2000
@@ -44,8 +45,9 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     Values are binned and pre-aggregated in one pass, so the shuffle carries only bins."""
     _require_numeric(df, column)
     frame = df.select(as_double(df, column).alias("v")).where(F.col("v").isNotNull())
-    got = stats.one_row(frame, {"n": F.count("v"), "lo": F.min("v"), "hi": F.max("v")})
-    q = stats.quantiles(frame, {"v": [0.25, 0.75]}, {"v": got["n"]}) if got["n"] else {"v": [0.0, 0.0]}
+    with working_copy(frame) as held:
+        got = stats.one_row(held, {"n": F.count("v"), "lo": F.min("v"), "hi": F.max("v")})
+        q = stats.quantiles(held, {"v": [0.25, 0.75]}, {"v": got["n"]}) if got["n"] else {"v": [0.0, 0.0]}
     low, high, bins = bin_layout(got["n"], got["lo"] or 0.0, got["hi"] or 0.0, *q["v"])
     if bins > MAX_BINS:
         raise ValueError(f"Column '{column}' needs {bins} bins; clip its outliers first.")
@@ -69,11 +71,13 @@ def box_summary(df: DataFrame, column: str) -> DataFrame:
     """One row: quartiles and fences clamped to the data."""
     _require_numeric(df, column)
     frame = df.select(as_double(df, column).alias("v")).where(F.col("v").isNotNull())
-    got = stats.one_row(frame, {"n": F.count("v"), "lo": F.min("v"), "hi": F.max("v")})
+    with working_copy(frame) as held:
+        got = stats.one_row(held, {"n": F.count("v"), "lo": F.min("v"), "hi": F.max("v")})
+        quartiles = stats.quantiles(held, {"v": [0.25, 0.5, 0.75]}, {"v": got["n"]})["v"]
     schema = "col1 string, q1 double, median double, q3 double, lower_fence double, upper_fence double"
     if not got["n"]:
         return df.sparkSession.createDataFrame([(column, None, None, None, None, None)], schema)
-    q1, q2, q3 = stats.quantiles(frame, {"v": [0.25, 0.5, 0.75]}, {"v": got["n"]})["v"]
+    q1, q2, q3 = quartiles
     low, high = q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1)
     row = (column, q1, q2, q3, max(got["lo"], low), min(got["hi"], high))
     out = df.sparkSession.createDataFrame([row], schema)
@@ -84,7 +88,8 @@ def box_outliers(df: DataFrame, column: str, limit: int = BOX_OUTLIERS) -> DataF
     """The first ``limit`` values outside the Tukey fences, smallest first."""
     _require_numeric(df, column)
     frame = df.select(as_double(df, column).alias("v")).where(F.col("v").isNotNull())
-    q1, q3 = stats.quantiles(frame, {"v": [0.25, 0.75]})["v"]
+    with working_copy(frame) as held:
+        q1, q3 = stats.quantiles(held, {"v": [0.25, 0.75]})["v"]
     if q1 is None:
         return frame.select(F.col("v").alias("outlier"))
     low, high = q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1)

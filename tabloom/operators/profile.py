@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import stats
+from tabloom.session import working_copy
 from tabloom.types import as_double, col, column_kinds, dtype_of, is_numeric, nan_to_null, numeric_columns
 
 Z_LIMIT = 3.0
@@ -88,8 +89,9 @@ def drop_sparse_columns(df: DataFrame, keep_ratio: float = 0.5, columns: Sequenc
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns or numeric_columns(df))
-    m = stats.moments(df, columns)
-    q = stats.quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, {c: m[c].n for c in columns})
+    with working_copy(df.select(*[col(c) for c in columns])) as held:
+        m = stats.moments(held, columns)
+        q = stats.quantiles(held, {c: [0.25, 0.5, 0.75] for c in columns}, {c: m[c].n for c in columns})
     rows = [(c, m[c].n, m[c].mean, m[c].std, m[c].min, *q[c], m[c].max) for c in columns]
     schema = "column_name string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
     return df.sparkSession.createDataFrame(rows, schema)
@@ -128,7 +130,8 @@ def outside(x: Column, limits: tuple | None) -> Column:
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    limits = fences(df, columns)
+    with working_copy(df.select(*[col(c) for c in columns])) as held:
+        limits = fences(held, columns)
     frame = _doubles(df, columns)
     none = F.lit(None).cast("double")
     return _long(
@@ -185,16 +188,17 @@ def _g2(n: int, kurt: float | None) -> float:
 def eda_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The full numeric profile, one row per column. A column without values has only its counts."""
     columns = list(columns)
-    m = stats.moments(df, columns)
-    counts = {c: m[c].n for c in columns}
-    q = stats.quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, counts)
-    limits = {
-        c: None if q[c][0] is None else (q[c][0], q[c][2], q[c][0] - FENCE * (q[c][2] - q[c][0]), q[c][2] + FENCE * (q[c][2] - q[c][0]))
-        for c in columns
-    }
-    frame = _doubles(df, columns)
-    outliers = stats.one_row(frame, {c: F.count_if(outside(col(c), limits[c])) for c in columns})
-    most = stats.modes(df, columns, as_numbers=True)
+    with working_copy(df.select(*[col(c) for c in columns])) as held:
+        m = stats.moments(held, columns)
+        counts = {c: m[c].n for c in columns}
+        q = stats.quantiles(held, {c: [0.25, 0.5, 0.75] for c in columns}, counts)
+        limits = {
+            c: None if q1 is None else (q1, q3, q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1))
+            for c, (q1, _, q3) in q.items()
+        }
+        frame = _doubles(held, columns)
+        outliers = stats.one_row(frame, {c: F.count_if(outside(col(c), limits[c])) for c in columns})
+        most = stats.modes(held, columns, as_numbers=True)
     rows = []
     for c in columns:
         s = m[c]
@@ -402,12 +406,13 @@ def dataset_facts(
     """
     features = [f.name for f in df.schema.fields if f.name != target]
     numeric = [c for c in features if is_numeric(dtype_of(df, c), with_bool=False)]
-    limits = fences(df, numeric) if numeric else {}
-    frame = nan_to_null(df)
-    aggs: dict = {"rows": F.count(F.lit(1))}
-    aggs.update({("null", c): F.count_if(col(c).isNull()) for c in features})
-    aggs.update({("out", c): F.count_if(outside(col(c).cast("double"), limits[c])) for c in numeric})
-    got = stats.one_row(frame, aggs)
+    with working_copy(df) as held:
+        limits = fences(held, numeric) if numeric else {}
+        frame = nan_to_null(held)
+        aggs: dict = {"rows": F.count(F.lit(1))}
+        aggs.update({("null", c): F.count_if(col(c).isNull()) for c in features})
+        aggs.update({("out", c): F.count_if(outside(col(c).cast("double"), limits[c])) for c in numeric})
+        got = stats.one_row(frame, aggs)
     rows = got["rows"]
     cells = max(rows * len(features), 1)
     noise = sum(v for k, v in got.items() if isinstance(k, tuple)) / cells
@@ -427,7 +432,7 @@ def dataset_facts(
         "n_features": "low" if len(features) < 10 else "high" if len(features) > 50 else "medium",
     }
     if problem_type == "classification" and target:
-        per = frame.where(col(target).isNotNull()).groupBy(col(target)).count()
+        per = nan_to_null(df).where(col(target).isNotNull()).groupBy(col(target)).count()
         sizes = per.agg(F.min("count").alias("lo"), F.max("count").alias("hi")).first()
         uneven = sizes["hi"] is not None and sizes["lo"] * 2 < sizes["hi"]
         facts["class_balance"] = "imbalanced" if uneven else "balanced"
