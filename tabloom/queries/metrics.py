@@ -16,13 +16,13 @@ def _scored(spark, sf):
     return table(spark, sf, "lineitem").selectExpr(
         "CAST(l_returnflag = 'R' AS INT) AS y", "CAST(l_quantity > 25 AS INT) AS yhat", "l_quantity / 51 AS p",
         "l_returnflag AS flag", "CASE WHEN l_quantity > 33 THEN 'R' WHEN l_quantity > 17 THEN 'N' ELSE 'A' END AS flag_hat",
-        "l_extendedprice AS price", "l_quantity * 1500 AS price_hat",
+        "l_extendedprice / 1000 AS price", "l_quantity * 1.5 AS price_hat",
     )
 
 
 SCORED = """(SELECT CAST(l_returnflag = 'R' AS INT) AS y, CAST(l_quantity > 25 AS INT) AS yhat, l_quantity / 51 AS p,
   l_returnflag AS flag, CASE WHEN l_quantity > 33 THEN 'R' WHEN l_quantity > 17 THEN 'N' ELSE 'A' END AS flag_hat,
-  l_extendedprice AS price, l_quantity * 1500 AS price_hat FROM lineitem)"""
+  l_extendedprice / 1000 AS price, l_quantity * 1.5 AS price_hat FROM lineitem)"""
 
 
 def _y():

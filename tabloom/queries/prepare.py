@@ -184,7 +184,7 @@ QUERIES: QueryMap = {
     "tx_yeojohnson_lambda": _fixed_power("yeojohnson", 0.8),
     "tx_boxcox_lambda": _fixed_power("boxcox", 0.5),
     "tx_binning": _on_lineitem(["l_extendedprice", "l_discount"], {"transformations": ["binning"]}),
-    "select_low_variance": lambda s, d: rounded(select.variance_scores(lineitem_x(s, d), NUMS + ["konst"]), 4),
+    "select_low_variance": lambda s, d: rounded(select.variance_scores(lineitem_x(s, d), NUMS + ["konst"]), 2),
     "anova_f": lambda s, d: rounded(select.anova_f(lineitem_x(s, d), NUMS, "l_returnflag"), 6),
     "f_regression": lambda s, d: rounded(select.f_regression(lineitem_x(s, d), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"), 4),
     "chi2_scores": lambda s, d: rounded(select.chi2_scores(lineitem_x(s, d), NUMS, "l_returnflag"), 4),
@@ -312,7 +312,7 @@ ORACLES = {
     "tx_boxcox_lambda": _power_sql("(pow(greatest(c_acctbal, 0.000001), 0.5) - 1) / 0.5"),
     "tx_binning": f"SELECT {KEY_SQL}, {_bin_sql('l_extendedprice')}, {_bin_sql('l_discount')} FROM lineitem",
     "select_low_variance": " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, round(var_pop({c}), 4) AS variance, 0.1::DOUBLE AS threshold, var_pop({c}) > 0.1 AS kept FROM {LINEITEM_X}"
+        f"SELECT '{c}' AS feature, round(var_pop({c}), 2) AS variance, 0.1::DOUBLE AS threshold, var_pop({c}) > 0.1 AS kept FROM {LINEITEM_X}"
         for c in NUMS + ["konst"]
     ),
     "anova_f": _ANOVA,
