@@ -91,7 +91,11 @@ def running_sums(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     summed = frame.select("*", *[F.sum(src).over(within).alias(f"_w_{new}") for new, src in sums.items()])
-    conditions = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+    # plain equality where it is enough keeps the partitioning of the window below
+    conditions = [
+        F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) if df.schema[k].nullable else F.col(f"l.{k}") == F.col(f"r.{k}")
+        for k in by
+    ]
     conditions.append(F.col("l._range") == F.col("r._range"))
     condition = conditions[0]
     for extra in conditions[1:]:
@@ -137,7 +141,8 @@ def asof_join(
         .agg(F.max_by("_payload", on).alias("_last"))
     )
     per_range = stacked.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by + ["_range"]]
+    # missing keys match nothing anyway, and plain equality reuses the partitioning of the window
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by + ["_range"]]
     condition = same[0]
     for extra in same[1:]:
         condition = condition & extra

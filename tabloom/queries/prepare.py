@@ -190,6 +190,14 @@ QUERIES: QueryMap = {
     "chi2_scores": lambda s, d: rounded(select.chi2_scores(lineitem_x(s, d), NUMS, "l_returnflag"), 4),
     "select_correlation": _drop_correlated,
     "select_kbest": _kbest,
+    "select_chi2": lambda s, d: prepare(
+        lineitem_x(s, d).select(*KEYS, *NUMS, "l_returnflag"), {"feature_selection": ["chi2"]}, NUMS, target="l_returnflag"
+    ).df,
+    "drop_low_variance": lambda s, d: prepare(
+        lineitem_x(s, d).select(*KEYS, "l_quantity", "l_discount", "konst"),
+        {"feature_selection": ["low_variance"]},
+        ["l_quantity", "l_discount", "konst"],
+    ).df,
     "tree_importance": lambda s, d: rounded(
         select.tree_importance(labelled_documents(s, d), ["n_chars", "text_len", "n_spaces"], "quality", trees=20), 6
     ),
@@ -325,6 +333,8 @@ ORACLES = {
     "select_correlation": f"""SELECT {KEY_SQL}, round(l_quantity, 6) AS l_quantity, round(l_discount, 6) AS l_discount,
         round(l_extendedprice, 6) AS l_extendedprice FROM lineitem""",
     "select_kbest": f"SELECT {KEY_SQL}, {', '.join(NUMS)}, l_returnflag FROM lineitem",
+    "select_chi2": f"SELECT {KEY_SQL}, {', '.join(NUMS)}, l_returnflag FROM lineitem",
+    "drop_low_variance": f"SELECT {KEY_SQL}, l_quantity FROM lineitem",
     "covariance": " UNION ALL ".join(
         f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(covar_samp({a}, {b}), 6) AS cov FROM {embedding_sql(DIMS)}"
         for a in E_COLS

@@ -98,8 +98,8 @@ def read_parquet(spark: SparkSession, path: str, keep_nan: bool = False) -> Data
 
 def sniff(spark: SparkSession, path: str) -> str:
     """Format of an unknown file by its first bytes: zip means workbook, else CSV."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4).alias("h")).limit(1).collect()
-    return "xlsx" if head and bytes(head[0]["h"]) == b"PK\x03\x04" else "csv"
+    head = spark.read.text(path).limit(1).collect()
+    return "xlsx" if head and head[0]["value"].startswith("PK\x03\x04") else "csv"
 
 
 def format_of(path: str) -> str | None:

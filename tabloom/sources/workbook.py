@@ -14,6 +14,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.sources.readers import _infer, _missing_texts, _struct
@@ -73,8 +74,16 @@ def read_workbooks(spark: SparkSession, path: str, schema: T.StructType | str |
     if schema is not None:
         names = _struct(spark, schema).fieldNames()
     else:
-        first = files.orderBy("path").limit(1).collect()[0]["content"]
-        names = [n or f"Unnamed: {i}" for i, n in enumerate(next(sheet_rows(bytes(first)), []))]
+        first = files.agg(F.min("path")).first()[0]  # reads no contents
+
+        def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for content in batch["content"]:
+                    row = next(sheet_rows(bytes(content)), [])
+                    yield pd.DataFrame({"i": range(len(row)), "name": row}, dtype=object).astype({"i": int})
+
+        one = spark.read.format("binaryFile").load(first).select("content").mapInPandas(top, "i int, name string")
+        names = [r["name"] or f"Unnamed: {r['i']}" for r in one.orderBy("i").collect()]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

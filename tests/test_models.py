@@ -9,6 +9,7 @@ from tabloom.operators import cluster_metrics, metrics
 from tabloom.plans import registry, training
 from tabloom.plans.models import FittedModel
 from tabloom.session import scratch_path
+from tabloom.sources import writers
 
 
 @pytest.fixture(scope="module")
@@ -59,6 +60,14 @@ def test_classifiers_save_and_load(spark, lines, algorithm, params):
     assert out[9] == "yes" and out[8] in ("yes", "no")
 
 
+def test_report_tables_are_written(spark, lines):
+    result = training.fit_model(lines.drop("y"), "DecisionTree", "c", {"max_depth": 3}, ["id"])
+    paths = writers.save_report(result.tables(), scratch_path(spark, "report"), "csv")
+    assert set(paths) == {"metrics", "hyperparameters", "model_info", "confusion_matrix"}
+    confusion = spark.read.option("header", True).csv(paths["confusion_matrix"])
+    assert confusion.count() == 4 and set(confusion.columns) == {"actual", "predicted", "n"}
+
+
 def test_missing_columns_are_named(spark, lines):
     model = training.fit_model(lines.drop("y", "g"), "LogisticRegression", "c", key=["id"]).model
     with pytest.raises(TrainError, match=r"\['b'\]"):
