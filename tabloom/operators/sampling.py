@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,12 +18,13 @@ TEST_PERCENT = 20
 STEPS = 1 << 40
 
 
-def _draw(key: Sequence[str] | None, seed: int) -> Column:
+def _draw(key: Sequence[str] | None, seed: int, use: str) -> Column:
     """A pseudo-random number in [0, 1) per row: a hash of the key, or plain random. Hashing
-    whole rows would move all copies of a row together, so it is not an option here."""
+    whole rows would move all copies of a row together, so it is not an option here.
+    ``use`` keeps the draws of a sample, a split and folds of the same key independent."""
     if key:
-        return F.pmod(F.xxhash64(*[col(k) for k in key], F.lit(seed)), F.lit(STEPS)) / F.lit(float(STEPS))
-    return F.rand(seed)
+        return F.pmod(F.xxhash64(*[col(k) for k in key], F.lit(seed), F.lit(use)), F.lit(STEPS)) / F.lit(float(STEPS))
+    return F.rand(seed + zlib.crc32(use.encode()))
 
 
 def sample_cap(df: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
@@ -35,13 +37,13 @@ def sample_cap(df: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 42, key: Sequ
     if total <= rows:
         return df
     share = (2.0 * rows + 100.0) / total
-    drawn = df.withColumn("_draw", _draw(key, seed))
+    drawn = df.withColumn("_draw", _draw(key, seed, "sample"))
     thin = drawn.where(F.col("_draw") < share) if share < 1.0 else drawn
     if not key:
         thin = materialize(thin)
     if share < 1.0 and thin.count() < rows:
         # a key with few distinct values draws unevenly; then order everything
-        thin = drawn if key else materialize(df.withColumn("_draw", _draw(key, seed)))
+        thin = drawn if key else materialize(df.withColumn("_draw", _draw(key, seed, "sample")))
     return thin.orderBy("_draw", *[col(k) for k in key or ()]).limit(rows).drop("_draw")
 
 
@@ -50,7 +52,7 @@ def train_test_split(
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test). With a key the side of a row is a hash of it and no data moves.
     Without one, sides are drawn at random and written once, so both frames agree."""
-    side = _draw(key, seed) < test_percent / 100.0
+    side = _draw(key, seed, "split") < test_percent / 100.0
     if key:
         return df.where(~side), df.where(side)
     drawn = materialize(df.withColumn("_test", side))
@@ -60,5 +62,5 @@ def train_test_split(
 def folds(df: DataFrame, k: int = 3, seed: int = 42, key: Sequence[str] | None = None, name: str = "fold") -> DataFrame:
     """A fold number per row. Hashing spreads every class evenly over the folds without
     ranking the rows of a class, which would put a frequent class into one task."""
-    drawn = df.withColumn(name, F.floor(_draw(key, seed) * k).cast("int"))
+    drawn = df.withColumn(name, F.floor(_draw(key, seed, "folds") * k).cast("int"))
     return drawn if key else materialize(drawn)

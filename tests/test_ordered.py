@@ -74,6 +74,10 @@ def test_samples_are_exact_and_repeatable(spark):
     b = sampling.sample_cap(df.repartition(13), 100, key=["id"])
     assert a.count() == 100 and {r["id"] for r in a.collect()} == {r["id"] for r in b.collect()}
     assert sampling.sample_cap(df, 9999).count() == 5000
+    # a sample splits like the whole: its draws are independent of those of the split
+    for key in (["id"], None):
+        train, test = sampling.train_test_split(sampling.sample_cap(df, 500, key=key), key=key)
+        assert train.count() + test.count() == 500 and 50 < test.count() < 150
     # copies of one row are split like any others
     copies = df.select("copy")
     assert sampling.sample_cap(copies, 100).count() == 100
