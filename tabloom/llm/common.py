@@ -48,42 +48,40 @@ def fresh(df: DataFrame, name: str) -> str:
     return name if name.lower() not in taken else f"{name}_{uuid.uuid4().hex[:8]}"
 
 
-def as_bytes(column: pa.Array) -> list[bytes | None]:
-    """UTF-8 texts without decoding them."""
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-
-
-def map_texts(
-    docs: DataFrame,
-    text_col: str,
+def map_columns(
+    df: DataFrame,
+    inputs: list[str],
     fields: list[tuple[str, T.DataType]],
-    make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    make: Callable[[], Callable[[list[pa.Array]], list[pa.Array]]],
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Append columns computed from a text column, batch by batch.
+    """Append columns computed from the input columns, batch by batch.
 
-    ``make()`` runs once per task and returns the function from the text column of a batch
-    to the new columns. Rows, order and the ``keep`` columns (default: all but the text are
-    dropped only if not asked for) pass through as they are.
-    """
-    kept = docs.columns if keep is None else keep
+    ``make()`` runs once per task and returns the function from the input columns of a batch
+    to the new columns. The kept columns (default: all) pass through as Arrow arrays."""
+    kept = df.columns if keep is None else keep
     at = len(kept)
-    narrowed = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
-    schema = T.StructType(
-        [narrowed.schema[i] for i in range(at)] + [T.StructField(name, kind, True) for name, kind in fields]
-    )
+    narrowed = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])
+    schema = T.StructType([*narrowed.schema.fields[:at], *[T.StructField(name, kind, True) for name, kind in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
+        names = [*kept, *[name for name, _ in fields]]
         for batch in batches:
-            made = work(batch.column(at))
-            columns = [batch.column(i) for i in range(at)] + made
-            names = [batch.schema.field(i).name for i in range(at)] + [name for name, _ in fields]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            made = work([batch.column(i) for i in range(at, batch.num_columns)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(at)], *made], names=names)
 
     return narrowed.mapInArrow(run, schema)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], columns: list[tuple[str, str]]) -> DataFrame:
+    """A bounded list of number rows as a frame, by way of one text literal."""
+    text = ";".join(",".join(map(str, row)) for row in rows)
+    cell = F.split("row", ",")
+    listed = spark.range(1).select(F.explode(F.split(F.lit(text), ";")).alias("row")).where("row <> ''")
+    return listed.select(*[cell[i].cast(kind).alias(name) for i, (name, kind) in enumerate(columns)])
+
+
 def worker_store() -> dict:
     """A dictionary that lives as long as the Python worker. Functions travel by value, so the
     globals of this package start anew in every task; caches of pure functions belong here."""

@@ -19,6 +19,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import small_table
+
 MASK = (1 << 64) - 1
 
 
@@ -94,16 +96,10 @@ def shard_rows(
     per_cell = rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("cell")).count()
     counts = [(r["cell"], r["count"]) for r in per_cell.collect()]  # at most `cells` rows
     ranges = allocate(counts, shards, vnodes, cells, slack)
-    plan = docs.sparkSession.range(1).select(
-        F.explode(F.split(F.lit(";".join(",".join(map(str, r)) for r in ranges)), ";")).alias("r")
-    )
-    part = F.split("r", ",")
-    plan = plan.where("r <> ''").select(
-        part[0].cast("int").alias("cell"),
-        part[1].cast("long").alias("from_rank"),
-        part[2].cast("long").alias("to_rank"),
-        part[3].cast("int").alias("shard"),
-        part[4].cast("long").alias("first_slot"),
+    plan = small_table(
+        docs.sparkSession,
+        ranges,
+        [("cell", "int"), ("from_rank", "long"), ("to_rank", "long"), ("shard", "int"), ("first_slot", "long")],
     )
     upto = F.sum("copies").over(
         Window.partitionBy("cell")
