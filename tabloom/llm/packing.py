@@ -14,9 +14,9 @@ ranks in a bucket), so that one frequent length is no single task, and joined wi
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,43 +25,72 @@ from pyspark.sql import types as T
 
 from tabloom.llm.common import map_columns, small_table, worker_store, written
 
-CACHED_WORDS = 500_000  # encoded words a worker keeps; beyond it the cache starts anew
+# what a worker keeps at most of encoded words and of encoded roots; beyond it, a cache starts anew
+CACHED_WORDS = 600_000
+CACHED_ROOTS = 800_000
+TOGETHER = 128  # roots encoded by one call
 
 
 class WordIds(dict):
     """Word -> its token ids as little-endian 32-bit numbers.
 
     White space always separates tokens of this vocabulary, so a text's ids are those of its
-    words. Words of letters share the encoding of their lower-case form, with the full stop
-    or comma behind them added."""
+    words. Words of letters share the encoding of their lower-case form, their root, with the
+    full stop or comma behind them added. A root is one run of letters, so its last token, and
+    no other, closes a word: new roots are encoded together and cut at the closing tokens."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, model):
         super().__init__()
-        self.encode = encode
+        self.model = model
+        self.closes = {i for token, i in model.get_vocab().items() if token.endswith("</w>")}
         self.roots: dict[bytes, bytes] = {}
-        self.marks = {mark: self.pack(mark.decode()) for mark in (b".", b",")}
+        self.marks = {mark: self.pack(self.encode(mark.decode())) for mark in (b".", b",")}
 
-    def pack(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.encode(text))
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Make sure that all the words are there."""
+        new = words.difference(self)
+        if len(self) + len(new) > CACHED_WORDS:
             self.clear()
-        if len(self.roots) >= CACHED_WORDS:
+            new = words
+        if len(self.roots) > CACHED_ROOTS:
             self.roots.clear()
-        mark = self.marks.get(word[-1:], b"")
-        root = word[:-1] if mark else word
-        if root.isalpha():  # ASCII letters
-            root = root.lower()
-        elif not root.decode().isalpha():
-            root, mark = word, b""
-        ids = self.roots.get(root)
-        if ids is None:
-            ids = self.roots[root] = self.pack(root.decode())
-        if mark:
-            ids += mark
-        self[word] = ids
-        return ids
+        roots, marks = self.roots, self.marks
+        open_words, open_roots = [], []
+        for word in new:
+            mark = marks.get(word[-1:])
+            root = word if mark is None else word[:-1]
+            if root.isalpha():  # ASCII letters
+                root = root.lower()
+            elif not root.decode().isalpha():
+                self[word] = self.pack(self.encode(word.decode()))
+                continue
+            ids = roots.get(root)
+            if ids is None:
+                open_words.append(word)
+                open_roots.append(root)
+            else:
+                self[word] = ids if mark is None else ids + mark
+        unknown = list(set(open_roots))
+        for at in range(0, len(unknown), TOGETHER):
+            group = unknown[at : at + TOGETHER]
+            ids = self.encode(b" ".join(group).decode())
+            ends = [k + 1 for k, i in enumerate(ids) if i in self.closes]
+            if len(ends) != len(group):
+                roots.update((root, self.pack(self.encode(root.decode()))) for root in group)
+            else:
+                packed, start = self.pack(ids), 0
+                for root, end in zip(group, ends):
+                    roots[root] = packed[4 * start : 4 * end]
+                    start = end
+        for word, root in zip(open_words, open_roots):
+            self[word] = roots[root] + marks.get(word[-1:], b"")
 
 
 def token_pieces(
@@ -90,14 +119,15 @@ def token_pieces(
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            model = Tokenizer.from_str(shared.value)
-            store[name] = WordIds(lambda text: model.encode(text, add_special_tokens=False).ids)
-        ids_of = store[name].__getitem__
+            store[name] = WordIds(Tokenizer.from_str(shared.value))
+        known = store[name]
 
         def work(columns: list[pa.Array]) -> list[pa.Array]:
             out = []
-            for text in columns[0].to_pylist():
-                ids = b"".join(map(ids_of, (text or b"").split())) + closing
+            texts = [(text or b"").split() for text in columns[0].to_pylist()]
+            known.learn(set().union(*texts))
+            for words in texts:
+                ids = b"".join(map(known.__getitem__, words)) + closing
                 n, view = len(ids) // 4, memoryview(ids)
                 out.append(
                     [
