@@ -5,7 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import common, decontamination, packing, sharding
+from tabloom.llm import common, decontamination, packing, pii, sharding, simhash
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(common.table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(common.table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +54,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_pii": op4_pii,
+    "op5_simhash": op5_simhash,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op10_packing": op10_packing,
