@@ -239,79 +239,76 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.withColumn("candidates", F.when(F.size("candidates") > 0, free).otherwise(F.col("candidates")))
 
 
-def _log(p: float) -> float:
-    return math.log(min(max(p, 1e-6), 1 - 1e-6))
+def _log_odds(p: float) -> float:
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return math.log(p) - math.log(1 - p)
 
 
-def _sum_of(terms: list[Column]) -> Column:
-    out = F.lit(0.0)
-    for t in terms:
-        out = out + t
-    return out
+def _numbers(values: list[float]) -> str:
+    return "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
 
 
-def _choose(value: Column, options: list[tuple[object, float]]) -> Column:
-    out = None
-    for key, number in options:
-        out = F.when(value == F.lit(key), number) if out is None else out.when(value == F.lit(key), number)
-    return out.otherwise(0.0)
+def _by_kind(values: dict[str, float], kind: str = "kind") -> str:
+    return "map(" + ", ".join(f"'{k}', {v!r}D" for k, v in values.items()) + f")[{kind}]"
 
 
-def reliabilities(candidates: DataFrame, rounds: int = 12) -> tuple[dict, Column]:
-    """Expectation-maximisation over vote patterns.
+def _weighed(array: str, weights: list[float], per_place: int, first: int) -> str:
+    """SQL: the sum of the weights of an array of small numbers from ``first`` on; each place has
+    ``per_place`` weights."""
+    looked_up = f"transform({array}, (x, i) -> element_at({_numbers(weights)}, i * {per_place} + x + {1 - first}))"
+    return f"aggregate({looked_up}, 0D, (sum, x) -> sum + x)"
+
+
+def reliabilities(candidates: DataFrame, rounds: int = 12) -> tuple[dict, str]:
+    """Expectation-maximisation over the counts of vote patterns.
 
     Returns the estimates {(labeler, vote): (share among true, share among false)} with the
-    prior per kind, and the posterior of a candidate as an expression. It starts from the
-    majority vote; counts are smoothed by one, so that no candidates leave an even prior."""
-    votes = [F.col("votes")[i] for i in range(len(LABELERS))]
-    named = candidates.select("kind", *[v.alias(f"v{i}") for i, v in enumerate(votes)])
-    patterns = written(named.groupBy("kind", *[f"v{i}" for i in range(len(LABELERS))]).agg(F.count(F.lit(1)).alias("n")), "votes")
-    kinds = list(CANDIDATES)
-    cells = [(i, v) for i in range(len(LABELERS)) for v in (-1, 0, 1)]
-    of = lambda i: F.col(f"v{i}")
-    tally = _sum_of([of(i).cast("double") for i in range(len(LABELERS))])
-    posterior = 1 / (1 + F.exp(-tally))
+    prior per kind, and the log odds of a candidate as SQL. It starts from the sum of the
+    votes; each count is smoothed, a vote for as a true candidate and a vote against as a
+    false one, so that no candidates leave an even prior."""
+    patterns = written(candidates.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")), "votes")
+    odds = "aggregate(votes, 0D, (sum, x) -> sum + x)"
     model: dict = {}
     for _ in range(rounds):
-        weighed = patterns.withColumn("p", posterior)
-        sums = [F.sum(F.when(of(i) == v, F.col("n") * w)) for i, v in cells for w in (F.col("p"), 1 - F.col("p"))]
-        sums += [F.sum(F.when(F.col("kind") == k, F.col("n") * w)) for k in kinds for w in (F.col("p"), 1 - F.col("p"))]
-        row = [x or 0.0 for x in weighed.agg(*[s.alias(f"s{j}") for j, s in enumerate(sums)]).first()]
-        by_cell = {c: (row[2 * j], row[2 * j + 1]) for j, c in enumerate(cells)}
-        rest = row[2 * len(cells) :]
-        prior = {k: (rest[2 * j] + 1) / (rest[2 * j] + rest[2 * j + 1] + 2) for j, k in enumerate(kinds)}
+        weighed = patterns.withColumn("p", F.expr(f"1 / (1 + exp(-({odds})))"))
+        cells = weighed.select("kind", "n", "p", F.posexplode("votes").alias("labeler", "vote"))
+        sums = cells.groupBy("kind", "labeler", "vote").agg(F.expr("sum(n * p)").alias("t"), F.expr("sum(n * (1 - p))").alias("f"))
+        rows = sums.collect()  # kinds x labelers x 3 at most
+        prior = {}
+        for k in CANDIDATES:
+            true, false = (sum(r[side] for r in rows if r["kind"] == k and r["labeler"] == 0) for side in ("t", "f"))
+            prior[k] = (true + 1) / (true + false + 2)
         model = {"prior": prior}
         for i, labeler in enumerate(LABELERS):
-            total = [sum(by_cell[i, v][side] for v in (-1, 0, 1)) for side in (0, 1)]
+            own = [r for r in rows if r["labeler"] == i]
             for v in (-1, 0, 1):
-                # a vote for counts as one extra true candidate at the start, a vote against as a false one
-                extra = (2.0 if v >= 0 else 0.5, 2.0 if v <= 0 else 0.5)
-                model[labeler, v] = tuple((by_cell[i, v][side] + extra[side]) / (total[side] + 4.5) for side in (0, 1))
-        odds = _choose(F.col("kind"), [(k, _log(p) - _log(1 - p)) for k, p in prior.items()])
-        odds = odds + _sum_of([_choose(of(i), [(v, _log(model[x, v][0]) - _log(model[x, v][1])) for v in (-1, 0, 1)]) for i, x in enumerate(LABELERS)])
-        posterior = 1 / (1 + F.exp(-odds))
-    return model, posterior
-
-
-def span_classifier(candidates: DataFrame, posterior: Column) -> dict:
-    """Naive Bayes over the features, trained on the posteriors: log odds per kind, and per
-    feature and value."""
-    flat = candidates.select(
-        "kind",
-        *[F.col("votes")[i].alias(f"v{i}") for i in range(len(LABELERS))],
-        *[F.col("features")[j].alias(f"f{j}") for j in range(N_FEATURES)],
-    ).withColumn("p", posterior)
-    cells = [(f"f{j}", v) for j in range(N_FEATURES) for v in range(FEATURE_VALUES)] + [("kind", k) for k in CANDIDATES]
-    sums = [F.sum(F.when(F.col(c) == v, w)) for c, v in cells for w in (F.col("p"), 1 - F.col("p"))]
-    row = [x or 0.0 for x in flat.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-    counted = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(cells)}
-    total = [sum(counted["kind", k][side] for k in CANDIDATES) for side in (0, 1)]
-    weights: dict = {("kind", k): _log((t + 1) / (t + f + 2)) - _log((f + 1) / (t + f + 2)) for k, (t, f) in ((k, counted["kind", k]) for k in CANDIDATES)}
+                extra = {"t": 2.0 if v >= 0 else 0.5, "f": 2.0 if v <= 0 else 0.5}
+                model[labeler, v] = tuple(
+                    (sum(r[side] for r in own if r["vote"] == v) + extra[side]) / (sum(r[side] for r in own) + 4.5) for side in ("t", "f")
+                )
+        weights = [math.log(model[x, v][0] / model[x, v][1]) for x in LABELERS for v in (-1, 0, 1)]
+        odds = _by_kind({k: _log_odds(p) for k, p in prior.items()}) + " + " + _weighed("votes", weights, 3, -1)
+    return model, odds
+
+
+def span_classifier(candidates: DataFrame, odds: str) -> tuple[dict[str, float], list[float]]:
+    """Naive Bayes over the features, trained on the posteriors of the candidates: log odds per
+    kind, and per feature and value."""
+    weighed = candidates.withColumn("p", F.expr(f"1 / (1 + exp(-({odds})))"))
+    cells = weighed.select("kind", "p", F.posexplode("features").alias("feature", "value"))
+    rows = cells.groupBy("kind", "feature", "value").agg(F.sum("p").alias("t"), F.expr("sum(1 - p)").alias("f")).collect()
+    per_kind = {}
+    for k in CANDIDATES:
+        true, false = (sum(r[side] for r in rows if r["kind"] == k and r["feature"] == 0) for side in ("t", "f"))
+        per_kind[k] = _log_odds((true + 1) / (true + false + 2))
+    weights = []
     for j in range(N_FEATURES):
+        own = [r for r in rows if r["feature"] == j]
+        total = {side: sum(r[side] for r in own) + FEATURE_VALUES for side in ("t", "f")}
         for v in range(FEATURE_VALUES):
-            true, false = counted[f"f{j}", v]
-            weights[f"f{j}", v] = _log((true + 1) / (total[0] + FEATURE_VALUES)) - _log((false + 1) / (total[1] + FEATURE_VALUES))
-    return weights
+            share = {side: (sum(r[side] for r in own if r["value"] == v) + 1) / total[side] for side in ("t", "f")}
+            weights.append(math.log(share["t"] / share["f"]))
+    return per_kind, weights
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.5) -> DataFrame:
@@ -321,20 +318,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows give equal rows; an empty table gives none."""
     kept = written(scanned(docs, id_col, text_col), "spans")
     candidates = kept.select(F.explode("candidates").alias("c")).select("c.*")
-    _, posterior = reliabilities(candidates)
-    weights = span_classifier(candidates, posterior)
-    order = {k: i for i, k in enumerate([*KINDS, *[k for k in CANDIDATES if k not in KINDS]])}
-
-    def odds(c: Column) -> Column:
-        out = _choose(c["kind"], [(k, weights["kind", k]) for k in CANDIDATES])
-        for j in range(N_FEATURES):
-            out = out + _choose(c["features"][j], [(v, weights[f"f{j}", v]) for v in range(FEATURE_VALUES)])
-        return out
-
-    bound = _log(accept) - _log(1 - accept)
-    added = F.transform(
-        F.filter("candidates", lambda c: odds(c) >= bound),
-        lambda c: F.struct(c["start"].alias("start"), _choose(c["kind"], [(k, i) for k, i in order.items()]).cast("int").alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")),
+    _, odds = reliabilities(candidates)
+    per_kind, weights = span_classifier(candidates, odds)
+    ranks = {k: float(i) for i, k in enumerate([*KINDS, *[k for k in CANDIDATES if k not in KINDS]])}
+    odds = _by_kind(per_kind, "c.kind") + " + " + _weighed("c.features", weights, FEATURE_VALUES, 0)
+    added = F.expr(
+        f"transform(filter(candidates, c -> {odds} >= {_log_odds(accept)!r}D), c -> "
+        f"named_struct('start', c.start, 'rank', int({_by_kind(ranks, 'c.kind')}), 'end', c.end, 'kind', c.kind))"
     )
     spans = F.array_sort(F.array_distinct(F.concat("base", added)))
     return kept.select("doc_id", "base", F.when(F.size("candidates") > 0, spans).otherwise(F.col("base")).alias("spans"))
