@@ -5,7 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import common, decontamination, packing, pii, sharding, simhash
+from tabloom.llm import common, decontamination, html_text, neighbours, packing, pii, sharding, simhash
+
+
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.digest(common.table(spark, sf_dir, "embeddings"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(common.table(spark, sf_dir, "pages"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +62,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
+    "op2_html_text": op2_html_text,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op7_sharding": op7_sharding,
