@@ -165,6 +165,11 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return out.where(finite & F.exists("vector", lambda x: x != 0)).withColumn("dim", F.size("vector"))
 
 
+def tasks(df: DataFrame, groups: int) -> int:
+    """Partitions for groups of much work and little data, which must not be put together by size."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * groups, 100_000))
+
+
 INDEX = "dim int, shard int, vectors binary, ids binary, links binary, starts binary, levels binary"
 
 
@@ -177,6 +182,7 @@ def build_index(rows: DataFrame, copies: int, shard_nodes: int = SHARD_NODES) ->
     nodes = few.groupBy("key", "dim", "vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     nodes = written(nodes, "nodes")
     shards = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_nodes).cast("int").alias("shards"))
+    total = shards.agg(F.sum("shards")).first()[0] or 1
     dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("key", F.lit(SEED)), F.col("shards")).cast("int"))
 
     def graph(frame: pd.DataFrame) -> pd.DataFrame:
@@ -196,7 +202,8 @@ def build_index(rows: DataFrame, copies: int, shard_nodes: int = SHARD_NODES) ->
              "starts": [g.starts.tobytes()], "levels": [g.levels.tobytes()]}
         )
 
-    return written(dealt.select("dim", "shard", "key", "vector", "ids").groupBy("dim", "shard").applyInPandas(graph, INDEX), "index")
+    spread = dealt.select("dim", "shard", "key", "vector", "ids").repartition(tasks(rows, total), "dim", "shard")
+    return written(spread.groupBy("dim", "shard").applyInPandas(graph, INDEX), "index")
 
 
 def nearest(
@@ -239,6 +246,9 @@ def nearest(
         made["vector"] = [right["vector"].iloc[i] for i in made["number"]]
         return made[["query_id", "vector", "vec_id", "score"]]
 
+    parts = tasks(rows, index.count() * blocks)
+    stored = stored.repartition(parts, "dim", "shard", "at_block")
+    sent = sent.repartition(parts, "of_dim", "of_shard", "block")
     met = stored.groupBy("dim", "shard", "at_block").cogroup(sent.groupBy("of_dim", "of_shard", "block"))
     found = met.applyInPandas(ask, "query_id long, vector array<double>, vec_id long, score double")
     order = Window.partitionBy("query_id", "vector").orderBy("score", "vec_id")
