@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import common, decontamination, html_text, neighbours, packing, pii, sharding, simhash
+from tabloom.llm import common, decontamination, html_text, language, neighbours, packing, pii, sharding, simhash
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digest(common.table(spark, sf_dir, "pages"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(common.table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(common.table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_html_text": op2_html_text,
+    "op3_language": op3_language,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op7_sharding": op7_sharding,
