@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import common, decontamination, html_text, language, neighbours, packing, pii, sharding, simhash
+from tabloom.llm import common, decontamination, html_text, language, neighbours, packing, pii, sharding, simhash, token_counts
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(common.table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return token_counts.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(common.table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
+    "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op10_packing": op10_packing,
