@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import common, decontamination, html_text, language, neighbours, packing, pii, sharding, simhash, token_counts
+from tabloom.llm import common, decontamination, html_text, language, line_dedup, neighbours, packing, pii, sharding, simhash, token_counts
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,29 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.classes(common.table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH RECURSIVE line AS (
+  SELECT doc_id, k - 1 AS line_no, l FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k
+    FROM documents WHERE text IS NOT NULL)
+  WHERE regexp_matches(l, '[^\\t\\n\\x0B\\f\\r ]')),
+kind AS (SELECT DISTINCT l, strlen(l) AS n FROM line),
+link AS (
+  SELECT a.l AS a, b.l AS b FROM kind a JOIN kind b ON abs(a.n - b.n) <= 2 AND a.l <> b.l
+  WHERE abs(a.n - b.n) <= least(2, least(a.n, b.n) // 10) AND levenshtein(a.l, b.l) <= least(2, least(a.n, b.n) // 10)),
+reach AS (SELECT l AS x, l AS y FROM kind UNION SELECT x, b FROM reach JOIN link ON y = a),
+place AS (SELECT l, min((doc_id, line_no)) AS p FROM line GROUP BY l),
+first AS (SELECT x, min(p) AS p FROM reach JOIN place ON y = l GROUP BY x)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, p[1] AS class_doc_id, CAST(p[2] AS INTEGER) AS class_line_no,
+  doc_id = p[1] AND line_no = p[2] AS kept
+FROM line JOIN first ON l = x
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -79,9 +102,11 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op8_decontamination": OP8_SQL,
+    "op9_line_dedup": OP9_SQL,
 }

@@ -79,19 +79,13 @@ class CountTree:
         return int(self.tokens[1])
 
     def leaf_at(self, place: int) -> tuple[int, int]:
-        """(leaf, its first character) of the leaf that holds a character; of the first empty
-        place behind the text, the leaf after the last one with characters."""
-        node, first = 1, 0
+        """(leaf, its first character) of the leaf that holds a character; for the place behind
+        the text an empty leaf at its end, or the last leaf where all are used."""
+        node, first, total = 1, 0, int(self.chars[1])
         while node < self.size:
             node *= 2
             left = int(self.chars[node])
-            if place >= first + left and first + left < int(self.chars[1]):
-                first += left
-                node += 1
-            elif place >= first + left:
-                # behind the text: the first leaf without characters on the way, if there is one
-                if left == 0:
-                    continue
+            if place >= first + left and (left or first < total):
                 first += left
                 node += 1
         return node - self.size, first
@@ -137,13 +131,12 @@ def apply_edits(text: str, tree: CountTree, edits: list[tuple[int, int, str]], c
                 last, reach = end, end + shift
                 k += 1
             if place >= len(edited):
-                high, ends = tree.size, len(text)
+                high = tree.size
                 break
             if place >= reach:
                 high, ends = tree.leaf_at(place - shift)
-                if ends == place - shift and place > begin and high >= low:
-                    break
-                if ends == place - shift and place == begin and last <= ends:
+                # a stretch with characters needs a leaf to hold them
+                if ends == place - shift and (high > low or place == begin):
                     break
             piece = match(edited, place).group()
             tokens += counts[piece]
