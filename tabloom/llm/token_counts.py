@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm import pii
-from tabloom.llm.common import fresh, map_columns, worker_store
+from tabloom.llm.common import map_columns, worker_store
 
 CONTEXT = 4
-CACHED_PIECES = 500_000
+CACHED_PIECES = 250_000  # in a worker; beyond it the cache starts anew
 
 
 class PieceCounts(dict):
@@ -212,6 +212,31 @@ def edit(
     return map_columns(state, [text_col, tree_col, edits_col], fields, make)
 
 
+def count_edits(
+    docs: DataFrame, ranks: str, pattern: str, edits_col: str, text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """``build`` and ``edit`` in one task, for documents whose trees are not kept: the kept
+    columns (default: all) with n_tokens, n_tokens_edited and n_read."""
+    get = _counts(ranks, pattern, docs)
+
+    def make():
+        counts = get()
+
+        def work(columns: list[pa.Array]) -> list[pa.Array]:
+            out = []
+            for text, edits in zip(*(c.to_pylist() for c in columns)):
+                tree = CountTree.of(text or "", counts)
+                before = tree.total
+                _, again = apply_edits(text or "", tree, [(e["start"], e["end"], e["text"]) for e in edits or []], counts)
+                out.append((before, tree.total, again))
+            return [pa.array([r[k] for r in out], pa.int64()) for k in range(3)]
+
+        return work
+
+    fields = [(name, T.LongType()) for name in ("n_tokens", "n_tokens_edited", "n_read")]
+    return map_columns(docs, [text_col, edits_col], fields, make, keep=keep)
+
+
 def redactions(docs: DataFrame, name: str, text_col: str = "text", kinds: list[str] = pii.KINDS) -> DataFrame:
     """The documents with edits that put a mark such as <email> for every strict span of personal
     data; of spans that overlap, the first one, then the first kind."""
@@ -236,9 +261,6 @@ def _mark_of(rank: int, kind: str):
 def digest(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, n_edits, n_tokens_edited, n_read: counts before and after the redaction
     of personal data."""
-    rows = redactions(docs.select("doc_id", "text"), fresh(docs, "edits"))
-    edits = rows.columns[-1]
-    out = edit(build(rows, ranks, pattern), ranks, pattern, edits)
-    return out.select(
-        "doc_id", "n_tokens", F.size(edits).cast("long").alias("n_edits"), F.col("new_tokens").alias("n_tokens_edited"), "n_read"
-    )
+    rows = redactions(docs.select("doc_id", "text"), "edits").withColumn("n_edits", F.size("edits").cast("long"))
+    out = count_edits(rows, ranks, pattern, "edits", keep=["doc_id", "n_edits"])
+    return out.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_read")
