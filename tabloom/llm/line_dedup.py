@@ -339,7 +339,9 @@ def classes(
     found = written(places(docs, id_col, text_col), "lines")
     roots = components(links(docs, found.count(), text_col, edits, bytes_per_edit)).withColumnRenamed("node", "id")
     named = found.join(roots, "id", "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("class"))
-    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    named = written(named, "named")
+    # written, so that both sides of the join are plain shuffles, whose hot keys can be split
+    first = written(named.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "first")
     out = named.join(first, "class").select(
         "doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no")
     )
