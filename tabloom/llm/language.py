@@ -30,6 +30,7 @@ SEED = 42
 # bounds of the training sample: documents per language, windows per document
 SAMPLE_DOCUMENTS = 300
 SAMPLE_WINDOWS = 12
+SPARE = 20  # so many times that number is ranked
 EPOCHS = 2
 BATCH = 128
 RATE = 0.01
@@ -205,6 +206,10 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
     ids = labelled.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("__lang")
     )
+    # a thin slice of each language by hash first, so that ranking one never takes many rows
+    counts = ids.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n"))
+    slice_of = F.pmod(F.xxhash64("__id", F.lit(SEED + 1)), F.lit(1_000_000)) * F.col("__n")
+    ids = ids.join(F.broadcast(counts), "__lang").where(slice_of < SPARE * SAMPLE_DOCUMENTS * 1_000_000)
     turn = F.row_number().over(Window.partitionBy("__lang").orderBy(F.xxhash64("__id", F.lit(SEED)), "__id"))
     few = ids.withColumn("__turn", turn).where(F.col("__turn") <= SAMPLE_DOCUMENTS).select("__id", "__lang").distinct()
     # a fixed number of ids per language, however many documents there are
