@@ -181,8 +181,9 @@ def classes(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str =
     roots = components(near_links(kinds.select("fp"), distance))
     named = kinds.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = written(named, "named")
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_kind = named.join(smallest, "root").select("fp", "component_id")
+    # written, so that both sides of each join are plain shuffles, whose hot keys can be split
+    smallest = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    of_kind = written(named.join(smallest, "root").select("fp", "component_id"), "of_kind")
     return rows.join(of_kind, "fp").select("doc_id", "fp", "component_id")
 
 
