@@ -269,46 +269,159 @@ def metrics_dict(metrics: DataFrame) -> dict[str, float]:
 # reports
 
 # fixed values: metric, better when higher (+), lower (-) or neither (0), warn and good bounds
-METRIC_BANDS = """
-accuracy + 0.70 0.85
-precision + 0.65 0.80
-recall + 0.65 0.80
-f1_score + 0.65 0.80
-f2_score + 0.65 0.80
-f0_5_score + 0.65 0.80
-cohen_kappa + 0.40 0.60
-mcc + 0.40 0.70
-specificity + 0.65 0.80
-false_positive_rate - 0.25 0.10
-false_negative_rate - 0.25 0.10
-false_discovery_rate - 0.25 0.10
-negative_predictive_value + 0.65 0.80
-roc_auc + 0.75 0.90
-brier_score - 0.25 0.10
-log_loss_val - 0.50 0.20
-r2_score + 0.60 0.85
-adjusted_r2 + 0.60 0.85
-explained_variance + 0.60 0.85
-pearson_correlation + 0.70 0.90
-silhouette_score + 0.25 0.50
-"""
-
-_CLASSIFIER = "accuracy precision recall f1_score"
-_REGRESSOR = "r2_score adjusted_r2 rmse mae"
+METRIC_BANDS: list[tuple[str, str, float, float]] = [
+    ("accuracy", "+", 0.70, 0.85),
+    ("precision", "+", 0.65, 0.80),
+    ("recall", "+", 0.65, 0.80),
+    ("f1_score", "+", 0.65, 0.80),
+    ("f2_score", "+", 0.65, 0.80),
+    ("f0_5_score", "+", 0.65, 0.80),
+    ("cohen_kappa", "+", 0.40, 0.60),
+    ("mcc", "+", 0.40, 0.70),
+    ("specificity", "+", 0.65, 0.80),
+    ("false_positive_rate", "-", 0.25, 0.10),
+    ("false_negative_rate", "-", 0.25, 0.10),
+    ("false_discovery_rate", "-", 0.25, 0.10),
+    ("negative_predictive_value", "+", 0.65, 0.80),
+    ("roc_auc", "+", 0.75, 0.90),
+    ("brier_score", "-", 0.25, 0.10),
+    ("log_loss_val", "-", 0.50, 0.20),
+    ("r2_score", "+", 0.60, 0.85),
+    ("adjusted_r2", "+", 0.60, 0.85),
+    ("explained_variance", "+", 0.60, 0.85),
+    ("pearson_correlation", "+", 0.70, 0.90),
+    ("silhouette_score", "+", 0.25, 0.50),
+]
 
 # fixed values: the metrics a report shows per algorithm, in order
-REPORT_METRICS = {
-    "LogisticRegression": "accuracy roc_auc log_loss_val precision recall f1_score brier_score cohen_kappa mcc specificity",
-    "SVC": f"{_CLASSIFIER} f2_score mcc cohen_kappa roc_auc n_support_vectors false_positive_rate",
-    "DecisionTree": f"{_CLASSIFIER} mcc cohen_kappa f2_score tree_depth specificity false_negative_rate",
-    "RandomForest": "accuracy roc_auc f1_score precision recall mcc cohen_kappa n_estimators log_loss_val brier_score",
-    "KNeighborsClassifier": f"{_CLASSIFIER} roc_auc mcc cohen_kappa f2_score specificity false_positive_rate",
-    "LinearRegression": f"{_REGRESSOR} mse mape explained_variance pearson_correlation residual_mean residual_std",
-    "Ridge": f"{_REGRESSOR} mse mape explained_variance pearson_correlation residual_mean max_error",
-    "Lasso": f"{_REGRESSOR} mse mape non_zero_coefficients explained_variance residual_mean pearson_correlation",
-    "SVR": f"{_REGRESSOR} mse mape explained_variance pearson_correlation n_support_vectors residual_std",
-    "KNeighborsRegressor": f"{_REGRESSOR} median_absolute_error mape explained_variance pearson_correlation max_error residual_std",
-    "KMeans": "silhouette_score calinski_harabasz davies_bouldin inertia n_clusters",
+REPORT_METRICS: dict[str, list[str]] = {
+    "LogisticRegression": [
+        "accuracy",
+        "roc_auc",
+        "log_loss_val",
+        "precision",
+        "recall",
+        "f1_score",
+        "brier_score",
+        "cohen_kappa",
+        "mcc",
+        "specificity",
+    ],
+    "SVC": [
+        "accuracy",
+        "precision",
+        "recall",
+        "f1_score",
+        "f2_score",
+        "mcc",
+        "cohen_kappa",
+        "roc_auc",
+        "n_support_vectors",
+        "false_positive_rate",
+    ],
+    "DecisionTree": [
+        "accuracy",
+        "precision",
+        "recall",
+        "f1_score",
+        "mcc",
+        "cohen_kappa",
+        "f2_score",
+        "tree_depth",
+        "specificity",
+        "false_negative_rate",
+    ],
+    "RandomForest": [
+        "accuracy",
+        "roc_auc",
+        "f1_score",
+        "precision",
+        "recall",
+        "mcc",
+        "cohen_kappa",
+        "n_estimators",
+        "log_loss_val",
+        "brier_score",
+    ],
+    "KNeighborsClassifier": [
+        "accuracy",
+        "precision",
+        "recall",
+        "f1_score",
+        "roc_auc",
+        "mcc",
+        "cohen_kappa",
+        "f2_score",
+        "specificity",
+        "false_positive_rate",
+    ],
+    "LinearRegression": [
+        "r2_score",
+        "adjusted_r2",
+        "rmse",
+        "mae",
+        "mse",
+        "mape",
+        "explained_variance",
+        "pearson_correlation",
+        "residual_mean",
+        "residual_std",
+    ],
+    "Ridge": [
+        "r2_score",
+        "adjusted_r2",
+        "rmse",
+        "mae",
+        "mse",
+        "mape",
+        "explained_variance",
+        "pearson_correlation",
+        "residual_mean",
+        "max_error",
+    ],
+    "Lasso": [
+        "r2_score",
+        "adjusted_r2",
+        "rmse",
+        "mae",
+        "mse",
+        "mape",
+        "non_zero_coefficients",
+        "explained_variance",
+        "residual_mean",
+        "pearson_correlation",
+    ],
+    "SVR": [
+        "r2_score",
+        "adjusted_r2",
+        "rmse",
+        "mae",
+        "mse",
+        "mape",
+        "explained_variance",
+        "pearson_correlation",
+        "n_support_vectors",
+        "residual_std",
+    ],
+    "KNeighborsRegressor": [
+        "r2_score",
+        "adjusted_r2",
+        "rmse",
+        "mae",
+        "median_absolute_error",
+        "mape",
+        "explained_variance",
+        "pearson_correlation",
+        "max_error",
+        "residual_std",
+    ],
+    "KMeans": [
+        "silhouette_score",
+        "calinski_harabasz",
+        "davies_bouldin",
+        "inertia",
+        "n_clusters",
+    ],
 }
 
 
@@ -318,13 +431,10 @@ def metric_report(metrics: DataFrame, algorithm: str) -> DataFrame:
     spark = metrics.sparkSession
     shown = REPORT_METRICS.get(algorithm)
     if shown:
-        order = spark.createDataFrame([(i + 1, m) for i, m in enumerate(shown.split())], "position int, metric string")
+        order = spark.createDataFrame([(i + 1, m) for i, m in enumerate(shown)], "position int, metric string")
     else:
         order = metrics.select(F.row_number().over(_by_metric()).alias("position"), "metric").where("position <= 10")
-    bands = [line.split() for line in METRIC_BANDS.strip().splitlines()]
-    table = spark.createDataFrame(
-        [(m, sign, float(lo), float(hi)) for m, sign, lo, hi in bands], "metric string, better string, warn double, good double"
-    )
+    table = spark.createDataFrame(METRIC_BANDS, "metric string, better string, warn double, good double")
     v = F.col("value")
     band = (
         F.when(F.col("better").isNull(), "neutral")

@@ -349,43 +349,39 @@ ALGORITHMS = [
     "KMeans Clustering",
 ]
 
-# fixed values: points an algorithm gets for a fact about the dataset
-ALGORITHM_POINTS = """
-problem_type regression 3: Linear Regression, Ridge (L2), Lasso (L1), SVR, KNN Regressor, Decision Tree, Random Forest
-problem_type classification 3: Logistic Regression, SVC, KNN Classifier, Decision Tree, Random Forest
-problem_type clustering 5: KMeans Clustering
-linearity linear 3: Linear Regression, Logistic Regression
-linearity linear 2: Ridge (L2), Lasso (L1)
-linearity non-linear 3: Random Forest
-linearity non-linear 2: Decision Tree, SVC
-linearity non-linear 1: KNN Classifier, KNN Regressor
-dataset_size small 3: KNN Classifier, KNN Regressor
-dataset_size small 2: SVC
-dataset_size large 3: Random Forest
-dataset_size large 2: Ridge (L2), Lasso (L1)
-noise_level high 4: Random Forest
-noise_level high 2: Ridge (L2), Lasso (L1)
-noise_level low 2: Linear Regression, Logistic Regression
-need_interpretability true 3: Linear Regression, Logistic Regression, Decision Tree
-feature_type mixed 2: Decision Tree, Random Forest
-feature_type mixed 1: KNN Classifier
-class_balance imbalanced 3: Random Forest
-class_balance imbalanced 2: SVC
-speed_requirement fast 2: Linear Regression, Logistic Regression, Decision Tree
-n_features high 3: Ridge (L2), Lasso (L1)
-n_features high 2: SVC
-"""
+# fixed values: fact about the dataset, its value, points, and the algorithms that get them
+ALGORITHM_POINTS: list[tuple[str, str, int, list[str]]] = [
+    ("problem_type", "regression", 3, ["Linear Regression", "Ridge (L2)", "Lasso (L1)", "SVR", "KNN Regressor", "Decision Tree", "Random Forest"]),
+    ("problem_type", "classification", 3, ["Logistic Regression", "SVC", "KNN Classifier", "Decision Tree", "Random Forest"]),
+    ("problem_type", "clustering", 5, ["KMeans Clustering"]),
+    ("linearity", "linear", 3, ["Linear Regression", "Logistic Regression"]),
+    ("linearity", "linear", 2, ["Ridge (L2)", "Lasso (L1)"]),
+    ("linearity", "non-linear", 3, ["Random Forest"]),
+    ("linearity", "non-linear", 2, ["Decision Tree", "SVC"]),
+    ("linearity", "non-linear", 1, ["KNN Classifier", "KNN Regressor"]),
+    ("dataset_size", "small", 3, ["KNN Classifier", "KNN Regressor"]),
+    ("dataset_size", "small", 2, ["SVC"]),
+    ("dataset_size", "large", 3, ["Random Forest"]),
+    ("dataset_size", "large", 2, ["Ridge (L2)", "Lasso (L1)"]),
+    ("noise_level", "high", 4, ["Random Forest"]),
+    ("noise_level", "high", 2, ["Ridge (L2)", "Lasso (L1)"]),
+    ("noise_level", "low", 2, ["Linear Regression", "Logistic Regression"]),
+    ("need_interpretability", "true", 3, ["Linear Regression", "Logistic Regression", "Decision Tree"]),
+    ("feature_type", "mixed", 2, ["Decision Tree", "Random Forest"]),
+    ("feature_type", "mixed", 1, ["KNN Classifier"]),
+    ("class_balance", "imbalanced", 3, ["Random Forest"]),
+    ("class_balance", "imbalanced", 2, ["SVC"]),
+    ("speed_requirement", "fast", 2, ["Linear Regression", "Logistic Regression", "Decision Tree"]),
+    ("n_features", "high", 3, ["Ridge (L2)", "Lasso (L1)"]),
+    ("n_features", "high", 2, ["SVC"]),
+]
 
 # fixed values: answer when fewer than three algorithms score at all
 FALLBACK_ALGORITHMS = ["Random Forest", "SVC", "Decision Tree"]
 
 
 def algorithm_rules(spark: SparkSession) -> DataFrame:
-    rows = []
-    for line in ALGORITHM_POINTS.strip().splitlines():
-        fact, algos = line.split(": ")
-        feature, value, points = fact.rsplit(" ", 2)
-        rows += [(feature, value, a, int(points), ALGORITHMS.index(a)) for a in algos.split(", ")]
+    rows = [(feature, value, a, points, ALGORITHMS.index(a)) for feature, value, points, algos in ALGORITHM_POINTS for a in algos]
     return spark.createDataFrame(rows, "feature string, value string, algorithm string, points int, position int")
 
 

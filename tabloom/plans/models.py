@@ -24,7 +24,7 @@ from tabloom.errors import TrainError
 from tabloom.functions.lookup import lookup_join
 from tabloom.operators.knn import Metric, classify, nearest, regress, votes
 from tabloom.plans.features import FEATURES, with_features
-from tabloom.plans.kernel import KernelMap, fit_map, fit_svr
+from tabloom.plans.kernel import LANDMARKS, KernelMap, fit_map, fit_svr
 from tabloom.session import materialize
 from tabloom.types import col
 
@@ -157,7 +157,9 @@ class FittedModel:
 
 def _tree(p: dict) -> dict:
     leaf, split = p.get("min_samples_leaf") or 1, p.get("min_samples_split") or 2
-    depth = MAX_DEPTH if p.get("max_depth") is None else min(p["max_depth"], MAX_DEPTH)
+    depth = MAX_DEPTH if p.get("max_depth") is None else p["max_depth"]
+    if depth > MAX_DEPTH:
+        raise TrainError(f"max_depth={depth}: trees deeper than {MAX_DEPTH} cannot be grown")
     return {
         "maxDepth": depth, "maxBins": MAX_BINS, "minInstancesPerNode": max(leaf, -(-split // 2)), "featuresCol": FEATURES, "labelCol": LABEL,
     }
@@ -218,7 +220,7 @@ def fit_estimator(algorithm: str, task: str, data: DataFrame, p: dict, seed: int
                 best = one
         return best, None, None
     if algorithm == "SVC":
-        mapped = None if p["kernel"] == "linear" else fit_map(data, p["kernel"], p["gamma"], p["degree"])
+        mapped = None if p["kernel"] == "linear" else fit_map(data, p["kernel"], p["gamma"], p["degree"], int(p.get("landmarks", LANDMARKS)))
         frame = mapped.apply(data) if mapped else data
         n = data.count()
         svc = LinearSVC(regParam=1.0 / (p["C"] * max(n, 1)), standardization=False, tol=SVM_TOL, **common)
@@ -236,7 +238,7 @@ def fit_estimator(algorithm: str, task: str, data: DataFrame, p: dict, seed: int
             return est.fit(frame), mapped, None
         return svc.fit(frame), mapped, None
     if algorithm == "SVR":
-        mapped = None if p["kernel"] == "linear" else fit_map(data, p["kernel"], p["gamma"], p["degree"])
+        mapped = None if p["kernel"] == "linear" else fit_map(data, p["kernel"], p["gamma"], p["degree"], int(p.get("landmarks", LANDMARKS)))
         frame = mapped.apply(data) if mapped else data
         return None, mapped, [float(v) for v in fit_svr(frame, LABEL, p["C"], p["epsilon"])]
     raise TrainError(f"Model '{algorithm}' is not supported.")

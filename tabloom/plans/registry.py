@@ -25,76 +25,102 @@ TASKS = {
     "RandomForestRegressor": "regression",
 }
 
-# fixed values: algorithm, parameter, type, default
-PARAMETERS = """
-LinearRegression fit_intercept bool True
-LinearRegression normalize bool False
-LinearRegression copy_X bool True
-LinearRegression n_jobs int None
-LinearRegression positive bool False
-LogisticRegression C float 1.0
-LogisticRegression penalty str l2
-LogisticRegression solver str lbfgs
-LogisticRegression max_iter int 100
-LogisticRegression multi_class str auto
-LogisticRegression l1_ratio float None
-DecisionTree max_depth int None
-DecisionTree min_samples_split int 2
-DecisionTree min_samples_leaf int 1
-DecisionTree max_features str None
-DecisionTree criterion str gini
-RandomForest n_estimators int 100
-RandomForest max_depth int None
-RandomForest min_samples_split int 2
-RandomForest min_samples_leaf int 1
-RandomForest max_features str sqrt
-RandomForest bootstrap bool True
-KNeighborsClassifier n_neighbors int 5
-KNeighborsClassifier weights str uniform
-KNeighborsClassifier metric str minkowski
-KNeighborsClassifier p int 2
-KNeighborsClassifier algorithm str auto
-KNeighborsRegressor n_neighbors int 5
-KNeighborsRegressor weights str uniform
-KNeighborsRegressor metric str minkowski
-KNeighborsRegressor p int 2
-KNeighborsRegressor leaf_size int 30
-KMeans n_clusters int 8
-KMeans init str k-means++
-KMeans max_iter int 300
-KMeans n_init int 10
-KMeans tol float 0.0001
-SVC C float 1.0
-SVC kernel str rbf
-SVC gamma str scale
-SVC degree int 3
-SVC class_weight str None
-SVR C float 1.0
-SVR kernel str rbf
-SVR epsilon float 0.1
-SVR gamma str scale
-SVR degree int 3
-Lasso alpha float 1.0
-Lasso max_iter int 1000
-Lasso tol float 0.0001
-Lasso fit_intercept bool True
-Lasso selection str cyclic
-Ridge alpha float 1.0
-Ridge fit_intercept bool True
-Ridge solver str auto
-Ridge max_iter int None
-Ridge tol float 0.001
-DecisionTreeRegressor max_depth int None
-DecisionTreeRegressor min_samples_split int 2
-DecisionTreeRegressor min_samples_leaf int 1
-DecisionTreeRegressor max_features str None
-RandomForestRegressor n_estimators int 100
-RandomForestRegressor max_depth int None
-RandomForestRegressor min_samples_split int 2
-RandomForestRegressor min_samples_leaf int 1
-RandomForestRegressor max_features str sqrt
-RandomForestRegressor bootstrap bool True
-"""
+# fixed values: parameter, type and default of each algorithm
+PARAMETERS: dict[str, list[tuple[str, str, object]]] = {
+    "LinearRegression": [
+        ("fit_intercept", "bool", True),
+        ("normalize", "bool", False),
+        ("copy_X", "bool", True),
+        ("n_jobs", "int", None),
+        ("positive", "bool", False),
+    ],
+    "LogisticRegression": [
+        ("C", "float", 1.0),
+        ("penalty", "str", "l2"),
+        ("solver", "str", "lbfgs"),
+        ("max_iter", "int", 100),
+        ("multi_class", "str", "auto"),
+        ("l1_ratio", "float", None),
+    ],
+    "DecisionTree": [
+        ("max_depth", "int", None),
+        ("min_samples_split", "int", 2),
+        ("min_samples_leaf", "int", 1),
+        ("max_features", "str", None),
+        ("criterion", "str", "gini"),
+    ],
+    "RandomForest": [
+        ("n_estimators", "int", 100),
+        ("max_depth", "int", None),
+        ("min_samples_split", "int", 2),
+        ("min_samples_leaf", "int", 1),
+        ("max_features", "str", "sqrt"),
+        ("bootstrap", "bool", True),
+    ],
+    "KNeighborsClassifier": [
+        ("n_neighbors", "int", 5),
+        ("weights", "str", "uniform"),
+        ("metric", "str", "minkowski"),
+        ("p", "int", 2),
+        ("algorithm", "str", "auto"),
+    ],
+    "KNeighborsRegressor": [
+        ("n_neighbors", "int", 5),
+        ("weights", "str", "uniform"),
+        ("metric", "str", "minkowski"),
+        ("p", "int", 2),
+        ("leaf_size", "int", 30),
+    ],
+    "KMeans": [
+        ("n_clusters", "int", 8),
+        ("init", "str", "k-means++"),
+        ("max_iter", "int", 300),
+        ("n_init", "int", 10),
+        ("tol", "float", 0.0001),
+    ],
+    "SVC": [
+        ("C", "float", 1.0),
+        ("kernel", "str", "rbf"),
+        ("gamma", "str", "scale"),
+        ("degree", "int", 3),
+        ("class_weight", "str", None),
+    ],
+    "SVR": [
+        ("C", "float", 1.0),
+        ("kernel", "str", "rbf"),
+        ("epsilon", "float", 0.1),
+        ("gamma", "str", "scale"),
+        ("degree", "int", 3),
+    ],
+    "Lasso": [
+        ("alpha", "float", 1.0),
+        ("max_iter", "int", 1000),
+        ("tol", "float", 0.0001),
+        ("fit_intercept", "bool", True),
+        ("selection", "str", "cyclic"),
+    ],
+    "Ridge": [
+        ("alpha", "float", 1.0),
+        ("fit_intercept", "bool", True),
+        ("solver", "str", "auto"),
+        ("max_iter", "int", None),
+        ("tol", "float", 0.001),
+    ],
+    "DecisionTreeRegressor": [
+        ("max_depth", "int", None),
+        ("min_samples_split", "int", 2),
+        ("min_samples_leaf", "int", 1),
+        ("max_features", "str", None),
+    ],
+    "RandomForestRegressor": [
+        ("n_estimators", "int", 100),
+        ("max_depth", "int", None),
+        ("min_samples_split", "int", 2),
+        ("min_samples_leaf", "int", 1),
+        ("max_features", "str", "sqrt"),
+        ("bootstrap", "bool", True),
+    ],
+}
 
 # fixed values: grid axes that change the result; solvers, tolerances and search
 # structures are left out because they reach the same optimum
@@ -151,11 +177,10 @@ def task_of(algorithm: str) -> str:
     return TASKS[algorithm]
 
 
-def parameters(algorithm: str) -> dict[str, tuple[str, str]]:
-    """{name: (type, default as text)}"""
+def parameters(algorithm: str) -> dict[str, tuple[str, object]]:
+    """{name: (type, default)}"""
     task_of(algorithm)
-    rows = [line.split() for line in PARAMETERS.strip().splitlines()]
-    return {name: (kind, default) for a, name, kind, default in rows if a == algorithm}
+    return {name: (kind, default) for name, kind, default in PARAMETERS[algorithm]}
 
 
 def cast(kind: str, value):

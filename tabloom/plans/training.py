@@ -23,7 +23,6 @@ from tabloom.session import working_copy
 from tabloom.types import as_double, col, dtype_of, is_numeric, nan_to_null
 
 MAX_CLASSES = 1000
-EXACT_SILHOUETTE_ROWS = 20_000
 SHOWN = 10
 
 
@@ -76,21 +75,25 @@ def fit_model(
     hyperparameters: Mapping[str, object] | None = None,
     key: Sequence[str] | None = None,
     seed: int = 42,
+    exact_silhouette: bool = False,
 ) -> FitResult:
     """Split 80/20, learn features and model from the larger part, judge on the other.
 
     Rows with missing values are left out first. ``key`` names columns that identify a
-    row; it makes the split a plain hash filter.
+    row; it makes the split a plain hash filter. ``exact_silhouette`` adds the silhouette
+    over unsquared distances, which compares every pair of held-out rows.
     """
     task = registry.task_of(algorithm)
     params = registry.resolve(algorithm, hyperparameters)
     if task != "clustering" and (not target or target not in df.columns):
         raise TrainError(f"Target column '{target}' not found in dataset columns: {df.columns}")
     with working_copy(nan_to_null(df).dropna()) as clean:
-        return _fit(clean, algorithm, task, target, params, key, seed)
+        return _fit(clean, algorithm, task, target, params, key, seed, exact_silhouette)
 
 
-def _fit(clean: DataFrame, algorithm: str, task: str, target: str | None, params: dict, key: Sequence[str] | None, seed: int) -> FitResult:
+def _fit(
+    clean: DataFrame, algorithm: str, task: str, target: str | None, params: dict, key: Sequence[str] | None, seed: int, exact_silhouette: bool
+) -> FitResult:
     df = clean
     inputs_frame = clean.drop(*(key or []))
     numeric, text = feature_columns(inputs_frame, target if task != "clustering" else None)
@@ -108,12 +111,12 @@ def _fit(clean: DataFrame, algorithm: str, task: str, target: str | None, params
     finally:
         data.unpersist()
     fitted = FittedModel(algorithm, task, target if task != "clustering" else None, numeric + text, classes, stages, model, params, kernel, svr)
-    return evaluate(fitted, test)
+    return evaluate(fitted, test, exact_silhouette)
 
 
-def evaluate(model: FittedModel, test: DataFrame) -> FitResult:
+def evaluate(model: FittedModel, test: DataFrame, exact_silhouette: bool = False) -> FitResult:
     if model.task == "clustering":
-        return _evaluate_clusters(model, test)
+        return _evaluate_clusters(model, test, exact_silhouette)
     scored = model.raw(with_label(nan_to_null(test), model.target, model.classes))
     kept = ["prediction", LABEL] + (["_p"] if "_p" in scored.columns else [])
     scored = scored.select(*kept).persist()
@@ -181,20 +184,17 @@ def model_facts(model: FittedModel) -> dict[str, float]:
     return out
 
 
-def _evaluate_clusters(model: FittedModel, test: DataFrame) -> FitResult:
+def _evaluate_clusters(model: FittedModel, test: DataFrame, exact_silhouette: bool) -> FitResult:
     scored = model.model.transform(model.featurize(test)).select(vector_to_array(FEATURES).alias("x"), F.col("prediction").alias("cluster"))
     width = vector_width(model, test)
     names = [f"x{i}" for i in range(width)]
     flat = scored.select("cluster", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(names)]).persist()
     try:
-        rows = flat.count()
         parts = [cluster_metrics.calinski_harabasz(flat, names, "cluster"), cluster_metrics.davies_bouldin(flat, names, "cluster")]
-        if rows <= EXACT_SILHOUETTE_ROWS:
+        # the squared form is linear in the rows; the unsquared one needs every pair of them
+        parts.append(cluster_metrics.silhouette_squared(flat, names, "cluster"))
+        if exact_silhouette:
             parts.append(cluster_metrics.silhouette(flat, names, "cluster"))
-        else:
-            # unsquared distances need every pair of rows; beyond this size the squared
-            # form, which does not, is reported under its own name
-            parts.append(cluster_metrics.silhouette_squared(flat, names, "cluster"))
         values = {}
         for p in parts:
             values.update({k: None if v is None else round(v, 4) for k, v in metrics.metrics_dict(p).items()})
@@ -313,15 +313,13 @@ def compare_models(
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(one row per classifier, ROC curves of a binary target).
 
-    The target is the last column unless named. ``rows`` caps the data by a random
-    sample, None uses all of it. By default everything is learned from the training
+    The target is the last column unless named. ``rows`` caps the training part by a
+    random sample, None uses all of it; every held-out row is scored. By default everything is learned from the training
     part; ``compat`` fits the feature preparation on all rows, as a quick look would.
     """
     spark = df.sparkSession
     target = target or df.columns[-1]
     frame = nan_to_null(df)
-    if rows is not None:
-        frame = sample_cap(frame, rows, seed, key)
     label = F.coalesce(col(target).cast("string"), F.lit("nan"))
     frame = frame.withColumn(target, label)
     features = [c for c in frame.columns if c != target and c not in (key or [])]
@@ -330,6 +328,8 @@ def compare_models(
     numeric, text = feature_columns(kept, None)
     classes = _classes(frame, target)
     train, test = train_test_split(frame, seed=seed, key=key)
+    if rows is not None:
+        train = sample_cap(train, rows, seed, key)
     basis = frame if compat else train
     stages = fit_comparison_features(basis, numeric, text)
     prepared = lambda part: with_label(stages(part), target, classes).select(FEATURES, LABEL)

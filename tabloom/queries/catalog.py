@@ -116,6 +116,22 @@ def _json(spark, sf):
     return readers.load(spark, path, "json")
 
 
+def _csv_schema(spark, sf):
+    path, rows = scratch_path(spark, "csv"), table(spark, sf, "customer")
+    writers.save(rows, path, "csv")
+    return readers.read_csv(spark, path, rows.schema)
+
+
+def _json_mixed(spark, sf):
+    """One folder with files of one object per line and a file that is one array."""
+    path = scratch_path(spark, "json")
+    writers.save(table(spark, sf, "part").selectExpr("p_partkey AS id", "p_name AS name"), path, "json")
+    few = table(spark, sf, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "n_name AS name")  # 25 rows by their nature
+    array = few.agg(F.to_json(F.collect_list(F.struct("id", "name"))).alias("value"))
+    array.coalesce(1).write.mode("append").text(path)
+    return readers.load(spark, path, "json").select("id", "name")
+
+
 def _metadata(spark, sf):
     return readers.inspect(table(spark, sf, "orders"))
 
@@ -157,6 +173,8 @@ QUERIES: QueryMap = {
     "knn_regress": _knn_regress,
     "csv_roundtrip": _csv,
     "json_roundtrip": _json,
+    "csv_with_schema": _csv_schema,
+    "json_mixed": _json_mixed,
     "dataset_metadata": _metadata,
     "json_rows": _json_rows,
     "sample_cap": _sample,
@@ -205,6 +223,8 @@ ORACLES = {
     "knn_regress": _MANHATTAN + "SELECT vec_id, round(sum(label / dist) / sum(1 / dist), 6) AS prediction FROM r WHERE rank <= 5 GROUP BY vec_id",
     "csv_roundtrip": "SELECT * FROM customer",
     "json_roundtrip": "SELECT * FROM part",
+    "csv_with_schema": "SELECT * FROM customer",
+    "json_mixed": "SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT n_nationkey, n_name FROM nation",
     "dataset_metadata": """SELECT name AS column_name, dtype, (SELECT count(*) FROM orders) AS row_count FROM (VALUES ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'),
         ('o_orderstatus', 'string'), ('o_totalprice', 'double'), ('o_orderdate', 'timestamp_ntz'), ('o_orderpriority', 'string')) t(name, dtype)""",
     "json_rows": """SELECT CASE WHEN o_orderkey % 11 = 0 THEN '{"o_orderkey":' || o_orderkey || ',"prio_n":null}'

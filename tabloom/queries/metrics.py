@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import cluster_metrics, metrics
 from tabloom.queries.common import QueryMap, embedding_dims, embedding_sql, rounded, table
 
-DIMS = 4
+DIMS = 64
 E_COLS = [f"e{i}" for i in range(DIMS)]
 
 
@@ -130,10 +130,31 @@ UNION ALL SELECT 'residual_std', round(se, 4) FROM z UNION ALL SELECT 'mape', ro
 UNION ALL SELECT 'pearson_correlation', round(r, 4) FROM z
 UNION ALL SELECT 'adjusted_r2', round(1 - (sse / (vy * n)) * (n - 1) / (n - 2), 4) FROM z"""
 
-_BANDS = ", ".join(
-    f"('{m}', '{s}', {lo}::DOUBLE, {hi}::DOUBLE)" for m, s, lo, hi in (x.split() for x in metrics.METRIC_BANDS.strip().splitlines())
-)
-_ORDER = ", ".join(f"({i + 1}, '{m}')" for i, m in enumerate(metrics.REPORT_METRICS["LogisticRegression"].split()))
+# the expected bands and order, written out for the SQL side
+_BANDS = """
+  ('accuracy', '+', 0.7::DOUBLE, 0.85::DOUBLE),
+  ('precision', '+', 0.65::DOUBLE, 0.8::DOUBLE),
+  ('recall', '+', 0.65::DOUBLE, 0.8::DOUBLE),
+  ('f1_score', '+', 0.65::DOUBLE, 0.8::DOUBLE),
+  ('f2_score', '+', 0.65::DOUBLE, 0.8::DOUBLE),
+  ('f0_5_score', '+', 0.65::DOUBLE, 0.8::DOUBLE),
+  ('cohen_kappa', '+', 0.4::DOUBLE, 0.6::DOUBLE),
+  ('mcc', '+', 0.4::DOUBLE, 0.7::DOUBLE),
+  ('specificity', '+', 0.65::DOUBLE, 0.8::DOUBLE),
+  ('false_positive_rate', '-', 0.25::DOUBLE, 0.1::DOUBLE),
+  ('false_negative_rate', '-', 0.25::DOUBLE, 0.1::DOUBLE),
+  ('false_discovery_rate', '-', 0.25::DOUBLE, 0.1::DOUBLE),
+  ('negative_predictive_value', '+', 0.65::DOUBLE, 0.8::DOUBLE),
+  ('roc_auc', '+', 0.75::DOUBLE, 0.9::DOUBLE),
+  ('brier_score', '-', 0.25::DOUBLE, 0.1::DOUBLE),
+  ('log_loss_val', '-', 0.5::DOUBLE, 0.2::DOUBLE),
+  ('r2_score', '+', 0.6::DOUBLE, 0.85::DOUBLE),
+  ('adjusted_r2', '+', 0.6::DOUBLE, 0.85::DOUBLE),
+  ('explained_variance', '+', 0.6::DOUBLE, 0.85::DOUBLE),
+  ('pearson_correlation', '+', 0.7::DOUBLE, 0.9::DOUBLE),
+  ('silhouette_score', '+', 0.25::DOUBLE, 0.5::DOUBLE)"""
+_ORDER = """
+  (1, 'accuracy'), (2, 'roc_auc'), (3, 'log_loss_val'), (4, 'precision'), (5, 'recall'), (6, 'f1_score'), (7, 'brier_score'), (8, 'cohen_kappa'), (9, 'mcc'), (10, 'specificity')"""
 
 ORACLES = {
     "confusion_matrix": f"""WITH l AS (SELECT flag AS x FROM {SCORED} UNION SELECT flag_hat FROM {SCORED}),

@@ -101,13 +101,55 @@ c AS (SELECT least(CAST(floor((v - lo) / (hi - lo) * k) AS BIGINT), k - 1) AS bi
 SELECT r.bin AS bin, round(lo + (r.bin + 0.5) * ((hi - lo) / k), 4) AS x, CAST(coalesce(y, 0) AS BIGINT) AS y
 FROM (SELECT unnest(range(0, (SELECT k FROM b))) AS bin) r CROSS JOIN b LEFT JOIN c ON c.bin = r.bin"""
 
-_RULES = " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, '{v}' AS value, '{a}' AS algorithm, {p} AS points, {profile.ALGORITHMS.index(a)} AS position"
-    for line in profile.ALGORITHM_POINTS.strip().splitlines()
-    for fact, algos in [line.split(": ")]
-    for f, v, p in [fact.rsplit(" ", 2)]
-    for a in algos.split(", ")
-)
+# the expected rules, written out for the SQL side
+_RULES = """SELECT * FROM (VALUES
+  ('problem_type', 'regression', 'Linear Regression', 3, 0),
+  ('problem_type', 'regression', 'Ridge (L2)', 3, 1),
+  ('problem_type', 'regression', 'Lasso (L1)', 3, 2),
+  ('problem_type', 'regression', 'SVR', 3, 3),
+  ('problem_type', 'regression', 'KNN Regressor', 3, 4),
+  ('problem_type', 'regression', 'Decision Tree', 3, 8),
+  ('problem_type', 'regression', 'Random Forest', 3, 9),
+  ('problem_type', 'classification', 'Logistic Regression', 3, 5),
+  ('problem_type', 'classification', 'SVC', 3, 6),
+  ('problem_type', 'classification', 'KNN Classifier', 3, 7),
+  ('problem_type', 'classification', 'Decision Tree', 3, 8),
+  ('problem_type', 'classification', 'Random Forest', 3, 9),
+  ('problem_type', 'clustering', 'KMeans Clustering', 5, 10),
+  ('linearity', 'linear', 'Linear Regression', 3, 0),
+  ('linearity', 'linear', 'Logistic Regression', 3, 5),
+  ('linearity', 'linear', 'Ridge (L2)', 2, 1),
+  ('linearity', 'linear', 'Lasso (L1)', 2, 2),
+  ('linearity', 'non-linear', 'Random Forest', 3, 9),
+  ('linearity', 'non-linear', 'Decision Tree', 2, 8),
+  ('linearity', 'non-linear', 'SVC', 2, 6),
+  ('linearity', 'non-linear', 'KNN Classifier', 1, 7),
+  ('linearity', 'non-linear', 'KNN Regressor', 1, 4),
+  ('dataset_size', 'small', 'KNN Classifier', 3, 7),
+  ('dataset_size', 'small', 'KNN Regressor', 3, 4),
+  ('dataset_size', 'small', 'SVC', 2, 6),
+  ('dataset_size', 'large', 'Random Forest', 3, 9),
+  ('dataset_size', 'large', 'Ridge (L2)', 2, 1),
+  ('dataset_size', 'large', 'Lasso (L1)', 2, 2),
+  ('noise_level', 'high', 'Random Forest', 4, 9),
+  ('noise_level', 'high', 'Ridge (L2)', 2, 1),
+  ('noise_level', 'high', 'Lasso (L1)', 2, 2),
+  ('noise_level', 'low', 'Linear Regression', 2, 0),
+  ('noise_level', 'low', 'Logistic Regression', 2, 5),
+  ('need_interpretability', 'true', 'Linear Regression', 3, 0),
+  ('need_interpretability', 'true', 'Logistic Regression', 3, 5),
+  ('need_interpretability', 'true', 'Decision Tree', 3, 8),
+  ('feature_type', 'mixed', 'Decision Tree', 2, 8),
+  ('feature_type', 'mixed', 'Random Forest', 2, 9),
+  ('feature_type', 'mixed', 'KNN Classifier', 1, 7),
+  ('class_balance', 'imbalanced', 'Random Forest', 3, 9),
+  ('class_balance', 'imbalanced', 'SVC', 2, 6),
+  ('speed_requirement', 'fast', 'Linear Regression', 2, 0),
+  ('speed_requirement', 'fast', 'Logistic Regression', 2, 5),
+  ('speed_requirement', 'fast', 'Decision Tree', 2, 8),
+  ('n_features', 'high', 'Ridge (L2)', 3, 1),
+  ('n_features', 'high', 'Lasso (L1)', 3, 2),
+  ('n_features', 'high', 'SVC', 2, 6)) t(feature, value, algorithm, points, position)"""
 
 _FACT_NUMS = ["l_partkey", "l_suppkey", "l_linenumber", *NUMS]
 _FACTS_SQL = f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,11 +30,23 @@ def read_csv(
     if schema is not None:
         texts = T.StructType([T.StructField(f.name, T.StringType()) for f in _struct(spark, schema).fields])
         raw = _missing_texts(reader.schema(texts).csv(path))
-        return raw.select(*[col(f.name).try_cast(f.dataType).alias(f.name) for f in _struct(spark, schema).fields])
+        return raw.select(*[_typed(f) for f in _struct(spark, schema).fields])
     # types are inferred with one spelling of missing; others would turn numbers into text
     raw = _missing_texts(reader.csv(path))
     inferred = _infer(raw, sampling_ratio)
-    return raw.select(*[col(f.name).try_cast(f.dataType).alias(f.name) for f in inferred.fields])
+    return raw.select(*[_typed(f) for f in inferred.fields])
+
+
+def _typed(field: T.StructField) -> Column:
+    """The cells in the type of their column; a cell that does not fit fails the read."""
+    if isinstance(field.dataType, T.StringType):
+        return col(field.name).alias(field.name)
+    cell = col(field.name)
+    value = cell.try_cast(field.dataType)
+    if isinstance(field.dataType, T.IntegralType):  # casting '2.5' to an integer would cut it
+        value = F.when(F.trim(cell).rlike("^[+-]?[0-9]+$"), value)
+    bad = F.concat(F.lit(f"column {field.name}: not a {field.dataType.simpleString()}: "), cell)
+    return F.when(cell.isNotNull() & value.isNull(), F.raise_error(bad).cast(field.dataType)).otherwise(value).alias(field.name)
 
 
 def _has_open_quotes(spark: SparkSession, path: str) -> bool:
@@ -82,13 +94,23 @@ def _infer(raw: DataFrame, sampling_ratio: float) -> T.StructType:
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """One object per line, or whole-file arrays of objects (or one object over several
-    lines), told apart by the first line."""
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    first = head[0]["value"].strip() if head else "{}"
-    whole_file = not (first.startswith("{") and first.endswith("}"))
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return nan_to_null(reader.option("multiLine", whole_file).json(path))
+    """Files of one object per line, and files that are an array of objects (or one object over
+    several lines), told apart file by file: the former have an object on every line that is
+    not blank. A record that cannot be read fails the read."""
+    line = F.trim("value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line")).where("line <> ''")
+    odd = F.count_if(~(F.col("line").startswith("{") & F.col("line").endswith("}")))
+    files = lines.groupBy("file").agg((odd > 0).alias("whole")).collect()  # one row per file
+    reader = (spark.read.schema(schema) if schema is not None else spark.read).option("mode", "FAILFAST")
+    parts = []
+    for whole in (False, True):
+        names = sorted(r["file"] for r in files if r["whole"] == whole)
+        if names:
+            parts.append(reader.option("multiLine", whole).json(names))
+    if not parts:
+        return nan_to_null(reader.json(path))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return nan_to_null(both)
 
 
 def read_parquet(spark: SparkSession, path: str, keep_nan: bool = False) -> DataFrame:

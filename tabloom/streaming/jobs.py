@@ -17,7 +17,7 @@ from tabloom.operators.catalog import DAILY_QUOTA, TTL_HOURS
 from tabloom.plans.models import FittedModel
 from tabloom.plans.steps import FittedPreparation
 
-KEEP_DAYS = 7
+LATENESS_DAYS = 7
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "json", options: Mapping[str, str] | None = None) -> DataFrame:
@@ -79,17 +79,29 @@ def quota_stream(
     checkpoint: str,
     quota: int = DAILY_QUOTA,
     available_now: bool = False,
+    lateness_days: int = LATENESS_DAYS,
+    late: str | None = None,
 ) -> StreamingQuery:
     """Decide every arriving request: accepted while its user has used less than the quota
     that day, in time order inside a batch and arrival order between batches.
 
-    What a user has used is one row per user and day, written per batch. Days older than
-    a week are forgotten.
+    What a user has used is one row per user and day, written per batch, and kept for
+    ``lateness_days`` before the newest day of earlier batches. Requests of older days can no
+    longer be decided: they are written, batch by batch, to ``late`` (default: ``out`` with
+    ``-late``), not to ``out``.
     """
+    late_out = late or f"{out.rstrip('/')}-late"
 
     def decide(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("_day", F.to_date(ts))
+        past = None
+        if number > 0:
+            past = spark.read.parquet(f"{state}/batch={number - 1}").agg(F.max("_day")).first()[0]
+        if past is not None:
+            on_time = F.col("_day").isNull() | (F.col("_day") > F.date_sub(F.lit(past), lateness_days))
+            rows.where(~on_time).drop("_day").write.mode("overwrite").parquet(f"{late_out}/batch={number}")
+            rows = rows.where(on_time)
         keyed = rows.select(F.col(key).alias("_key"), F.col(user).alias("_user"), "_day", F.col(ts).alias("_ts"))
         order = [F.col("_ts"), F.col("_key")]
         first = first_per_group(keyed, ["_user", "_day"], order, quota, F.col("_key"))
@@ -110,7 +122,7 @@ def quota_stream(
         merged = used.unionByName(fresh).groupBy("_user", "_day").agg(F.sum("used").alias("used"))
         newest = merged.agg(F.max("_day")).first()[0]
         if newest is not None:
-            merged = merged.where(F.col("_day") > F.date_sub(F.lit(newest), KEEP_DAYS))
+            merged = merged.where(F.col("_day") > F.date_sub(F.lit(newest), lateness_days))
         merged.write.mode("overwrite").parquet(f"{state}/batch={number}")
         decided = rows.drop("_day").join(accepted.select("_key"), F.col(key) == F.col("_key"), "left")
         decided.select(*batch.columns, F.col("_key").isNotNull().alias("accepted")).write.mode("overwrite").parquet(

@@ -89,7 +89,7 @@ def test_clusters(spark, rng):
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double")
     result = training.fit_model(df, "KMeans", None, {"n_clusters": 3, "n_init": 3}, ["id"])
     got = metrics.metrics_dict(result.metrics)
-    assert got["silhouette_score"] > 0.8 and got["n_clusters"] == 3 and result.comparison.count() == 3
+    assert got["silhouette_squared"] > 0.8 and got["n_clusters"] == 3 and result.comparison.count() == 3
 
 
 def silhouette(x, c, squared):

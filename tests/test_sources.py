@@ -32,11 +32,30 @@ def test_csv_line_breaks_inside_quotes(spark, tmp_path):
 
 def test_csv_with_schema_and_glob(spark, tmp_path):
     put(tmp_path / "d" / "a.csv", "id,x\n1,2\n")
-    put(tmp_path / "d" / "b.csv", "id,x\n2,bad\n")
+    put(tmp_path / "d" / "b.csv", "id,x\n2,NA\n")
     df = readers.load(spark, str(tmp_path / "d" / "*.csv"), "csv", schema="id int, x double")
     assert sorted(tuple(r) for r in df.collect()) == [(1, 2.0), (2, None)]
 
 
+@pytest.mark.parametrize("cell, schema", [("bad", "id int, x double"), ("2.5", "id int, x bigint"), ("maybe", "id int, x boolean")])
+def test_csv_cells_that_do_not_fit_fail_the_read(spark, tmp_path, cell, schema):
+    path = put(tmp_path / "a.csv", f"id,x\n1,{cell}\n")
+    with pytest.raises(Exception, match="column x: not a"):
+        readers.read_csv(spark, path, schema).collect()
+
+
+def test_json_folder_of_lines_and_arrays(spark, tmp_path):
+    put(tmp_path / "d" / "a.json", '{"a": 1}\n{"a": 2, "b": "x"}\n')
+    put(tmp_path / "d" / "b.json", '[{"a": 3}, {"a": 4, "b": "y"}]')
+    put(tmp_path / "d" / "c.json", '{\n "a": 5\n}')
+    for schema in (None, "a bigint, b string"):
+        got = readers.read_json(spark, str(tmp_path / "d"), schema).select("a", "b").collect()
+        assert sorted(map(tuple, got)) == [(1, None), (2, "x"), (3, None), (4, "y"), (5, None)]
+    put(tmp_path / "d" / "d.json", '{"a": 6}\n{"a": }\n')
+    with pytest.raises(Exception):
+        readers.read_json(spark, str(tmp_path / "d"), "a bigint").collect()
+
+
 @pytest.mark.parametrize("text", ['{"a": 1, "b": "x"}\n{"a": 2}\n', '[{"a": 1, "b": "x"}, {"a": 2}]', '[\n {"a": 1, "b": "x"},\n {"a": 2}\n]'])
 def test_json_lines_and_arrays(spark, tmp_path, text):
     path = put(tmp_path / "a.json", text)

@@ -33,6 +33,19 @@ def test_quota_holds_across_batches(spark):
     assert got == {0: True, 1: True, 2: True, 10: True, 11: True, 12: False, 13: False, 50: True}
 
 
+def test_quota_sets_late_requests_apart(spark):
+    folder = scratch_path(spark, "in")
+    new = events(spark, [(1, 1, START + timedelta(days=20)), (2, 1, START + timedelta(days=18))])
+    old = events(spark, [(3, 1, START + timedelta(days=2)), (4, 1, START + timedelta(days=18, hours=1))])
+    out, state, check = (scratch_path(spark, n) for n in ("out", "state", "check"))
+    for part in (new, old):
+        part.write.mode("append").parquet(folder)
+        stream = jobs.read_stream(spark, folder, new.schema, "parquet")
+        jobs.quota_stream(stream, "user", "ts", "id", out, state, check, available_now=True, lateness_days=3).awaitTermination()
+    assert {r["id"]: r["accepted"] for r in spark.read.parquet(out).collect()} == {1: True, 2: True, 4: True}
+    assert [r["id"] for r in spark.read.parquet(f"{out}-late").collect()] == [3]
+
+
 def test_expiry_waits_for_the_watermark(spark):
     folder = scratch_path(spark, "in")
     rows = [(1, 1, START), (2, 1, START + timedelta(hours=3)), (3, 1, START + timedelta(hours=7))]
