@@ -357,8 +357,14 @@ def compare_models(
             out["error"] = f"{type(e).__name__}: {str(e)[:500]}"
         return out
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = list(pool.map(run, list(names or COMPARED)))
+    results = []
+    try:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            results = list(pool.map(run, list(names or COMPARED)))
+    finally:
+        data.unpersist()
+        if not any(r.get("roc") is not None for r in results):  # curves are read from these rows later
+            held.unpersist()
     fields = ["model", "accuracy", "precision", "recall", "f1", "roc_auc", "training_time", "error"]
     schema = "model string, accuracy double, precision double, recall double, f1 double, roc_auc double, training_time double, error string"
     table = spark.createDataFrame([tuple(r.get(f) for f in fields) for r in results], schema)
