@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions import stats
+from tabloom.functions import linalg, stats
 from tabloom.session import working_copy
 from tabloom.types import as_double, col, column_kinds, dtype_of, is_numeric, nan_to_null, numeric_columns
 
@@ -255,42 +256,21 @@ def insights(profile: DataFrame) -> DataFrame:
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair over the rows where both are present
-    (pairwise deletion), i < j, in one aggregate. Constant columns give NULL."""
-    return _corr_long(_doubles(df, columns), list(columns), full=False)
+    (pairwise deletion), i < j. Constant columns give NULL."""
+    columns = list(columns)
+    return _corr_long(_doubles(df, columns), columns, [(i, j) for j in range(len(columns)) for i in range(j)])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Full matrix in long form over the rows where every column is present (listwise deletion)."""
     columns = list(columns or numeric_columns(df))
-    return _corr_long(_doubles(df, columns).dropna(), columns, full=True)
-
-
-def _corr(a: Column, b: Column) -> Column:
-    # the moments are taken over the complete pairs only; a zero spread yields NULL
-    both = a.isNotNull() & b.isNotNull()
-    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
-    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
-
-
-def _corr_long(frame: DataFrame, columns: list[str], full: bool) -> DataFrame:
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    if full:  # every row is complete, so one spread per column serves all its pairs
-        aggs = [F.covar_pop(col(columns[i]), col(columns[j])).alias(f"c{i}_{j}") for i, j in pairs]
-        aggs += [F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(columns)]
-        ratio = lambda i, j: F.col(f"c{i}_{j}") / F.nullif(F.col(f"s{i}") * F.col(f"s{j}"), F.lit(0.0))
-        wide = frame.agg(*aggs).select("*", *[ratio(i, j).alias(f"p{i}_{j}") for i, j in pairs])
-    else:
-        aggs = [_corr(col(columns[i]), col(columns[j])).alias(f"p{i}_{j}") for i, j in pairs]
-        wide = frame.agg(*(aggs or [F.count(F.lit(1)).alias("_n")]))
-
-    def cell(i: int, j: int, value: Column) -> Column:
-        return F.struct(F.lit(columns[i]).alias("col_a"), F.lit(columns[j]).alias("col_b"), value.alias("corr"))
-
-    cells = [cell(i, j, F.col(f"p{i}_{j}")) for i, j in pairs]
-    if full:
-        cells += [cell(j, i, F.col(f"p{i}_{j}")) for i, j in pairs]
-        cells += [cell(i, i, F.when(F.col(f"s{i}") > 0, F.lit(1.0))) for i in range(len(columns))]
-    return wide.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+    return _corr_long(_doubles(df, columns).dropna(), columns, [(i, j) for i in range(len(columns)) for j in range(len(columns))])
+
+
+def _corr_long(frame: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    found = linalg.correlations(frame, columns)
+    rows = [(columns[i], columns[j], None if np.isnan(found[i, j]) else float(found[i, j])) for i, j in pairs]
+    return frame.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
