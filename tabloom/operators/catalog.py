@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.lookup import fits_broadcast, lookup_join
+from tabloom.functions.lookup import hot_keys, lookup_join
 from tabloom.functions.ordered import first_per_group
+from tabloom.session import materialize
 
 TTL_HOURS = 6
 DAILY_QUOTA = 5
-MAX_DEPTH = 32
 PER_TYPE = 5
 TIMELINE = 10
 READY = ["COMPLETED", "DEPLOYED"]
@@ -66,30 +67,28 @@ def empty_parents(parents: DataFrame, key: str, children: Sequence[tuple[DataFra
     return out
 
 
-def breadcrumbs(nodes: DataFrame, id_: str = "id", parent: str = "parent_id", name: str = "name", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, path): the names and ids from the root down to every node.
+def breadcrumbs(nodes: DataFrame, id_: str = "id", parent: str = "parent_id", name: str = "name") -> DataFrame:
+    """(id, path): the names and ids from the root down to every node. A parent that does not
+    exist ends the path; a cycle is an error.
 
-    One join per level upwards; a parent with many children is handled as a hot key.
+    Every node holds the piece of its path found so far and the node above that piece. A round
+    puts the piece of that node in front, so pieces double and a depth of d takes log2(d)
+    rounds. Finished paths are kept apart; a parent of very many children is a hot key.
     """
-    # how many children name a parent: the weight of its key in the join
-    weights = nodes.groupBy(F.col(parent).alias("_p")).agg(F.count(F.lit(1)).alias("w"))
-    table = (
-        nodes.select(F.col(id_).alias("k"), F.struct(F.col(id_).alias("id"), F.col(name).alias("name"), F.col(parent).alias("up")).alias("v"))
-        .join(weights, F.col("k") == F.col("_p"), "left")
-        .select("k", "v", F.coalesce("w", F.lit(0)).alias("w"))
-    )
     step = F.struct(F.col(id_).alias("id"), F.col(name).alias("name"))
-    walk = nodes.select(F.col(id_).alias("id"), F.col(parent).alias("up"), F.array(step).alias("path"))
-    small = fits_broadcast(table, "k")
-    for _ in range(max_depth):
-        if walk.where(F.col("up").isNotNull()).limit(1).count() == 0:
-            return walk.select("id", "path")
-        joined = lookup_join(walk, "up", table, "k", "v", weight="w", small=small, into="_v")
-        here = F.array(F.struct(F.col("_v")["id"].alias("id"), F.col("_v")["name"].alias("name")))
-        walk = joined.select(
-            "id", F.col("_v")["up"].alias("up"), F.when(F.col("_v").isNull(), F.col("path")).otherwise(F.concat(here, "path")).alias("path")
-        )
-    raise ValueError(f"the hierarchy is deeper than {max_depth} levels or has a cycle")
+    start = materialize(nodes.select(F.col(id_).alias("id"), F.col(parent).alias("up"), F.array(step).alias("path")))
+    done, open_ = [start.where(F.col("up").isNull())], start.where(F.col("up").isNotNull())
+    while open_.limit(1).count():
+        if open_.where(F.exists("path", lambda s: s["id"] == F.col("up"))).limit(1).count():
+            raise ValueError("the hierarchy has a cycle")
+        pieces = reduce(DataFrame.unionByName, [*done, open_]).select(F.col("id").alias("k"), F.struct("up", "path").alias("v"))
+        hot = hot_keys(open_.groupBy("up").agg(F.count(F.lit(1)).alias("w")), "up", "w")
+        joined = lookup_join(open_, "up", pieces, "k", "v", small=False, into="_v", hot=hot)
+        longer = F.when(F.col("_v").isNull(), F.col("path")).otherwise(F.concat(F.col("_v")["path"], "path"))
+        found = materialize(joined.select("id", F.col("_v")["up"].alias("up"), longer.alias("path")))
+        done.append(found.where(F.col("up").isNull()))
+        open_ = found.where(F.col("up").isNotNull())
+    return reduce(DataFrame.unionByName, done).select("id", "path")
 
 
 def activity_timeline(

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.functions.lookup import BROADCAST_ROWS, fits_broadcast, lookup_join
+from tabloom.functions.lookup import BROADCAST_ROWS, fits_broadcast, hot_keys, lookup_join
 from tabloom.session import materialize
 from tabloom.types import col, nan_to_null, quoted
 
@@ -39,6 +39,13 @@ class LookupTable:
 
     frame: DataFrame
     small: bool
+    found: list | None = None
+
+    def hot(self) -> list | None:
+        """The hottest keys of a large table, looked for once."""
+        if self.found is None and not self.small:
+            self.found = hot_keys(self.frame, "k", "w")
+        return self.found
 
     @classmethod
     def freeze(cls, frame: DataFrame) -> "LookupTable":
@@ -111,7 +118,7 @@ class Step:
             if null_text:
                 df = df.withColumn(column, F.coalesce(col(column).cast("string"), F.lit("nan")))
             df = lookup_join(
-                df, column, table.frame, "k", "v", None if default is None else F.lit(default), "w", small=table.small
+                df, column, table.frame, "k", "v", None if default is None else F.lit(default), "w", table.small, hot=table.hot()
             )
         if self.projection is not None:
             return self.projection.apply(df, self.drop)

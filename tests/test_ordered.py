@@ -62,12 +62,23 @@ def test_lookup_join_keeps_all_rows(spark):
 def test_breadcrumbs_refuse_a_cycle(spark):
     nodes = spark.createDataFrame([("a", "b", "A"), ("b", "a", "B")], "id string, parent_id string, name string")
     try:
-        catalog.breadcrumbs(nodes, max_depth=4)
+        catalog.breadcrumbs(nodes)
         raise AssertionError("a cycle went unnoticed")
     except ValueError as e:
         assert "cycle" in str(e)
 
 
+def test_breadcrumbs_of_a_deep_tree(spark):
+    # a chain of 70 nodes, 200 children of its end, and a node whose parent is missing
+    nodes = [(0, None)] + [(i, i - 1) for i in range(1, 70)] + [(1000 + i, 69) for i in range(200)] + [(5000, 4999)]
+    df = spark.createDataFrame([(i, p, f"n{i}") for i, p in nodes], "id int, parent_id int, name string")
+    got = {r["id"]: [s["id"] for s in r["path"]] for r in catalog.breadcrumbs(df).collect()}
+    chain = list(range(70))
+    assert len(got) == len(nodes) and got[5000] == [5000]
+    assert all(got[i] == chain[: i + 1] for i in chain)
+    assert all(got[1000 + i] == chain + [1000 + i] for i in range(200))
+
+
 def test_samples_are_exact_and_repeatable(spark):
     df = spark.range(5000).withColumn("copy", F.lit("same"))
     a = sampling.sample_cap(df, 100, key=["id"])

@@ -63,6 +63,20 @@ def test_profile_of_awkward_columns(spark):
     assert {r["column_name"]: r["outlier_count"] for r in profile.sigma_outliers(df, df.columns).collect()} == dict.fromkeys(df.columns, 0)
 
 
+def test_correlations_of_many_columns_with_gaps(spark, rng):
+    d = 40
+    x = rng.normal(size=(300, d)) * 10.0 ** rng.uniform(-3, 6, d) + rng.normal(size=d) * 1e3
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 5] = 0.1
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(d)])
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"c{i} double" for i in range(d)))
+    got = profile.correlation_pairs(df, df.columns).toPandas()
+    want = pdf.corr().to_numpy()
+    pairs = np.array([want[int(a[1:]), int(b[1:])] for a, b in zip(got["col_a"], got["col_b"])])
+    assert len(got) == d * (d - 1) // 2
+    assert np.allclose(got["corr"].to_numpy(dtype=float), pairs, atol=1e-9, equal_nan=True)
+
+
 def test_empty_table_has_a_profile(spark):
     df = spark.createDataFrame([], "x double, s string")
     assert profile.null_profile(df).count() == 2
