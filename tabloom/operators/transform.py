@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ BINS = 5
 EDGE_DIGITS = 10
 BOXCOX_FLOOR = 1e-6
 LAMBDA_RANGE = (-5.0, 5.0)
+# powers beyond this overflow a DOUBLE for all but numbers next to one
+WIDEST = 640.0
 LAMBDAS_PER_PASS = 24
 PASSES = 4
 
@@ -41,13 +44,14 @@ def boxcox_sql(x: str, lam: float) -> str:
 
 
 def best_lambda(df: DataFrame, x: str, method: str) -> float:
-    """Maximum-likelihood lambda. A pass scores a grid of candidates in one aggregate;
-    the grid then closes in on the best one, and a parabola refines the last three."""
+    """Maximum-likelihood lambda. A pass scores a grid of candidates in one aggregate; a best
+    one at the border widens the grid, another one is closed in on, and a parabola refines the
+    last three."""
     form = yeojohnson_sql if method == "yeojohnson" else boxcox_sql
     jacobian = f"sign({x}) * log1p(abs({x}))" if method == "yeojohnson" else f"ln({x})"
     low, high = LAMBDA_RANGE
-    best = 1.0
-    for i in range(PASSES):
+    best, closings = 1.0, 0
+    while closings < PASSES:
         step = (high - low) / (LAMBDAS_PER_PASS - 1)
         grid = [low + k * step for k in range(LAMBDAS_PER_PASS)]
         aggs = {("v", k): F.expr(f"ln(nullif(var_pop({form(x, lam)}), 0D))") for k, lam in enumerate(grid)}
@@ -57,13 +61,17 @@ def best_lambda(df: DataFrame, x: str, method: str) -> float:
         scores = {
             k: -got["n"] / 2.0 * got[("v", k)] + (lam - 1.0) * got["j"]
             for k, lam in enumerate(grid)
-            if got[("v", k)] is not None and abs(got[("v", k)]) != float("inf")
+            if got[("v", k)] is not None and math.isfinite(got[("v", k)])
         }
         if not scores:
-            return 1.0
+            return best
         k = max(scores, key=scores.get)
         best = grid[k]
-        if i == PASSES - 1 and k - 1 in scores and k + 1 in scores:
+        if closings == 0 and k in (0, LAMBDAS_PER_PASS - 1) and high < WIDEST:
+            low, high = 2 * low, 2 * high
+            continue
+        closings += 1
+        if closings == PASSES and k - 1 in scores and k + 1 in scores:
             a, b, c = scores[k - 1], scores[k], scores[k + 1]
             bend = a - 2 * b + c
             if bend < 0:

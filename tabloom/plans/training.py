@@ -76,28 +76,42 @@ def fit_model(
     key: Sequence[str] | None = None,
     seed: int = 42,
     exact_silhouette: bool = False,
+    held_out: str | None = None,
 ) -> FitResult:
     """Split 80/20, learn features and model from the larger part, judge on the other.
 
     Rows with missing values are left out first. ``key`` names columns that identify a
-    row; it makes the split a plain hash filter. ``exact_silhouette`` adds the silhouette
-    over unsquared distances, which compares every pair of held-out rows.
+    row; it makes the split a plain hash filter. ``held_out`` is an SQL condition that names the
+    rows to judge on instead. ``exact_silhouette`` adds the silhouette over unsquared
+    distances, which compares every pair of held-out rows.
     """
     task = registry.task_of(algorithm)
     params = registry.resolve(algorithm, hyperparameters)
     if task != "clustering" and (not target or target not in df.columns):
         raise TrainError(f"Target column '{target}' not found in dataset columns: {df.columns}")
     with working_copy(nan_to_null(df).dropna()) as clean:
-        return _fit(clean, algorithm, task, target, params, key, seed, exact_silhouette)
+        return _fit(clean, algorithm, task, target, params, key, seed, exact_silhouette, held_out)
 
 
 def _fit(
-    clean: DataFrame, algorithm: str, task: str, target: str | None, params: dict, key: Sequence[str] | None, seed: int, exact_silhouette: bool
+    clean: DataFrame,
+    algorithm: str,
+    task: str,
+    target: str | None,
+    params: dict,
+    key: Sequence[str] | None,
+    seed: int,
+    exact_silhouette: bool,
+    held_out: str | None,
 ) -> FitResult:
     df = clean
     inputs_frame = clean.drop(*(key or []))
     numeric, text = feature_columns(inputs_frame, target if task != "clustering" else None)
-    train, test = train_test_split(clean, seed=seed, key=key)
+    if held_out is None:
+        train, test = train_test_split(clean, seed=seed, key=key)
+    else:
+        side = F.coalesce(F.expr(held_out), F.lit(False))
+        train, test = clean.where(~side), clean.where(side)
     if not train.limit(1).count():
         raise TrainError("Dataset is empty after dropping missing values.")
     classes = _classes(clean, target) if task == "classification" else None
