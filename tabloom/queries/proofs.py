@@ -205,7 +205,7 @@ QUERIES: QueryMap = {
     "train_test_cover": _split,
     "scatter_members": _scatter,
     "tx_yeojohnson_best": _power("customer", "c_acctbal", ["c_custkey"], "yeojohnson"),
-    "tx_boxcox_best": _power("part", "p_retailprice", ["p_partkey"], "boxcox"),
+    "tx_boxcox_best": _power("lineitem", "l_extendedprice", LINE_KEY, "boxcox"),
     "csv_glob_select": _csv_glob,
     "sniffed_csv": _sniffed,
     "csv_header": _header,
@@ -326,7 +326,7 @@ ORACLES = {
         "sign(x) * ln(1 + abs(x))",
     ),
     "tx_boxcox_best": _best_power(
-        "part", "p_retailprice", "p_partkey", "CASE WHEN abs(l) < 1e-12 THEN ln(x) ELSE (pow(x, l) - 1) / l END", "ln(x)"
+        "lineitem", "l_extendedprice", LINE_SQL, "CASE WHEN abs(l) < 1e-12 THEN ln(x) ELSE (pow(x, l) - 1) / l END", "ln(x)"
     ),
     "csv_glob_select": "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS total FROM orders WHERE o_totalprice > 1000",
     "sniffed_csv": "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part",
