@@ -247,9 +247,10 @@ def texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(work, "id long, line binary")
 
 
-def places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line_no, id of every line."""
-    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+def places(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """doc_id, line_no, id of every line, and the row_key of its document if there is one."""
+    own = [] if row_col is None else [F.col(f"`{row_col}`").alias("row_key")]
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *own, F.col(f"`{text_col}`").cast("binary").alias("text"))
     kind = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("id", T.LongType())]))
 
     def make():
@@ -263,7 +264,8 @@ def places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return work
 
-    return map_columns(narrow, ["text"], [("lines", kind)], make, keep=["doc_id"]).select("doc_id", F.inline("lines"))
+    kept = narrow.columns[:-1]
+    return map_columns(narrow, ["text"], [("lines", kind)], make, keep=kept).select(*kept, F.inline("lines"))
 
 
 def links(docs: DataFrame, lines: int, text_col: str, edits: int, bytes_per_edit: int) -> DataFrame:
@@ -326,6 +328,21 @@ def links(docs: DataFrame, lines: int, text_col: str, edits: int, bytes_per_edit
     return rows.groupBy("cell").applyInPandas(verify, "a long, b long")
 
 
+def _with_first(docs: DataFrame, edits: int, bytes_per_edit: int, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """The place of every line and, as a struct, the first place of its class: doc_id, line_no
+    and, as the last to decide, row_key."""
+    if not 0 <= edits <= 15 or bytes_per_edit <= edits:
+        raise ValueError("edits must lie between 0 and 15 and be fewer than bytes_per_edit")
+    found = written(places(docs, id_col, text_col, row_col), "lines")
+    place = ["doc_id", "line_no", *([] if row_col is None else ["row_key"])]
+    roots = components(links(docs, found.count(), text_col, edits, bytes_per_edit)).withColumnRenamed("node", "id")
+    named = found.join(roots, "id", "left").select(*place, F.coalesce("root", "id").alias("class"))
+    named = written(named, "named")
+    # written, so that both sides of the join are plain shuffles, whose hot keys can be split
+    first = written(named.groupBy("class").agg(F.min(F.struct(*place)).alias("first")), "first")
+    return named.join(first, "class").select(*place, "first")
+
+
 def classes(
     docs: DataFrame, edits: int = EDITS, bytes_per_edit: int = BYTES_PER_EDIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -334,15 +351,7 @@ def classes(
 
     NULL and empty texts have no lines; a NULL id comes first. Rows that repeat a doc_id count
     as the same document, and all copies of a class's first line are kept."""
-    if not 0 <= edits <= 15 or bytes_per_edit <= edits:
-        raise ValueError("edits must lie between 0 and 15 and be fewer than bytes_per_edit")
-    found = written(places(docs, id_col, text_col), "lines")
-    roots = components(links(docs, found.count(), text_col, edits, bytes_per_edit)).withColumnRenamed("node", "id")
-    named = found.join(roots, "id", "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("class"))
-    named = written(named, "named")
-    # written, so that both sides of the join are plain shuffles, whose hot keys can be split
-    first = written(named.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "first")
-    out = named.join(first, "class").select(
+    out = _with_first(docs, edits, bytes_per_edit, id_col, text_col).select(
         "doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no")
     )
     same = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no"))
@@ -353,10 +362,16 @@ def without_repeats(
     docs: DataFrame, edits: int = EDITS, bytes_per_edit: int = BYTES_PER_EDIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The documents without the lines that repeat an earlier one; all columns kept. Documents
-    that lose their last line that is not blank go; those that had none stay as they are."""
-    repeats = classes(docs, edits, bytes_per_edit, id_col, text_col).where("NOT kept")
-    gone = repeats.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    met = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
+    that lose their last line that is not blank go; those that had none stay as they are.
+
+    A document is its id and its text, known by a 64-bit hash: rows without id and different
+    texts under one id lose only lines of their own; rows equal in both are treated alike."""
+    row_col = fresh(docs, "row_key")
+    keyed = docs.withColumn(row_col, F.xxhash64(F.col(f"`{text_col}`")))
+    found = _with_first(keyed, edits, bytes_per_edit, id_col, text_col, row_col)
+    repeats = found.where(~F.struct("doc_id", "line_no", "row_key").eqNullSafe(F.col("first")))
+    gone = repeats.groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row")).agg(F.collect_set("line_no").alias("__gone"))
+    met = keyed.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col(row_col) == F.col("__row")), "left")
     kept, left = fresh(docs, "kept_text"), fresh(docs, "left_over")
 
     def make():

@@ -21,7 +21,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,6 +170,15 @@ def near_links(fingerprints: DataFrame, distance: int = 4) -> DataFrame:
     return sent.groupBy("cell").applyInPandas(meet, "a long, b long")
 
 
+def _named(rows: DataFrame, first: Column, distance: int) -> DataFrame:
+    """fp, root, first: each fingerprint of the rows with the smallest one that is reachable by
+    links and the aggregate ``first`` of its own rows."""
+    kinds = written(rows.groupBy("fp").agg(first.alias("first")), "kinds")
+    roots = components(near_links(kinds.select("fp"), distance))
+    named = kinds.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return written(named, "named")
+
+
 def classes(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (signed long), component_id: the smallest doc_id that is reachable by links.
 
@@ -177,12 +186,9 @@ def classes(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str =
     without id take part but never name a component that has another row. Equal rows stay."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = written(with_fingerprint(narrow, "fp", "text", shingle, keep=["doc_id"]), "fingerprints")
-    kinds = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "kinds")
-    roots = components(near_links(kinds.select("fp"), distance))
-    named = kinds.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = written(named, "named")
+    named = _named(rows, F.min("doc_id"), distance)
     # written, so that both sides of each join are plain shuffles, whose hot keys can be split
-    smallest = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    smallest = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     of_kind = written(named.join(smallest, "root").select("fp", "component_id"), "of_kind")
     return rows.join(of_kind, "fp").select("doc_id", "fp", "component_id")
 
@@ -194,10 +200,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id; all its own columns."""
-    found = classes(docs, distance, shingle, id_col, text_col)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    met = docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
-    turn = fresh(docs, "turn")
-    one = met.withColumn(turn, F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.col(f"`{id_col}`"))))
-    return one.where(F.col(turn) == 1).drop(turn)
+    """One document of each component, the one with the smallest id; all its own columns.
+
+    A document is its id and its text, known by a 64-bit hash. Rows without id come last, and
+    of one id the hash decides, so a component always keeps exactly one row."""
+    row_col = fresh(docs, "row_key")
+    keyed = docs.withColumn(row_col, F.xxhash64(F.col(f"`{text_col}`")))
+    narrow = keyed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(row_col).alias("row_key"), F.col(f"`{text_col}`").alias("text"))
+    rows = written(with_fingerprint(narrow, "fp", "text", shingle, keep=["doc_id", "row_key"]), "fingerprints")
+    named = _named(rows, F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")), distance)
+    heads = written(named.groupBy("root").agg(F.min("first").alias("first")), "heads")
+    stay = heads.select(F.col("first.doc_id").alias("__id"), F.col("first.row_key").alias("__row"))
+    met = keyed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col(row_col) == F.col("__row")), "left_semi")
+    one = met.dropDuplicates([id_col, row_col])
+    return one.drop(row_col)

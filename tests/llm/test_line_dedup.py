@@ -135,3 +135,13 @@ def test_without_repeats(spark):
             want.append((d, None if t is None else "\n".join(left), "a"))
     got = without_repeats(docs)
     assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_rows_without_id_and_texts_of_one_id_lose_only_their_own_repeats(spark):
+    for key in (None, 7):
+        rows = [(key, "header\nfoo"), (key, "bar\nheader"), (key, "one\ntwo"), (key, "two\nthree"), (key, None), (9, "header")]
+        got = without_repeats(frame(spark, rows)).collect()
+        texts = [r.text for r in got]
+        assert all(r.doc_id == key for r in got) and len(texts) == 5 and texts.count(None) == 1
+        lines = [x for t in texts if t for x in t.split("\n")]
+        assert sorted(lines) == ["bar", "foo", "header", "one", "three", "two"]

@@ -103,3 +103,14 @@ def test_documents(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
     assert digest(docs.where("false")).collect() == [] and keep_one(docs.where("false")).collect() == []
+
+
+def test_rows_without_id_and_texts_of_one_id_are_kept(spark):
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randint(0, 10**6)) for _ in range(60)) for _ in range(12)]
+    for key in (None, 7):
+        rows = [(key, t) for t in texts] + [(key, texts[0])] * 3 + [(key, texts[1] + " "), (3, texts[2]), (None, texts[3])]
+        kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert sorted(r.text.strip() for r in kept) == sorted(texts)
+        by_text = {r.text.strip(): r.doc_id for r in kept}
+        assert by_text[texts[2]] == 3 and all(by_text[t] == key for t in texts if t != texts[2])
