@@ -87,3 +87,25 @@ def worker_store() -> dict:
     globals of this package start anew in every task; caches of pure functions belong here."""
     module = sys.modules.setdefault("_tabloom_worker_store", types.ModuleType("_tabloom_worker_store"))
     return module.__dict__.setdefault("store", {})
+
+
+# groups of at least this share of all rows are joined by broadcast; there are no more of them
+HOT_GROUPS = 1_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Rows with the other columns of their group; ``groups`` has one row per key (NULL is one)
+    and the number of its rows in ``size``, ``total`` is their sum.
+
+    A group of at least one in HOT_GROUPS of all rows is hot. There are at most HOT_GROUPS such
+    groups, so these are broadcast and their rows stay where they are; the others are shuffled."""
+    named = groups.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in groups.columns])
+    same = [rows[c].eqNullSafe(F.col(f"__{c}")) for c in on]
+    condition = same[0]
+    for more in same[1:]:
+        condition = condition & more
+    hot = F.col(size) * F.lit(HOT_GROUPS) >= F.lit(total)
+    few, rest = F.broadcast(named.where(hot)), named.where(~hot)
+    out = [*rows.columns, *[c for c in groups.columns if c not in on]]
+    own = rows.join(few, condition).select(*out)
+    return own.unionByName(rows.join(few, condition, "left_anti").join(rest, condition).select(*out))

@@ -5,7 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import common, decontamination, html_text, language, line_dedup, neighbours, packing, pii, sharding, simhash, token_counts
+from tabloom.llm import (
+    common,
+    decontamination,
+    exact_dedup,
+    html_text,
+    language,
+    line_dedup,
+    neighbours,
+    packing,
+    pii,
+    sharding,
+    simhash,
+    spelling,
+    token_counts,
+    vector_codes,
+)
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +108,67 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants_of_texts(common.table(spark, sf_dir, "documents"), drop_every=97)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(common.table(spark, sf_dir, "documents"), largest=True)
+
+
+OP12_SQL = """
+WITH doc AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+mark AS (
+  SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) AS place FROM doc)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM mark
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(common.table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    """The rounds one after the other: assign every part, then average the parts of each entry."""
+    near = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, n, p, v, min(struct_pack(d := d, e := e)) AS m FROM (
+    SELECT x.vec_id, x.n, x.p, x.v, b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM part x JOIN b{r} b ON b.p = x.p) GROUP BY vec_id, n, p, v)"""
+    mean = """
+s{r} AS (
+  SELECT p, e, k, sum(y)::BIGINT AS s, count(*) AS c FROM (
+    SELECT p, m.e AS e, unnest(v) AS y, unnest(range(1, len(v) + 1)) AS k FROM a{r}) GROUP BY p, e, k),
+m{r} AS (SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY k) AS v FROM s{r} GROUP BY p, e),
+b{n} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)"""
+    steps = [near.format(r=r) + "," + mean.format(r=r, n=r + 1) for r in range(rounds)]
+    return (
+        """
+WITH vec AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS n, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (
+  SELECT vec_id, n, p, list_slice(v, p * (len(v) // 4) + 1, (p + 1) * (len(v) // 4)) AS v FROM vec, (SELECT unnest(range(4)) AS p)),
+b0 AS MATERIALIZED (SELECT p, n - 1 AS e, v FROM part WHERE n <= 256),"""
+        + ",".join(steps)
+        + ","
+        + near.format(r=rounds)
+        + f""",
+book AS (
+  SELECT sha256(string_agg(y, ',' ORDER BY p, e, k)) AS codebooks_sha256 FROM (
+    SELECT p, e, CAST(unnest(v) AS VARCHAR) AS y, unnest(range(1, len(v) + 1)) AS k FROM b{rounds})),
+code AS (SELECT vec_id, n, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, n)
+SELECT code.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM code JOIN vec USING (n), book
+"""
+    )
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_html_text": op2_html_text,
@@ -104,9 +180,14 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op8_decontamination": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op12_exact_dedup": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
