@@ -16,7 +16,7 @@ the tasks by broadcast, so its size is bounded. More blocks mean more passes ove
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -192,11 +192,15 @@ FIELDS = [
 def _scan(docs: DataFrame, names: list[str], text_col: str, block: Block | None, window: int) -> DataFrame:
     """One pass over the texts with one block. ``names`` are the columns of FIELDS in ``docs``;
     those that an earlier pass has filled are merged."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)  # at most block_words words
+    # at most block_words words, as plain values: executors have no copy of the package's classes
+    plain = None if block is None else {f.name: getattr(block, f.name) for f in fields(block)} | {"vocabulary": dict(block.vocabulary)}
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
     again = all(n in docs.columns for n in names)
 
     def make():
-        prober = Prober(shared.value) if shared.value is not None else None
+        prober = None
+        if shared.value is not None:
+            prober = Prober(Block(**shared.value | {"vocabulary": Vocabulary(shared.value["vocabulary"])}))
 
         def work(columns: list[pa.Array]) -> list[pa.Array]:
             texts = [words_of(t) for t in columns[0].to_pylist()]
@@ -231,10 +235,11 @@ def _scan(docs: DataFrame, names: list[str], text_col: str, block: Block | None,
 
         return work
 
-    texts = docs.withColumn("__text", F.col(f"`{text_col}`").cast("binary"))
+    utf8 = fresh(docs, "utf8")
+    texts = docs.withColumn(utf8, F.col(f"`{text_col}`").cast("binary"))
     keep = [c for c in docs.columns if c not in names]
-    fields = [(name, kind) for name, (_, kind) in zip(names, FIELDS)]
-    return map_columns(texts, ["__text", *(names if again else [])], fields, make, keep=keep)
+    made = [(name, kind) for name, (_, kind) in zip(names, FIELDS)]
+    return map_columns(texts, [utf8, *(names if again else [])], made, make, keep=keep)
 
 
 def matches(

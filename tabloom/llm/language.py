@@ -203,9 +203,8 @@ def has_letter(text: bytes) -> bool:
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """lang, window, live: at most SAMPLE_DOCUMENTS documents of each language, chosen by a hash
     of their id, and of each at most SAMPLE_WINDOWS windows, evenly spaced over the whole text."""
-    ids = labelled.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
-        F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("__lang")
-    )
+    labelled = labelled.select(*[F.col(f"`{c}`").alias(name) for c, name in ((id_col, "own_id"), (lang_col, "own_lang"), (text_col, "text"))])
+    ids = labelled.where("own_lang IS NOT NULL AND text IS NOT NULL").select(F.col("own_id").alias("__id"), F.col("own_lang").alias("__lang"))
     # a thin slice of each language by hash first, so that ranking one never takes many rows
     counts = ids.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n"))
     slice_of = F.pmod(F.xxhash64("__id", F.lit(SEED + 1)), F.lit(1_000_000)) * F.col("__n")
@@ -213,8 +212,8 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
     turn = F.row_number().over(Window.partitionBy("__lang").orderBy(F.xxhash64("__id", F.lit(SEED)), "__id"))
     few = ids.withColumn("__turn", turn).where(F.col("__turn") <= SAMPLE_DOCUMENTS).select("__id", "__lang").distinct()
     # a fixed number of ids per language, however many documents there are
-    met = labelled.join(F.broadcast(few), (F.col(f"`{id_col}`") == F.col("__id")) & (F.col(f"`{lang_col}`") == F.col("__lang")))
-    texts = met.select("__lang", F.col(f"`{text_col}`").cast("binary").alias("text"))
+    met = labelled.join(F.broadcast(few), (F.col("own_id") == F.col("__id")) & (F.col("own_lang") == F.col("__lang")))
+    texts = met.select("__lang", F.col("text").cast("binary").alias("text"))
 
     def make():
         def work(columns: list[pa.Array]) -> list[pa.Array]:
@@ -254,10 +253,12 @@ def predict(
 
     Texts that are NULL, empty or without a letter get ``und`` and 0, and so does everything
     where no network could be trained. Of equally likely languages the first by name wins."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    # plain values: classes would be looked up by name, and executors have no copy of the package
+    plain = None if network is None else (network.languages, network.weights)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
 
     def make():
-        model = shared.value
+        model = None if shared.value is None else Network(*shared.value)
 
         def work(columns: list[pa.Array]) -> list[pa.Array]:
             texts = [t or b"" for t in columns[0].to_pylist()]

@@ -20,7 +20,6 @@ of a corpus of n lines are confused with a probability of about n * n / 2 ** 65.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import fresh, map_columns, written
+from tabloom.llm.common import fresh, map_columns, worker_store, written
 from tabloom.llm.components import components, forest
 
 EDITS = 2
@@ -39,6 +38,9 @@ MET_ROWS = 30_000  # lines verified by one task, about
 BLOCK = 2048  # lines of a split key in one block
 PAIRS = 200_000  # pairs enumerated at once
 CHARACTERS = 2_000_000  # compared at once
+LONG = 500_000  # bytes of a line that is compared by itself
+STRETCH = 1 << 16  # bytes of a long line looked at together
+PLANS = 5_000  # lengths whose keys a worker remembers
 
 
 def lines_of(text: bytes | None) -> list[tuple[int, bytes]]:
@@ -56,7 +58,6 @@ def allowed(length: int, edits: int = EDITS, bytes_per_edit: int = BYTES_PER_EDI
     return min(edits, length // bytes_per_edit)
 
 
-@lru_cache(maxsize=100_000)
 def key_plan(length: int, edits: int, bytes_per_edit: int) -> tuple[list[tuple[slice, int]], int]:
     """Slices of a line of this length with the seeds of their keys: first the segments it
     lists, then the substrings it probes with; and the number of the former."""
@@ -131,6 +132,42 @@ def banded(flat: np.ndarray, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: n
     return out
 
 
+def common_start(a: memoryview, b: memoryview, i: int, j: int) -> int:
+    """How many bytes a[i:] and b[j:] begin with in common."""
+    most, n = min(len(a) - i, len(b) - j), 0
+    while n < most:
+        size = min(STRETCH, most - n)
+        differ = np.frombuffer(a[i + n : i + n + size], np.uint8) != np.frombuffer(b[j + n : j + n + size], np.uint8)
+        if differ.any():
+            return n + int(differ.argmax())
+        n += size
+    return n
+
+
+def long_distance(a: bytes, b: bytes, most: int) -> int:
+    """Edit distance of two long lines, most + 1 if it is larger: how far each diagonal gets with no,
+    one, two, ... edits, equal stretches being skipped. Takes no memory beside the lines."""
+    a, b = memoryview(a), memoryview(b)
+    goal = len(b) - len(a)
+    reach: dict[int, int] = {}
+    for edits in range(most + 1):
+        new = {}
+        for d in range(-edits, edits + 1):
+            ways = [reach[d] + 1] if d in reach else []  # a replaced byte
+            if d + 1 in reach:
+                ways.append(reach[d + 1] + 1)  # a byte of a left out
+            if d - 1 in reach:
+                ways.append(reach[d - 1])  # a byte of b put in
+            i = min(max(ways, default=0), len(a), len(b) - d)
+            if i < 0 or i + d < 0 or (edits and not ways):
+                continue
+            new[d] = i + common_start(a, b, i, i + d)
+            if d == goal and new[d] == len(a):
+                return edits
+        reach = new
+    return most + 1
+
+
 def close_pairs(lines: list[bytes], a: np.ndarray, b: np.ndarray, limit: np.ndarray, band: int) -> np.ndarray:
     """True for the pairs of line numbers (a not longer than b) whose distance is within the
     limit. Common beginnings and ends are cut off first."""
@@ -139,6 +176,10 @@ def close_pairs(lines: list[bytes], a: np.ndarray, b: np.ndarray, limit: np.ndar
     starts = np.cumsum(lengths) - lengths
     out = np.zeros(len(a), bool)
     order = np.argsort(lengths[a], kind="stable")
+    while len(order) and lengths[a[order[-1]]] > LONG:
+        k = order[-1]
+        out[k] = long_distance(lines[a[k]], lines[b[k]], int(limit[k])) <= limit[k]
+        order = order[:-1]
     low = 0
     while low < len(order):
         rows = max(1, CHARACTERS // max(1, int(lengths[a[order[min(low + 1000, len(order) - 1)]]])))
@@ -281,11 +322,16 @@ def links(docs: DataFrame, lines: int, text_col: str, edits: int, bytes_per_edit
         import xxhash
 
         digest = xxhash.xxh64_intdigest
+        plans = worker_store().setdefault(("key plans", edits, bytes_per_edit), {})
         for batch in batches:
             keys: list[int] = []
             ids, counts, probing = [], [], []
             for line in {line for t in batch.column(0).to_pylist() for _, line in lines_of(t)}:
-                plan, listed = key_plan(len(line), edits, bytes_per_edit)
+                if len(line) not in plans:
+                    if len(plans) >= PLANS:
+                        plans.clear()
+                    plans[len(line)] = key_plan(len(line), edits, bytes_per_edit)
+                plan, listed = plans[len(line)]
                 if plan:
                     keys += [digest(line[part], seed) for part, seed in plan]
                     ids.append(line_id(line))
@@ -322,7 +368,7 @@ def links(docs: DataFrame, lines: int, text_col: str, edits: int, bytes_per_edit
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     asked = met.groupBy("id").agg(F.collect_list(F.struct("task", "probe")).alias("asked"))
-    told = texts(docs, text_col).join(asked.hint("shuffle_hash"), "id")
+    told = texts(docs, text_col).join(asked, "id")
     rows = told.select("id", "line", F.explode("asked").alias("q")).select("q.task", "q.probe", "id", "line")
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("task"), F.lit(parts)).cast("int")).repartition(parts, "cell")
     return rows.groupBy("cell").applyInPandas(verify, "a long, b long")
@@ -367,11 +413,12 @@ def without_repeats(
     A document is its id and its text, known by a 64-bit hash: rows without id and different
     texts under one id lose only lines of their own; rows equal in both are treated alike."""
     row_col = fresh(docs, "row_key")
+    own_id, own_row, lost_lines = fresh(docs, "lost_id"), fresh(docs, "lost_row"), fresh(docs, "lost_lines")
     keyed = docs.withColumn(row_col, F.xxhash64(F.col(f"`{text_col}`")))
     found = _with_first(keyed, edits, bytes_per_edit, id_col, text_col, row_col)
     repeats = found.where(~F.struct("doc_id", "line_no", "row_key").eqNullSafe(F.col("first")))
-    gone = repeats.groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row")).agg(F.collect_set("line_no").alias("__gone"))
-    met = keyed.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col(row_col) == F.col("__row")), "left")
+    gone = repeats.groupBy(F.col("doc_id").alias(own_id), F.col("row_key").alias(own_row)).agg(F.collect_set("line_no").alias(lost_lines))
+    met = keyed.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(row_col) == F.col(own_row)), "left")
     kept, left = fresh(docs, "kept_text"), fresh(docs, "left_over")
 
     def make():
@@ -393,5 +440,5 @@ def without_repeats(
     utf8 = fresh(docs, "utf8")
     rows = met.withColumn(utf8, F.col(f"`{text_col}`").cast("binary"))
     others = [c for c in docs.columns if c != text_col]
-    made = map_columns(rows, [utf8, "__gone"], [(kept, T.StringType()), (left, T.BooleanType())], make, keep=others)
+    made = map_columns(rows, [utf8, lost_lines], [(kept, T.StringType()), (left, T.BooleanType())], make, keep=others)
     return made.where(F.col(left)).select(*[F.col(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

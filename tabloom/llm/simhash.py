@@ -204,13 +204,13 @@ def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str =
 
     A document is its id and its text, known by a 64-bit hash. Rows without id come last, and
     of one id the hash decides, so a component always keeps exactly one row."""
-    row_col = fresh(docs, "row_key")
+    row_col, own_id, own_row = fresh(docs, "row_key"), fresh(docs, "stay_id"), fresh(docs, "stay_row")
     keyed = docs.withColumn(row_col, F.xxhash64(F.col(f"`{text_col}`")))
     narrow = keyed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(row_col).alias("row_key"), F.col(f"`{text_col}`").alias("text"))
     rows = written(with_fingerprint(narrow, "fp", "text", shingle, keep=["doc_id", "row_key"]), "fingerprints")
     named = _named(rows, F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")), distance)
     heads = written(named.groupBy("root").agg(F.min("first").alias("first")), "heads")
-    stay = heads.select(F.col("first.doc_id").alias("__id"), F.col("first.row_key").alias("__row"))
-    met = keyed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col(row_col) == F.col("__row")), "left_semi")
+    stay = heads.select(F.col("first.doc_id").alias(own_id), F.col("first.row_key").alias(own_row))
+    met = keyed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(row_col) == F.col(own_row)), "left_semi")
     one = met.dropDuplicates([id_col, row_col])
     return one.drop(row_col)
