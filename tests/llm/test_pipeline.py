@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import random
-import re
+import subprocess
+import sys
 from collections import Counter
 
 import corpus_pipeline
 import pytest
-import xxhash
 from test_decontamination import brute as contaminated
 from test_line_dedup import brute as line_classes
+from test_similar import alike, plain_set
 from test_simhash import union
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -48,13 +50,6 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-def fingerprint5(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
-    grams = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
-    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def test_stages_against_plain_versions(spark, folder):
     rows, items = table()
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -83,12 +78,12 @@ def test_stages_against_plain_versions(spark, folder):
     assert all(r.n_chars == len(r.text) for r in seen["line_dedup"])
     assert 7 in want and not any(400 <= d for d in want)
 
-    prints = {d: fingerprint5(t) for d, t in want.items()}
-    values = set(prints.values())
-    roots = union([(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4], values)
+    sets = {d: plain_set(t) for d, t in want.items()}
+    roots = union([(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])], sets)
     least = {}
-    for d, f in prints.items():
-        least[roots[f]] = min(d, least.get(roots[f], d))
+    for d in sets:
+        least[roots[d]] = min(d, least.get(roots[d], d))
+    assert len(least) < len(sets)
     assert {r.doc_id for r in seen["near_dedup"]} == set(least.values())
 
     hit = {r[0] for r in contaminated([(d, want[d]) for d in least.values()], items) if r[-1]}
@@ -103,6 +98,48 @@ def test_run(spark, folder):
     assert got.count() > 150
 
 
+def test_columns_of_any_name_stay_as_they_are(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["__id", "__row", "__gone", "__lang", "__text", "row_key", "utf8", "kind", "lang_pred", "n_words"]
+    for k, name in enumerate(names):
+        docs = docs.selectExpr("*", f"concat('{k}-', doc_id) AS `{name}`")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+        rows = docs.collect()
+        assert len(rows) > 100, name
+        assert all(r[n] == f"{k}-{r.doc_id}" for r in rows for k, n in enumerate(names)), name
+
+
+def test_nothing_labelled_keeps_every_text_with_a_letter(spark, folder):
+    docs = spark.createDataFrame([(1, "abc", None), (2, "12 !", None), (3, None, None), (4, "ж", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, folder).collect()) == [1, 4]
+
+
+FOREIGN = """
+import sys
+sys.path.insert(0, {root!r})
+from tabloom.session import build_session
+import corpus_pipeline
+from tabloom.llm import queries
+del sys.path[0]
+spark = build_session("foreign", "local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4",
+    "spark.checkpoint.dir": {scratch!r}}})
+for name in ("op3_language", "op8_decontamination", "op9_line_dedup", "op11_spelling", "op12_exact_dedup"):
+    assert queries.QUERIES[name](spark, {folder!r}).count() > 0, name
+assert corpus_pipeline.run(spark, {folder!r}).count() > 0
+print("all ran")
+"""
+
+
+def test_executors_need_no_copy_of_the_package(folder, tmp_path):
+    """A session of its own, whose workers start in another folder and cannot import the package."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = FOREIGN.format(root=root, folder=folder, scratch=str(tmp_path))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert "all ran" in ran.stdout, ran.stderr[-3000:]
+
+
 def test_empty_table(spark, tmp_path):
     rows, items = table()
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
