@@ -1,9 +1,10 @@
 """Running totals, ranks and last-seen values over an order, without ever sorting
 a whole table (or one hot key) inside a single task.
 
-The order is cut into ranges by a few split values. Work inside a range is an
-ordinary window; what earlier ranges contribute is carried over from a small
-table that holds one row per range (and key).
+The order is cut into ranges of about ROWS_PER_RANGE rows: by split values in the query's text
+while they are few, and by Spark's range partitioning beyond that, so that ranges never grow
+with the table. Work inside a range is an ordinary window; what earlier ranges contribute is
+carried over from a table that holds one row per range (and key).
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.session import materialize
+
 ROWS_PER_RANGE = 200_000
-MAX_RANGES = 1024
+LITERAL_RANGES = 1024  # cut by values in the query's text; more are cut by partitioning
 SAMPLE_PER_RANGE = 32
 
 
@@ -56,7 +59,15 @@ def range_of(order: Column, splits: Sequence) -> Column:
 
 
 def ranges_for(rows: int) -> int:
-    return max(1, min(MAX_RANGES, -(-rows // ROWS_PER_RANGE)))
+    return max(1, -(-rows // ROWS_PER_RANGE))
+
+
+def with_ranges(df: DataFrame, order: str, ranges: int, rows: int) -> DataFrame:
+    """The rows with ``_range``, which rises with ``order``; equal values share a range."""
+    if ranges <= LITERAL_RANGES:
+        return df.withColumn("_range", range_of(F.col(order), split_values(df, order, ranges, rows)))
+    # kept, so that every reader sees the same ranges
+    return materialize(df.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()))
 
 
 def running_sums(
@@ -74,8 +85,7 @@ def running_sums(
     """
     rows = df.count()
     ranges = ranges or ranges_for(rows)
-    splits = split_values(df, order, ranges, rows)
-    frame = df.withColumn("_range", range_of(F.col(order), splits))
+    frame = with_ranges(df, order, ranges, rows)
     totals = frame.groupBy(*by, "_range").agg(*[F.sum(src).alias(f"_t_{new}") for new, src in sums.items()])
     direction = F.col("_range").desc() if descending else F.col("_range").asc()
     # at most `ranges` rows per key
@@ -100,7 +110,7 @@ def running_sums(
     condition = conditions[0]
     for extra in conditions[1:]:
         condition = condition & extra
-    right = carried if by else F.broadcast(carried)  # without keys: at most MAX_RANGES rows
+    right = carried if by or ranges > LITERAL_RANGES else F.broadcast(carried)  # without keys: a row per range
     joined = summed.alias("l").join(right.alias("r"), condition, "inner")
     return joined.select(
         *[F.col(f"l.{c}") for c in df.columns],
@@ -118,30 +128,30 @@ def asof_join(
 ) -> DataFrame:
     """For every left row the latest right row with ``right.on <= left.on`` and equal ``by``.
 
-    All left rows are kept. Right columns that clash get ``suffix``. Among right
-    rows with the same key and time the largest one (compared column by column)
-    wins, so that the result does not depend on row order.
+    All left rows are kept; those without time or key match nothing and take no part in the
+    search. Right columns that clash get ``suffix``. Among right rows with the same key and time
+    the largest one (compared column by column) wins, so that the result does not depend on
+    row order.
     """
     by = list(by)
     rows = left.count() + right.count()
     ranges = ranges or ranges_for(rows)
-    splits = split_values(left.select(on).unionByName(right.select(on)), on, ranges, rows)
+    whole = F.col(on).isNotNull()
+    for k in by:
+        whole = whole & F.col(k).isNotNull()
+    loose, left, right = left.where(~whole), left.where(whole), right.where(whole)
     payload_cols = [c for c in right.columns if c not in by]
     payload = F.struct(*[F.col(c).alias(c) for c in [on] + [c for c in payload_cols if c != on]])
     left_struct = F.struct(*[F.col(c).alias(c) for c in left.columns])
     # one row per (key, time) on the right: copies collapse before the shuffle
-    right_best = right.where(F.col(on).isNotNull()).groupBy(*by, on).agg(F.max(payload).alias("_payload"))
+    right_best = right.groupBy(*by, on).agg(F.max(payload).alias("_payload"))
     stacked = left.select(*by, F.col(on), F.lit(1).alias("_side"), left_struct.alias("_left")).unionByName(
         right_best.select(*by, F.col(on), F.lit(0).alias("_side"), "_payload"), allowMissingColumns=True
     )
-    stacked = stacked.withColumn("_range", range_of(F.col(on), splits))
-    last_of_range = (
-        right_best.withColumn("_range", range_of(F.col(on), splits))
-        .groupBy(*by, "_range")
-        .agg(F.max_by("_payload", on).alias("_last"))
-    )
+    stacked = with_ranges(stacked, on, ranges, rows)
+    last_of_range = stacked.where("_side = 0").groupBy(*by, "_range").agg(F.max_by("_payload", on).alias("_last"))
     per_range = stacked.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    # missing keys match nothing anyway, and plain equality reuses the partitioning of the window
+    # keys are there, so plain equality reuses the partitioning of the window
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by + ["_range"]]
     condition = same[0]
     for extra in same[1:]:
@@ -160,17 +170,13 @@ def asof_join(
     )
     seen = stacked.withColumn("_seen", F.last("_payload", ignorenulls=True).over(within)).where("_side = 1")
     joined = seen.alias("a").join(carried.alias("b"), condition, "left")
-    match = F.when(F.col(f"a.{on}").isNotNull(), F.coalesce(F.col("a._seen"), F.col("b._carry")))
-    if by:
-        known = F.lit(True)
-        for k in by:
-            known = known & F.col(f"a.{k}").isNotNull()
-        match = F.when(known, match)
+    match = F.coalesce(F.col("a._seen"), F.col("b._carry"))
     result = joined.select(F.col("a._left").alias("_left"), match.alias("_match"))
-    return result.select(
-        *[F.col(f"_left.{c}").alias(c) for c in left.columns],
-        *[F.col(f"_match.{c}").alias(c + suffix if c in left.columns else c) for c in payload_cols],
+    names = {c: c + suffix if c in left.columns else c for c in payload_cols}
+    matched = result.select(
+        *[F.col(f"_left.{c}").alias(c) for c in left.columns], *[F.col(f"_match.{c}").alias(name) for c, name in names.items()]
     )
+    return matched.unionByName(loose.select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(name) for c, name in names.items()]))
 
 
 def first_per_group(

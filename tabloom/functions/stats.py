@@ -13,14 +13,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.session import materialize
 from tabloom.types import as_double, col
 
 # up to this many rows the built-in exact `percentile` keeps every value of the
 # column in one aggregation buffer; beyond it ranks are found by narrowing
 SMALL_ROWS = 100_000
-# most rows of one narrowed bracket whose values may reach the driver
+# most different values around the wanted ranks that may reach the driver
 VALUE_LIMIT = 10_000
 ACCURACY = 10_000
+SKETCH_GAP = 2.0 / ACCURACY  # how far from a quantile its two sketched neighbours are
 
 
 def one_row(df: DataFrame, aggs: Mapping[str, Column]) -> dict:
@@ -43,6 +45,7 @@ class Moments:
     var_pop: float | None
     skew_pop: float | None
     kurt_pop: float | None
+    sketch: list[float] | None = None
 
     @property
     def nulls(self) -> int:
@@ -53,8 +56,10 @@ class Moments:
         return None if self.var_pop is None else math.sqrt(max(self.var_pop, 0.0))
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
-    """Counts, extremes and the first four moments of all columns in one job."""
+def moments(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = ()) -> dict[str, Moments]:
+    """Counts, extremes and the first four moments of all columns in one job. With ``probs`` a sketch
+    around these quantiles comes along, for ``quantiles`` to start from."""
+    around = [p for q in probs for p in (max(q - SKETCH_GAP, 0.0), min(q + SKETCH_GAP, 1.0))]
     frame = df.select(*[as_double(df, c).alias(c) for c in columns])
     aggs: dict = {"rows": F.count(F.lit(1))}
     for c in columns:
@@ -71,8 +76,11 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
                 (c, "kurt_pop"): F.kurtosis(x),
             }
         )
+        if around:
+            aggs[(c, "sketch")] = F.percentile_approx(x, around, ACCURACY)
     got = one_row(frame, aggs)
     fields = ["n", "min", "max", "mean", "std", "var_pop", "skew_pop", "kurt_pop"]
+    fields += ["sketch"] if around else []
     return {c: Moments(got["rows"], *[got[(c, f)] for f in fields]) for c in columns}
 
 
@@ -93,112 +101,101 @@ def sample_kurtosis(n: Column, kurt: Column) -> Column:
 # exact order statistics
 
 
-@dataclass
-class _Bracket:
-    """An open interval (lo, hi) known to hold the wanted rank, and what lies in it."""
-
-    column: str
-    rank: int
-    rows: int
-    below: int = 0
-    lo: float | None = None
-    hi: float | None = None
-    value: float | None = None
-
-    @property
-    def span(self) -> tuple:
-        return self.column, self.lo, self.hi
-
-    def probes(self, eps: float) -> list[float]:
-        q = (self.rank - self.below) / max(self.rows - 1, 1)
-        return [max(q - eps, 0.0), min(q + eps, 1.0)]
-
-    def narrow(self, lo: float, hi: float, ranks: Mapping[tuple[str, float], tuple[int, int]]) -> None:
-        """``ranks`` gives the rows below and up to each bound. A bound that holds the rank
-        is the answer; otherwise the rank lies before, between or behind the bounds."""
-        before_lo, upto_lo = ranks[(self.column, lo)]
-        before_hi, upto_hi = ranks[(self.column, hi)]
-        end = self.below + self.rows
-        if self.rank < before_lo:
-            self.hi, self.rows = lo, before_lo - self.below
-        elif self.rank < upto_lo:
-            self.value = lo
-        elif self.rank < before_hi:
-            self.lo, self.hi, self.below, self.rows = lo, hi, upto_lo, before_hi - upto_lo
-        elif self.rank < upto_hi:
-            self.value = hi
-        else:
-            self.lo, self.below, self.rows = hi, upto_hi, end - upto_hi
-
-
-def _inside(column: str, lo: float | None, hi: float | None) -> Column:
-    x = col(column)
-    cond = x.isNotNull()
-    if lo is not None:
-        cond = cond & (x > lo)
-    if hi is not None:
-        cond = cond & (x < hi)
-    return cond
-
-
 def order_statistics(
     frame: DataFrame,
     wanted: Iterable[tuple[str, int]],
     counts: Mapping[str, int],
     value_limit: int = VALUE_LIMIT,
     accuracy: int = ACCURACY,
+    sketches: Mapping[str, Sequence[float]] | None = None,
 ) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest values (0-based ranks) of DOUBLE columns.
-
-    Each round takes one quantile sketch per open interval, then counts the rows below
-    and at every bound. Heavily repeated values become bounds and end the search instead
-    of slowing it; any other interval shrinks by about ``accuracy / 4`` per round.
+    """Exact k-th smallest values (0-based ranks) of DOUBLE columns, in two scans.
+
+    The first is a sketch, unless its ``sketches`` are given: pairs of values that enclose the wanted
+    ranks of a column. They cut a column into
+    segments: the values themselves, which end the search where they are much repeated, and
+    what lies between. The second scan counts the rows of all segments and, of those between
+    two values that enclose a rank, the rows of every value: about rows / accuracy of them,
+    combined in the tasks and kept as a table. The value of the rank is found there. A rank
+    that a sketch did not enclose is searched again.
     """
-    brackets = [_Bracket(c, k, counts[c]) for c, k in dict.fromkeys(wanted)]
-    open_ = [b for b in brackets if b.rows > value_limit]
-    eps = 2.0 / accuracy
+    out: dict[tuple[str, int], float] = {}
+    open_ = list(dict.fromkeys(wanted))
     while open_:
-        probes: dict[tuple, list[float]] = {}
-        for b in open_:
-            probes.setdefault(b.span, []).extend(b.probes(eps))
-        sketches = one_row(
-            frame, {s: F.percentile_approx(F.when(_inside(*s), col(s[0])), p, accuracy) for s, p in probes.items()}
-        )
-        bounds: dict[int, tuple[float, float]] = {}
-        taken = dict.fromkeys(probes, 0)
-        for b in open_:
-            at = taken[b.span]
-            bounds[id(b)] = (sketches[b.span][at], sketches[b.span][at + 1])
-            taken[b.span] = at + 2
-        edges = sorted({(b.column, e) for b in open_ for e in bounds[id(b)]})
-        aggs = {}
-        for c, e in edges:
-            aggs[(c, e, "below")] = F.count_if(col(c) < e)
-            aggs[(c, e, "upto")] = F.count_if(col(c) <= e)
-        got = one_row(frame, aggs)
-        ranks = {(c, e): (got[(c, e, "below")], got[(c, e, "upto")]) for c, e in edges}
-        for b in open_:
-            b.narrow(*bounds[id(b)], ranks)
-        open_ = [b for b in open_ if b.value is None and b.rows > value_limit]
-
-    left = [b for b in brackets if b.value is None]
-    if left:
-        spans = list(dict.fromkeys(b.span for b in left))
-        tagged = F.array(
-            *[F.when(_inside(*s), F.struct(F.lit(i).alias("i"), col(s[0]).alias("v"))) for i, s in enumerate(spans)]
-        )
-        counted = (
-            frame.select(F.explode(F.filter(tagged, lambda s: s.isNotNull())).alias("s"))
-            .groupBy("s.i", "s.v")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .toPandas()
-            .sort_values(["i", "v"])
-        )
-        parts = {int(i): (p["v"].to_numpy(), p["n"].cumsum().to_numpy()) for i, p in counted.groupby("i")}
-        for b in left:
-            values, reached = parts[spans.index(b.span)]
-            b.value = float(values[(reached > b.rank - b.below).argmax()])
-    return {(b.column, b.rank): b.value for b in brackets}
+        found = _enclosed(frame, open_, counts, value_limit, accuracy, sketches)
+        out.update(found)
+        open_ = [w for w in open_ if w not in found]
+        accuracy, sketches = max(100, accuracy // 4), None
+    return out
+
+
+def _enclosed(
+    frame: DataFrame, wanted: Sequence[tuple[str, int]], counts: Mapping[str, int], value_limit: int, accuracy: int,
+    given: Mapping[str, Sequence[float]] | None,
+) -> dict[tuple[str, int], float]:
+    from tabloom.functions.ordered import running_sums
+
+    eps = 2.0 / accuracy
+    probes: dict[str, list[float]] = {}
+    for c, k in wanted:
+        q = k / max(counts[c] - 1, 1)
+        probes.setdefault(c, []).extend([max(q - eps, 0.0), min(q + eps, 1.0)])
+    sketches = {c: list(given[c]) for c in probes} if given else {}
+    sketches |= one_row(frame, {c: F.percentile_approx(col(c), p, accuracy) for c, p in probes.items() if c not in sketches})
+    edges = {c: sorted(set(sketches[c])) for c in probes}
+    # segment 2i + 1 is the i-th edge, 2i what lies before it
+    kept = {c: set() for c in probes}
+    for c, values in sketches.items():
+        for lo, hi in zip(values[::2], values[1::2]):
+            kept[c] |= {2 * i for i in range(edges[c].index(lo) + 1, edges[c].index(hi) + 1)}
+
+    def segment(c: str) -> Column:
+        out = F.lit(2 * len(edges[c]))
+        for i in reversed(range(len(edges[c]))):
+            out = F.when(col(c) < edges[c][i], 2 * i).when(col(c) == edges[c][i], 2 * i + 1).otherwise(out)
+        return out
+
+    names = list(probes)
+    cells = [F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("i"), segment(c).alias("s"), col(c).alias("v"))) for i, c in enumerate(names)]
+    long = frame.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).select("x.i", "x.s", "x.v")
+    inside = F.lit(False)
+    for i, c in enumerate(names):
+        if kept[c]:
+            inside = inside | ((F.col("i") == i) & F.col("s").isin(sorted(kept[c])))
+    grouped = long.groupBy("i", "s", F.when(inside, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    grouped = materialize(grouped)
+    # a few segments per column
+    sizes = {(r["i"], r["s"]): r["n"] for r in grouped.groupBy("i", "s").agg(F.sum("n").alias("n")).collect()}
+    out, asked = {}, []
+    for c, k in wanted:
+        i, before = names.index(c), 0
+        for s in range(2 * len(edges[c]) + 1):
+            n = sizes.get((i, s), 0)
+            if k < before + n:
+                if s % 2:
+                    out[(c, k)] = edges[c][s // 2]
+                elif s in kept[c]:
+                    asked.append((c, k, i, s, k - before))
+                break
+            before += n
+    if asked:
+        spans = sorted({(i, s) for _, _, i, s, _ in asked})
+        some = F.lit(False)
+        for i, s in spans:
+            some = some | ((F.col("i") == i) & (F.col("s") == s))
+        held = grouped.where(some)
+        if held.count() <= value_limit:
+            told = held.toPandas().sort_values(["i", "s", "v"])
+            parts = {(int(i), int(s)): (p["v"].to_numpy(), p["n"].cumsum().to_numpy()) for (i, s), p in told.groupby(["i", "s"])}
+            for c, k, i, s, place in asked:
+                values, reached = parts[(i, s)]
+                out[(c, k)] = float(values[(reached > place).argmax()])
+        else:
+            ranked = materialize(running_sums(held, "v", {"upto": "n"}, by=["i", "s"]))
+            for c, k, i, s, place in asked:
+                own = (F.col("i") == i) & (F.col("s") == s) & (F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)
+                out[(c, k)] = ranked.where(own).first()["v"]
+    return out
 
 
 def quantiles(
@@ -207,10 +204,12 @@ def quantiles(
     counts: Mapping[str, int] | None = None,
     small_rows: int = SMALL_ROWS,
     value_limit: int = VALUE_LIMIT,
+    sketches: Mapping[str, Sequence[float]] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of several columns.
 
-    ``counts`` are the non-null counts when the caller already knows them.
+    ``counts`` are the non-null counts when the caller already knows them, ``sketches`` those of
+    ``moments`` for the same quantiles.
     """
     wanted = {c: list(p) for c, p in wanted.items() if p}
     if not wanted:
@@ -227,7 +226,7 @@ def quantiles(
     if large:
         ranks = {(c, p): (counts[c] - 1) * float(p) for c in large for p in wanted[c]}
         needed = [(c, k) for (c, _), pos in ranks.items() for k in {math.floor(pos), math.ceil(pos)}]
-        values = order_statistics(frame, needed, counts, value_limit)
+        values = order_statistics(frame, needed, counts, value_limit, sketches=sketches)
         for c in large:
             out[c] = []
             for p in wanted[c]:
@@ -263,19 +262,15 @@ def value_counts(df: DataFrame, columns: Sequence[str], as_numbers: bool = False
     return melt(df, columns, as_numbers).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_value(counted: DataFrame) -> DataFrame:
-    """Per column the most frequent value, the smallest one on ties, with its count
-    and the number of distinct values."""
+def top_value(counted: DataFrame, marked: Column | None = None) -> DataFrame:
+    """Per column the most frequent value, the smallest one on ties, with its count, the number of
+    distinct values and, if a condition is given, of ``marked`` rows."""
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value")))
+    more = {} if marked is None else {"marked": F.coalesce(F.sum(F.when(marked, F.col("n"))), F.lit(0))}
     return (
         counted.groupBy("column_name")
-        .agg(best.alias("best"), F.count(F.lit(1)).alias("distinct_count"))
-        .select(
-            "column_name",
-            F.col("best.value").alias("value"),
-            (-F.col("best.neg")).alias("n"),
-            "distinct_count",
-        )
+        .agg(best.alias("best"), F.count(F.lit(1)).alias("distinct_count"), *[v.alias(k) for k, v in more.items()])
+        .select("column_name", F.col("best.value").alias("value"), (-F.col("best.neg")).alias("n"), "distinct_count", *more)
     )
 
 

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import stats
+from tabloom.session import materialize
 from tabloom.types import as_double
 
 BLOCK_ROWS = 2048
+TILE = 512  # clusters that a point is compared with at once
+ROWS_PER_TILE = 200_000
 
 
 def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
@@ -52,30 +55,39 @@ def calinski_harabasz(df: DataFrame, columns: Sequence[str], cluster: str) -> Da
     return got.select(F.lit("calinski_harabasz").alias("metric"), score.alias("value"))
 
 
-def davies_bouldin(df: DataFrame, columns: Sequence[str], cluster: str) -> DataFrame:
-    """Mean over clusters of the worst (s_i + s_j) / d_ij. The centroid table has one row
-    per cluster; comparing clusters happens on it alone."""
+def davies_bouldin(df: DataFrame, columns: Sequence[str], cluster: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Mean over clusters of the worst (s_i + s_j) / d_ij. Blocks of centroids meet pairwise; a task
+    returns the worst ratio of each of its clusters."""
     d = len(columns)
     points = _points(df, columns, cluster)
-    middle = points.groupBy("c").agg(F.array(*[F.avg(f"x{i}") for i in range(d)]).alias("m"))
     x = F.array(*[F.col(f"x{i}") for i in range(d)])
-    found = middle.agg(F.sort_array(F.collect_list(F.struct("c", "m"))).alias("all")).first()["all"]
-    spark = df.sparkSession
-    kind = points.schema["c"].dataType.simpleString()
-    table = spark.createDataFrame([(r["c"], list(r["m"])) for r in found], f"c {kind}, m array<double>")
+    middle = materialize(points.groupBy("c").agg(F.array(*[F.avg(f"x{i}") for i in range(d)]).alias("m")))
     gap = F.sqrt(F.aggregate(F.zip_with(x, "m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    spreads = {r["c"]: r["s"] for r in points.join(F.broadcast(table), "c").groupBy("c").agg(F.avg(gap).alias("s")).collect()}
-    m = np.array([r["m"] for r in found], dtype=float)
-    s = np.array([spreads[r["c"]] for r in found], dtype=float)
-    worst = []
-    for i in range(len(m)):
-        apart = np.sqrt(((m - m[i]) ** 2).sum(axis=1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(apart > 0, (s + s[i]) / apart, 0.0)
-        ratio[i] = 0.0
-        worst.append(ratio.max())
-    value = float(np.mean(worst)) if len(worst) else None
-    return spark.createDataFrame([("davies_bouldin", value)], "metric string, value double")
+    # how the centroids reach the rows is left to Spark, which knows the size of the kept table
+    spread = points.join(middle, "c").groupBy("c").agg(F.first("m").alias("m"), F.avg(gap).alias("s"))
+    spread = materialize(spread)
+    blocks = -(-spread.count() // block_rows) or 1
+    placed = spread.withColumn("b", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = placed.withColumn("o", others)
+    right = placed.select(F.col("c"), "m", "s", F.col("b").alias("o")).withColumn("b", others)
+    kind = points.schema["c"].dataType.simpleString()
+
+    def meet(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or two.empty:
+            return pd.DataFrame(columns=["c", "worst"])
+        a, b = np.stack(one["m"].to_numpy()), np.stack(two["m"].to_numpy())
+        squared = np.zeros((len(a), len(b)))
+        for j in range(a.shape[1]):
+            squared += np.square(a[:, j, None] - b[None, :, j])
+        both = one["s"].to_numpy()[:, None] + two["s"].to_numpy()[None, :]
+        ratio = np.where(squared > 0, both / np.sqrt(np.where(squared > 0, squared, 1.0)), 0.0)
+        ratio[one["c"].to_numpy()[:, None] == two["c"].to_numpy()[None, :]] = 0.0
+        return pd.DataFrame({"c": one["c"], "worst": ratio.max(axis=1)})
+
+    met = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(meet, f"c {kind}, worst double")
+    worst = met.groupBy("c").agg(F.max("worst").alias("worst"))
+    return worst.agg(F.avg("worst").alias("value")).select(F.lit("davies_bouldin").alias("metric"), "value")
 
 
 def inertia(df: DataFrame, columns: Sequence[str], cluster: str) -> DataFrame:
@@ -86,32 +98,55 @@ def inertia(df: DataFrame, columns: Sequence[str], cluster: str) -> DataFrame:
     return got.select(F.lit("inertia").alias("metric"), "value")
 
 
-def silhouette_squared(df: DataFrame, columns: Sequence[str], cluster: str) -> DataFrame:
+def silhouette_squared(df: DataFrame, columns: Sequence[str], cluster: str, tile: int = TILE) -> DataFrame:
     """Mean silhouette under squared distances, in one pass per row: the mean squared
     distance to a cluster follows from its mean and variance, so cost grows with
-    rows x clusters only. This is the form for large data."""
+    rows x clusters only. This is the form for large data.
+
+    Up to ``tile`` clusters are one short table that every task gets. More of them are cut into
+    tiles: every distinct point meets every tile in tasks of bounded size and keeps one number
+    per tile."""
     d = len(columns)
     points = _points(df, columns, cluster)
     within = sum((F.col(f"v{i}") for i in range(1, d)), F.col("v0"))
     table = centroids(points, d).select("c", "n", within.alias("v"), F.array(*[F.col(f"m{i}") for i in range(d)]).alias("m"))
-    # one row holding one struct per cluster, attached to every point
-    every = table.agg(F.collect_list(F.struct("c", "n", "v", "m")).alias("all"))
+    table = materialize(table)
+    clusters = table.count()
     x = F.array(*[F.col(f"x{i}") for i in range(d)])
 
     def apart(s):
         return s["v"] + F.aggregate(F.zip_with("x", s["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
 
-    rows = points.select("c", x.alias("x")).join(F.broadcast(every))
-    own = F.get(F.filter("all", lambda s: s["c"] == F.col("c")), F.lit(0))
-    rows = rows.select(
-        own["n"].alias("n"),
-        (apart(own) * own["n"] / F.nullif(own["n"] - 1, F.lit(0))).alias("a"),
-        F.array_min(F.transform(F.filter("all", lambda s: s["c"] != F.col("c")), apart)).alias("b"),
-    )
+    def inside(s):
+        return apart(s) * s["n"] / F.nullif(s["n"] - 1, F.lit(0))
+
+    one = F.struct("c", "n", "v", "m")
+    if clusters <= tile:
+        # one row holding one struct per cluster, of which there are `tile` at most
+        every = table.agg(F.collect_list(one).alias("all"))
+        rows = points.select("c", x.alias("x")).join(F.broadcast(every))
+        own = F.get(F.filter("all", lambda s: s["c"] == F.col("c")), F.lit(0))
+        other = F.array_min(F.transform(F.filter("all", lambda s: s["c"] != F.col("c")), apart))
+        rows = rows.select(own["n"].alias("n"), inside(own).alias("a"), other.alias("b"), F.lit(1).alias("w"))
+    else:
+        tiles = -(-clusters // tile)
+        held = table.withColumn("tile", F.pmod(F.xxhash64("c"), F.lit(tiles)).cast("int"))
+        held = held.groupBy("tile").agg(F.collect_list(one).alias("all"))  # about `tile` clusters each
+        distinct = materialize(points.groupBy("c", *[f"x{i}" for i in range(d)]).agg(F.count(F.lit(1)).alias("w")).select("c", x.alias("x"), "w"))
+        salts = max(1, -(-distinct.count() // ROWS_PER_TILE))
+        asked = distinct.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+        asked = asked.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(salts)).cast("int"))
+        held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = asked.join(held, ["tile", "salt"])
+        own = F.get(F.filter("all", lambda s: s["c"] == F.col("c")), F.lit(0))
+        other = F.array_min(F.transform(F.filter("all", lambda s: s["c"] != F.col("c")), apart))
+        met = met.select("c", "x", "w", own["n"].alias("n"), inside(own).alias("a"), other.alias("b"))
+        rows = met.groupBy("c", "x").agg(F.first("w").alias("w"), F.max("n").alias("n"), F.max("a").alias("a"), F.min("b").alias("b"))
     score = F.when(F.col("n") == 1, 0.0).otherwise(
         F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
     )
-    return rows.agg(F.avg(score).alias("value")).select(F.lit("silhouette_squared").alias("metric"), "value")
+    mean = F.sum(score * F.col("w")) / F.sum("w")
+    return rows.agg(mean.alias("value")).select(F.lit("silhouette_squared").alias("metric"), "value")
 
 
 def silhouette(df: DataFrame, columns: Sequence[str], cluster: str, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -1,185 +1,13 @@
-"""Exact k nearest neighbours as a distributed join.
-
-Training rows are laid out in cells by a small k-d tree cut from a hashed sample; the
-tree only decides where rows live, never what is found. A query first searches the
-cells nearest to it, which bounds the distance of its k-th neighbour, and then only
-the cells whose bounding box is not farther than that bound. Cells are cut into chunks
-of bounded size on both sides, so no task ever receives an unbounded group, and a task
-emits at most k rows per query: no pair table exists anywhere.
-"""
+"""k nearest neighbours: joins, votes and means over an exact index."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.ordered import hashed_values
-from tabloom.session import materialize
-
-CELL_ROWS = 4096
-MAX_LEAVES = 1024
-BROADCAST_CHUNKS = 500_000  # three integers each
-TREE_SAMPLE = 8192
-METRICS = ("euclidean", "manhattan", "minkowski", "chebyshev", "nan_euclidean")
-
-
-@dataclass(frozen=True)
-class Metric:
-    name: str
-    p: float = 2.0
-
-    def __post_init__(self):
-        if self.name not in METRICS:
-            raise ValueError(f"unknown metric {self.name!r}")
-
-    def of_gaps(self, gaps: Iterator[np.ndarray], dims: int) -> np.ndarray:
-        """Distance from per-dimension gaps (NaN where a coordinate is missing)."""
-        total, present = None, None
-        for g in gaps:
-            g = np.abs(g)
-            if self.name == "nan_euclidean":
-                here = ~np.isnan(g)
-                part = np.where(here, g * g, 0.0)
-                present = here.astype(float) if present is None else present + here
-            elif self.name == "manhattan" or (self.name == "minkowski" and self.p == 1):
-                part = g
-            elif self.name == "euclidean" or (self.name == "minkowski" and self.p == 2):
-                part = g * g
-            elif self.name == "minkowski":
-                part = g**self.p
-            else:
-                total = g if total is None else np.maximum(total, g)
-                continue
-            total = part if total is None else total + part
-        if self.name == "nan_euclidean":
-            with np.errstate(divide="ignore", invalid="ignore"):
-                return np.where(present > 0, np.sqrt(total * (dims / present)), np.inf)
-        if self.name == "euclidean" or (self.name == "minkowski" and self.p == 2):
-            return np.sqrt(total)
-        if self.name == "minkowski" and self.p != 1:
-            return total ** (1.0 / self.p)
-        return total
-
-    def pairwise(self, q: np.ndarray, t: np.ndarray) -> np.ndarray:
-        return self.of_gaps((q[:, j, None] - t[None, :, j] for j in range(q.shape[1])), q.shape[1])
-
-    def to_boxes(self, q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Lower bound of the distance from each query to anything inside each box."""
-
-        def gap(j: int) -> np.ndarray:
-            x = q[:, j, None]
-            return np.maximum(np.maximum(lo[None, :, j] - x, x - hi[None, :, j]), 0.0)
-
-        return self.of_gaps((gap(j) for j in range(q.shape[1])), q.shape[1])
-
-
-class _Tree:
-    """Complete binary tree of axis cuts; missing coordinates go left."""
-
-    def __init__(self, sample: np.ndarray, depth: int):
-        self.depth = depth
-        nodes = 2**depth - 1
-        self.dim, self.cut = np.zeros(nodes, dtype=int), np.zeros(nodes)
-        blocks = {0: sample}
-        for node in range(nodes):
-            block = blocks.pop(node)
-            if len(block):
-                low = np.fmin.reduce(block, axis=0)
-                widest = int(np.nan_to_num(np.fmax.reduce(block, axis=0) - low).argmax())
-                present = block[:, widest][~np.isnan(block[:, widest])]
-                self.dim[node] = widest
-                self.cut[node] = np.median(present) if len(present) else 0.0
-            if 2 * node + 2 < nodes:
-                right = block[:, self.dim[node]] > self.cut[node]
-                blocks[2 * node + 1], blocks[2 * node + 2] = block[~right], block[right]
-
-    def leaf(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), dtype=int)
-        at = np.arange(len(x))
-        for _ in range(self.depth):
-            node = 2 * node + 1 + (x[at, self.dim[node]] > self.cut[node])
-        return node - (2**self.depth - 1)
-
-
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=float) for v in vectors], dtype=float)
-
-
-@dataclass
-class _Cells:
-    part: np.ndarray
-    leaf: np.ndarray
-    rows: np.ndarray
-    lo: np.ndarray
-    hi: np.ndarray
-
-    def lookup(self) -> dict:
-        return {(p, int(n)): i for i, (p, n) in enumerate(zip(self.part, self.leaf))}
-
-
-def _lay_out(train: DataFrame, cell_rows: int) -> tuple[_Tree, _Cells]:
-    """Choose the tree, then measure every cell: rows and bounding box (bounded result)."""
-    n = train.count()
-    depth = 0
-    while (n >> depth) > cell_rows and 2**depth < MAX_LEAVES:
-        depth += 1
-    sample = np.zeros((0, 1))
-    if depth:
-        sample = _matrix(pd.Series(hashed_values(train, "vec", TREE_SAMPLE, n)))
-    tree = _Tree(sample, depth)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict = {}
-        for batch in batches:
-            if batch.empty:
-                continue
-            x = _matrix(batch["vec"])
-            keys = pd.DataFrame({"part": batch["part"].to_numpy(), "leaf": tree.leaf(x)})
-            for key, index in keys.groupby(["part", "leaf"]).indices.items():
-                block = x[index]
-                lo, hi = np.fmin.reduce(block, axis=0), np.fmax.reduce(block, axis=0)
-                if key in found:
-                    old = found[key]
-                    found[key] = (old[0] + len(index), np.fmin(old[1], lo), np.fmax(old[2], hi))
-                else:
-                    found[key] = (len(index), lo, hi)
-        for (part, leaf), (rows, lo, hi) in found.items():
-            d = len(lo)
-            yield pd.DataFrame(
-                {
-                    "part": [part] * d,
-                    "leaf": np.full(d, leaf),
-                    "j": np.arange(d),
-                    "rows": np.full(d, rows),
-                    "lo": pd.Series(lo).where(~np.isnan(lo), None),
-                    "hi": pd.Series(hi).where(~np.isnan(hi), None),
-                }
-            )
-
-    boxes = (
-        train.select("part", "vec")
-        .mapInPandas(measure, "part string, leaf int, j int, rows bigint, lo double, hi double")
-        .select("part", "leaf", "j", "rows", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("lo", "hi")])
-        .groupBy("part", "leaf", "j")
-        .agg(F.sum("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .toPandas()
-        .sort_values(["part", "leaf", "j"])
-    )
-    d = int(boxes["j"].max()) + 1 if len(boxes) else 0
-    first = boxes[boxes["j"] == 0]
-    shape = (len(first), d)
-    return tree, _Cells(
-        first["part"].to_numpy(),
-        first["leaf"].to_numpy(),
-        first["rows"].to_numpy(),
-        boxes["lo"].to_numpy(dtype=float).reshape(shape),
-        boxes["hi"].to_numpy(dtype=float).reshape(shape),
-    )
+from tabloom.operators.neighbour_index import CELL_ROWS, Metric, NeighbourIndex
 
 
 def nearest(
@@ -190,189 +18,9 @@ def nearest(
     skip_self: bool = False,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """(qid, tid, dist, weight, payload, taken) of the k nearest training rows per query.
-
-    ``queries``: qid, vec and optionally part (searched partition) and need (index of a
-    coordinate that neighbours must have). ``train``: tid, vec, and optionally part,
-    weight (copies the row stands for) and payload. ``taken`` is how many of a row's
-    copies count among the k. Ties are broken by tid. ``skip_self`` leaves out one copy of
-    the training row whose tid equals the query's qid.
-    """
-    queries = _with(queries, part=F.lit("").cast("string"), need=F.lit(-1))
-    queries = queries.select("qid", "vec", F.col("part").cast("string").alias("part"), F.col("need").cast("int").alias("need"))
-    train = _with(train, part=F.lit(""), weight=F.lit(1), payload=F.lit(None).cast("double"))
-    train = train.select(
-        "tid", "vec", F.col("part").cast("string").alias("part"), F.col("weight").cast("bigint").alias("weight"), "payload"
-    )
-    masked = metric.name == "nan_euclidean"
-    tree, cells = _lay_out(train, cell_rows)
-    if not len(cells.part):
-        return _empty(queries, train)
-    wanted = k + (1 if skip_self else 0)
-    t_chunks = np.maximum(1, -(-cells.rows // cell_rows))
-    index = cells.lookup()
-    parts = cells.part
-
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            leaf = tree.leaf(_matrix(batch["vec"]))
-            cell = np.array([index[(p, int(n))] for p, n in zip(batch["part"], leaf)])
-            batch["cell"] = cell
-            batch["tc"] = batch.pop("h").to_numpy() % t_chunks[cell]
-            yield batch[["cell", "tc", "tid", "vec", "weight", "payload"]]
-
-    tid_t, qid_t = _ddl(train, "tid"), _ddl(queries, "qid")
-    pay_t = _ddl(train, "payload")
-    laid = train.withColumn("h", F.pmod(F.xxhash64("tid"), F.lit(1 << 30))).mapInPandas(
-        placed, f"cell int, tc int, tid {tid_t}, vec array<double>, weight bigint, payload {pay_t}"
-    )
-
-    def bounds(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """(lower bound, allowed) per query and cell."""
-        q = _matrix(batch["vec"])
-        allowed = np.ones((len(q), len(parts)), dtype=bool)
-        need = batch["need"].to_numpy()
-        if masked:
-            for i, j in enumerate(need):
-                if j >= 0:
-                    allowed[i] = ~np.isnan(cells.lo[:, j])
-        else:
-            allowed &= batch["part"].to_numpy()[:, None] == parts[None, :]
-        if masked and not _uniform(parts):
-            return np.zeros(allowed.shape), allowed
-        return metric.to_boxes(q, cells.lo, cells.hi), allowed
-
-    def home_cells(lower: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-        home = np.zeros(allowed.shape, dtype=bool)
-        for i in range(len(lower)):
-            order = np.lexsort((np.arange(len(parts)), np.where(allowed[i], lower[i], np.inf)))
-            order = order[allowed[i][order]]
-            reach = np.cumsum(cells.rows[order])
-            home[i, order[: int(np.searchsorted(reach, wanted)) + 1]] = True
-        return home
-
-    def assigned(batch: pd.DataFrame, chosen: np.ndarray) -> pd.DataFrame:
-        rows, cell = np.nonzero(chosen)
-        times = t_chunks[cell]
-        rows, cell = np.repeat(rows, times), np.repeat(cell, times)
-        tc = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, dtype=int)
-        out = batch.iloc[rows][["qid", "vec", "need"]].reset_index(drop=True)
-        out["cell"], out["tc"] = cell, tc
-        return out
-
-    def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not batch.empty:
-                yield assigned(batch, home_cells(*bounds(batch)))
-
-    def second_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            lower, allowed = bounds(batch)
-            limit = batch["reach"].to_numpy(dtype=float)[:, None]
-            near = lower <= np.where(np.isnan(limit), np.inf, limit) * (1 + 1e-9) + 1e-12
-            yield assigned(batch, allowed & near & ~home_cells(lower, allowed))
-
-    spread = f"qid {qid_t}, vec array<double>, need int, cell int, tc int"
-    found = _search(queries.mapInPandas(first_round, spread), laid, k, metric, skip_self, cell_rows, masked, int(t_chunks.sum()))
-    found = _merge(found, k)
-    if len(parts) > 1 and (masked or len(set(parts)) < len(parts)):
-        found = materialize(found)
-        reach = found.groupBy("qid").agg(
-            F.when(F.sum("taken") >= k, F.max("dist")).otherwise(F.lit(float("nan"))).alias("reach")
-        )
-        bounded = queries.join(reach, "qid", "left")
-        more = _search(bounded.mapInPandas(second_round, spread), laid, k, metric, skip_self, cell_rows, masked, int(t_chunks.sum()))
-        found = _merge(found.drop("taken").unionByName(more), k)
-    return found
-
-
-def _uniform(parts: np.ndarray) -> bool:
-    """Partitions are missing-value patterns: all rows of a cell miss the same coordinates."""
-    return not (len(set(parts)) == 1 and parts[0] == "mixed")
-
-
-def _search(
-    asked: DataFrame, laid: DataFrame, k: int, metric: Metric, skip_self: bool, chunk: int, masked: bool, chunks: int
-) -> DataFrame:
-    """Search every (cell, chunk) for the queries sent to it; k rows per query and chunk."""
-    # one small row per (cell, chunk) that is asked; `chunks` is their exact number at most
-    load = asked.groupBy("cell", "tc").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("qn"))
-    load = F.broadcast(load) if chunks <= BROADCAST_CHUNKS else load
-    keys = ["cell", "tc"]
-    sliced = asked.join(load, keys).withColumn("qc", F.pmod(F.xxhash64("qid", "need"), F.col("qn")).cast("int")).drop("qn")
-    copied = laid.join(load, keys).withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).drop("qn")
-    tid_t, qid_t, pay_t = _ddl(laid, "tid"), _ddl(asked, "qid"), _ddl(laid, "payload")
-
-    def local(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        columns = ["qid", "tid", "dist", "weight", "payload"]
-        if q.empty or t.empty:
-            return pd.DataFrame(columns=columns)
-        tx, tid = _matrix(t["vec"]), t["tid"].to_numpy()
-        weight = t["weight"].to_numpy()
-        qx, qid, need = _matrix(q["vec"]), q["qid"].to_numpy(), q["need"].to_numpy()
-        by_id = np.argsort(tid, kind="stable")
-        rank = np.empty(len(tid), dtype=int)
-        rank[by_id] = np.arange(len(tid))
-        out = []
-        for start in range(0, len(qx), 256):
-            dist = metric.pairwise(qx[start : start + 256], tx)
-            for i, row in enumerate(dist):
-                a = start + i
-                left = weight
-                if skip_self:
-                    left = weight - (tid == qid[a])
-                    row = np.where(left > 0, row, np.inf)
-                if masked and need[a] >= 0:
-                    row = np.where(np.isnan(tx[:, need[a]]), np.inf, row)
-                usable = np.flatnonzero(np.isfinite(row))
-                if not len(usable):
-                    continue
-                if len(usable) > k:
-                    edge = np.partition(row[usable], k - 1)[k - 1]
-                    usable = usable[row[usable] <= edge]
-                best = usable[np.lexsort((rank[usable], row[usable]))][:k]
-                out.append((np.full(len(best), a), best, row[best], left[best]))
-        if not out:
-            return pd.DataFrame(columns=columns)
-        a, b, dist, left = (np.concatenate(x) for x in zip(*out))
-        payload = tx[b, need[a]] if masked else t["payload"].to_numpy()[b]
-        return pd.DataFrame({"qid": qid[a], "tid": tid[b], "dist": dist, "weight": left, "payload": payload})
-
-    by = ["cell", "tc", "qc"]
-    schema = f"qid {qid_t}, tid {tid_t}, dist double, weight bigint, payload {pay_t}"
-    return sliced.groupBy(*by).cogroup(copied.groupBy(*by)).applyInPandas(local, schema)
-
-
-def _merge(found: DataFrame, k: int) -> DataFrame:
-    """Best k copies per query among the at most k rows per visited chunk."""
-    order = Window.partitionBy("qid").orderBy("dist", "tid").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("weight").over(order), F.lit(0))
-    return (
-        found.withColumn("_before", before)
-        .where(F.col("_before") < k)
-        .withColumn("taken", F.least("weight", F.lit(k) - F.col("_before")))
-        .drop("_before")
-    )
-
-
-def _with(df: DataFrame, **defaults: Column) -> DataFrame:
-    for name, value in defaults.items():
-        if name not in df.columns:
-            df = df.withColumn(name, value)
-    return df
-
-
-def _ddl(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
-
-
-def _empty(queries: DataFrame, train: DataFrame) -> DataFrame:
-    schema = f"qid {_ddl(queries, 'qid')}, tid {_ddl(train, 'tid')}, dist double, weight bigint, payload {_ddl(train, 'payload')}, taken bigint"
-    return queries.sparkSession.createDataFrame([], schema)
+    """(qid, tid, dist, weight, payload, taken) of the k nearest training rows per query: an index
+    that is built and asked once (see ``NeighbourIndex``)."""
+    return NeighbourIndex.build(train, metric, cell_rows).nearest(queries, k, skip_self)
 
 
 def vector(columns: Sequence[Column]) -> Column:

@@ -190,16 +190,23 @@ def eda_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The full numeric profile, one row per column. A column without values has only its counts."""
     columns = list(columns)
     with working_copy(df.select(*[col(c) for c in columns])) as held:
-        m = stats.moments(held, columns)
+        quarters = [0.25, 0.5, 0.75]
+        m = stats.moments(held, columns, quarters)
         counts = {c: m[c].n for c in columns}
-        q = stats.quantiles(held, {c: [0.25, 0.5, 0.75] for c in columns}, counts)
+        q = stats.quantiles(held, {c: quarters for c in columns}, counts, sketches={c: m[c].sketch for c in columns})
         limits = {
             c: None if q1 is None else (q1, q3, q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1))
             for c, (q1, _, q3) in q.items()
         }
-        frame = _doubles(held, columns)
-        outliers = stats.one_row(frame, {c: F.count_if(outside(col(c), limits[c])) for c in columns})
-        most = stats.modes(held, columns, as_numbers=True)
+        # modes and outliers from one count of values
+        counted = stats.value_counts(held, columns, as_numbers=True)
+        odd = F.lit(False)
+        for c in columns:
+            if limits[c] is not None:
+                odd = odd | ((F.col("column_name") == c) & outside(F.col("value"), limits[c]))
+        rows_of = {r["column_name"]: r for r in stats.top_value(counted, odd).collect()}
+        most = {c: r["value"] for c, r in rows_of.items()}
+        outliers = {c: r["marked"] for c, r in rows_of.items()}
     rows = []
     for c in columns:
         s = m[c]

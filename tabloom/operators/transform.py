@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabloom.errors import PrepareError
 from tabloom.functions import stats
 from tabloom.plans.steps import Step, number, sql_double
-from tabloom.types import as_double, col, dtype_of, is_numeric
+from tabloom.types import as_double, col, dtype_of, is_numeric, nan_to_null
 
 STEP = "transformations"
 OPS = ["log", "sqrt", "reciprocal", "yeojohnson", "boxcox"]
@@ -131,28 +131,28 @@ def fit_transform(df: DataFrame, attributes: Sequence[str], op: str) -> Step:
     return Step(STEP, op, replace=replace)
 
 
-def few_distinct(df: DataFrame, columns: Sequence[str], enough: int) -> dict[str, int]:
-    """min(distinct values, enough) per column. A sketch far above ``enough`` decides
-    directly; only columns with few values are counted exactly."""
-    frame = df.select(*[as_double(df, c).alias(c) for c in columns])
-    rough = stats.one_row(frame, {c: F.approx_count_distinct(col(c)) for c in columns})
-    small = [c for c in columns if rough[c] < 10 * enough]
+def few_distinct(df: DataFrame, columns: Sequence[str], enough: int) -> tuple[dict[str, int], dict[str, int], int]:
+    """(min(distinct values, enough), values there) per column, and the rows. A sketch far above
+    ``enough`` decides directly; only columns with few values are counted exactly."""
+    frame = nan_to_null(df.select(*[as_double(df, c).alias(c) for c in columns]))
+    aggs = {(c, k): f(col(c)) for c in columns for k, f in (("rough", F.approx_count_distinct), ("n", F.count))}
+    got = stats.one_row(frame, {"rows": F.count(F.lit(1)), **aggs})
+    small = [c for c in columns if got[(c, "rough")] < 10 * enough]
     exact = stats.distinct_counts(frame, small) if small else {}
-    return {c: min(exact.get(c, enough), enough) for c in columns}
+    return {c: min(exact.get(c, enough), enough) for c in columns}, {c: got[(c, "n")] for c in columns}, got["rows"]
 
 
 def fit_binning(df: DataFrame, attributes: Sequence[str]) -> Step:
     """Up to five equally filled bins, right-closed, numbered from 0."""
     attributes = list(attributes)
-    missing = stats.null_counts(df, attributes)
-    distinct = few_distinct(df, attributes, BINS)
+    distinct, there, rows = few_distinct(df, attributes, BINS)
     for a in attributes:
-        if missing[a]:
+        if there[a] < rows:
             raise PrepareError(STEP, "binning", f"Binning requires no missing values in '{a}'. Apply imputation first.")
         if distinct[a] < 2:
             raise PrepareError(STEP, "binning", f"Column '{a}' has too few unique values for binning.")
     probs = {a: [i / distinct[a] for i in range(distinct[a] + 1)] for a in attributes}
-    q = stats.quantiles(df, probs)
+    q = stats.quantiles(df, probs, there)
     replace = {}
     for a in attributes:
         edges = list(dict.fromkeys(round(e, EDGE_DIGITS) for e in q[a]))

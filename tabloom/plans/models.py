@@ -7,39 +7,35 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.errors import TrainError
 from tabloom.functions.lookup import lookup_join
-from tabloom.operators.knn import Metric, classify, nearest, regress, votes
+from tabloom.operators.knn import classify, regress, votes
+from tabloom.operators.neighbour_index import Metric, NeighbourIndex
+from tabloom.plans.dual import KernelMachine, fit_classifier, fit_regressor, kernel_of
 from tabloom.plans.features import FEATURES, with_features
-from tabloom.plans.kernel import LANDMARKS, KernelMap, fit_map, fit_svr
+from tabloom.plans.kernel import KernelMap, fit_map, fit_svr
+from tabloom.plans.linear import fit_nonnegative
+from tabloom.plans.trees import Rules, Trees, fit_trees
 from tabloom.session import materialize
 from tabloom.types import col
 
 LABEL = "_label"
-MAX_DEPTH = 30  # the deepest tree Spark grows
-MAX_BINS = 256
 PARALLEL_CLASSES = 8  # one-vs-rest fits that run side by side
 SVM_TOL = 1e-4
 
 
 @dataclass
 class KnnTable:
-    """Distinct training points with their copies: the whole of a neighbour model."""
+    """An index of the distinct training points with their copies: the whole of a neighbour model."""
 
-    table: DataFrame
+    index: NeighbourIndex
     params: dict
     task: str
 
@@ -47,11 +43,10 @@ class KnnTable:
         """Adds ``prediction`` and, for classes, ``_votes`` (label -> share). Equal feature
         vectors are searched once; results return by the vector's hash key."""
         p = self.params
-        metric = Metric(p["metric"], float(p["p"]))
         keyed = df.withColumn("_key", point_key(vector_to_array(FEATURES)))
         asked = keyed.groupBy("_key").agg(F.first(vector_to_array(FEATURES)).alias("vec"), F.count(F.lit(1)).alias("w"))
         asked = materialize(asked)
-        found = nearest(asked.select(F.col("_key").alias("qid"), "vec"), self.table, p["n_neighbors"], metric)
+        found = self.index.nearest(asked.select(F.col("_key").alias("qid"), "vec"), p["n_neighbors"])
         if self.task == "classification":
             found = materialize(found)
             shares = votes(found, p["weights"])
@@ -105,6 +100,8 @@ class FittedModel:
                 share = [F.coalesce(F.try_element_at("_votes", F.lit(float(i))), F.lit(0.0)) / total for i in range(len(self.classes))]
                 out = out.withColumn("_p", F.array(*share)).drop("_votes")
             return out.drop(FEATURES)
+        if isinstance(self.model, (KernelMachine, Trees)):
+            return self.model.predict(frame).drop(FEATURES)
         if self.svr is not None:
             weights = np.array(self.svr)
             x = vector_to_array(FEATURES)
@@ -135,7 +132,11 @@ class FittedModel:
             "kernel": asdict(self.kernel) if self.kernel else None, "kind": type(self.model).__name__,
         }
         if isinstance(self.model, KnnTable):
-            self.model.table.write.mode("overwrite").parquet(f"{path}/points")
+            self.model.index.save(f"{path}/points")
+        elif isinstance(self.model, KernelMachine):
+            self.model.save(f"{path}/machine")
+        elif isinstance(self.model, Trees):
+            self.model.save(spark, f"{path}/trees")
         elif self.model is not None:
             PipelineModel([self.model]).write().overwrite().save(f"{path}/model")
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
@@ -144,7 +145,11 @@ class FittedModel:
     def load(cls, spark: SparkSession, path: str) -> "FittedModel":
         m = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
         if m["kind"] == "KnnTable":
-            model = KnnTable(spark.read.parquet(f"{path}/points"), m["params"], m["task"])
+            model = KnnTable(NeighbourIndex.load(spark, f"{path}/points"), m["params"], m["task"])
+        elif m["kind"] == "KernelMachine":
+            model = KernelMachine.load(spark, f"{path}/machine")
+        elif m["kind"] == "Trees":
+            model = Trees.load(spark, f"{path}/trees")
         elif m["kind"] == "NoneType":
             model = None
         else:
@@ -155,18 +160,12 @@ class FittedModel:
         )
 
 
-def _tree(p: dict) -> dict:
-    leaf, split = p.get("min_samples_leaf") or 1, p.get("min_samples_split") or 2
-    depth = MAX_DEPTH if p.get("max_depth") is None else p["max_depth"]
-    if depth > MAX_DEPTH:
-        raise TrainError(f"max_depth={depth}: trees deeper than {MAX_DEPTH} cannot be grown")
-    return {
-        "maxDepth": depth, "maxBins": MAX_BINS, "minInstancesPerNode": max(leaf, -(-split // 2)), "featuresCol": FEATURES, "labelCol": LABEL,
-    }
-
-
-def _subset(p: dict) -> str:
-    return "all" if p.get("max_features") is None else str(p["max_features"])
+def _rules(p: dict, task: str, classes: int | None, seed: int) -> Rules:
+    criterion = "gini" if p.get("criterion") in (None, "gini") else "entropy"
+    return Rules(
+        task, classes or 0, criterion, p.get("max_depth"), p.get("min_samples_split") or 2, p.get("min_samples_leaf") or 1,
+        p.get("max_features"), bool(p.get("bootstrap")), seed,
+    )
 
 
 def fit_estimator(algorithm: str, task: str, data: DataFrame, p: dict, seed: int, n_classes: int | None) -> tuple:
@@ -174,7 +173,7 @@ def fit_estimator(algorithm: str, task: str, data: DataFrame, p: dict, seed: int
     common = {"featuresCol": FEATURES, "labelCol": LABEL}
     if algorithm == "LinearRegression":
         if p.get("positive"):
-            raise TrainError("positive=True is not supported.")
+            return None, None, fit_nonnegative(data, LABEL, p["fit_intercept"])
         return LinearRegression(fitIntercept=p["fit_intercept"], **common).fit(data), None, None
     if algorithm in ("Ridge", "Lasso"):
         n = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(LABEL).alias("s")).first()
@@ -193,24 +192,14 @@ def fit_estimator(algorithm: str, task: str, data: DataFrame, p: dict, seed: int
             regParam=reg, elasticNetParam=mix.get(penalty, 0.0), standardization=False, maxIter=p["max_iter"], **common
         )
         return est.fit(data), None, None
-    if algorithm == "DecisionTree":
-        impurity = "gini" if p["criterion"] == "gini" else "entropy"
-        if p.get("max_features") is not None:
-            est = RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy=_subset(p), impurity=impurity, seed=seed, **_tree(p))
-        else:
-            est = DecisionTreeClassifier(impurity=impurity, seed=seed, **_tree(p))
-        return est.fit(data), None, None
-    if algorithm == "DecisionTreeRegressor":
-        return DecisionTreeRegressor(seed=seed, **_tree(p)).fit(data), None, None
-    if algorithm in ("RandomForest", "RandomForestRegressor"):
-        kind = RandomForestClassifier if algorithm == "RandomForest" else RandomForestRegressor
-        est = kind(numTrees=p["n_estimators"], bootstrap=p["bootstrap"], featureSubsetStrategy=_subset(p), seed=seed, **_tree(p))
-        return est.fit(data), None, None
+    if algorithm in ("DecisionTree", "DecisionTreeRegressor", "RandomForest", "RandomForestRegressor"):
+        return fit_trees(data, LABEL, _rules(p, task, n_classes, seed), p.get("n_estimators") or 1), None, None
     if algorithm in ("KNeighborsClassifier", "KNeighborsRegressor"):
         points = data.select(vector_to_array(FEATURES).alias("vec"), F.col(LABEL).cast("double").alias("payload"))
         points = points.groupBy("vec", "payload").agg(F.count(F.lit(1)).alias("weight"))
         tid = F.concat_ws("-", point_key(F.col("vec")), F.col("payload").cast("string"))
-        return KnnTable(materialize(points.select(tid.alias("tid"), "vec", "weight", "payload")), p, task), None, None
+        points = materialize(points.select(tid.alias("tid"), "vec", "weight", "payload"))
+        return KnnTable(NeighbourIndex.build(points, Metric(p["metric"], float(p["p"]))), p, task), None, None
     if algorithm == "KMeans":
         best = None
         mode = "random" if p["init"] == "random" else "k-means||"
@@ -219,8 +208,13 @@ def fit_estimator(algorithm: str, task: str, data: DataFrame, p: dict, seed: int
             if best is None or one.summary.trainingCost < best.summary.trainingCost:
                 best = one
         return best, None, None
+    if algorithm == "SVC" and not p.get("landmarks"):
+        balanced, probability = p.get("class_weight") == "balanced", bool(p.get("probability"))
+        return fit_classifier(data, LABEL, n_classes, kernel_of(data, p), p["C"], balanced, probability), None, None
+    if algorithm == "SVR" and not p.get("landmarks"):
+        return fit_regressor(data, LABEL, kernel_of(data, p), p["C"], p["epsilon"]), None, None
     if algorithm == "SVC":
-        mapped = None if p["kernel"] == "linear" else fit_map(data, p["kernel"], p["gamma"], p["degree"], int(p.get("landmarks", LANDMARKS)))
+        mapped = None if p["kernel"] == "linear" else fit_map(data, p["kernel"], p["gamma"], p["degree"], int(p["landmarks"]))
         frame = mapped.apply(data) if mapped else data
         n = data.count()
         svc = LinearSVC(regParam=1.0 / (p["C"] * max(n, 1)), standardization=False, tol=SVM_TOL, **common)
@@ -238,7 +232,7 @@ def fit_estimator(algorithm: str, task: str, data: DataFrame, p: dict, seed: int
             return est.fit(frame), mapped, None
         return svc.fit(frame), mapped, None
     if algorithm == "SVR":
-        mapped = None if p["kernel"] == "linear" else fit_map(data, p["kernel"], p["gamma"], p["degree"], int(p.get("landmarks", LANDMARKS)))
+        mapped = None if p["kernel"] == "linear" else fit_map(data, p["kernel"], p["gamma"], p["degree"], int(p["landmarks"]))
         frame = mapped.apply(data) if mapped else data
         return None, mapped, [float(v) for v in fit_svr(frame, LABEL, p["C"], p["epsilon"])]
     raise TrainError(f"Model '{algorithm}' is not supported.")

@@ -148,7 +148,7 @@ def _missing(run: _Run, ops: list[str], numeric: list[str], values) -> None:
         if run.present():
             run.add(missing.drop_rows(run.df, run.present()))
     elif "knn" in ops and numeric:
-        run.add(knn_impute.fit_knn())
+        run.add(Step("missing_values", "knn", fill=knn_impute.NeighbourFill.fit(run.df)))
     else:
         for op in ("mean", "median", "mode", "constant"):
             if op in ops:

@@ -125,7 +125,7 @@ PARAMETERS: dict[str, list[tuple[str, str, object]]] = {
 # fixed values: grid axes that change the result; solvers, tolerances and search
 # structures are left out because they reach the same optimum
 GRIDS: dict[str, list[dict[str, list]]] = {
-    "LinearRegression": [{"fit_intercept": [True, False]}],
+    "LinearRegression": [{"fit_intercept": [True, False], "positive": [True, False]}],
     "LogisticRegression": [
         {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l2"], "max_iter": [100, 500]},
         {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l1"], "max_iter": [100, 500]},

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.lookup import BROADCAST_ROWS, fits_broadcast, hot_keys, lookup_join
+from tabloom.operators.knn_impute import NeighbourFill
 from tabloom.session import materialize
 from tabloom.types import col, nan_to_null, quoted
 
@@ -95,8 +96,9 @@ class Step:
 
     ``replace`` and ``add`` map column names to SQL over the incoming columns,
     ``drop`` removes columns, ``where`` keeps matching rows, ``lookups`` replaces
-    categories by values, ``projection`` adds linear combinations. ``rows_only_in_fit`` marks changes of the fitted data that
-    must not be repeated on later data (de-duplication, synthetic rows).
+    categories by values, ``projection`` adds linear combinations, ``fill`` takes missing numbers from
+    neighbours. ``rows_only_in_fit`` marks changes of the fitted data that must not be repeated on later data
+    (de-duplication, synthetic rows).
     """
 
     step: str
@@ -107,6 +109,7 @@ class Step:
     where: str | None = None
     lookups: list[tuple[str, LookupTable, float | None, bool]] = field(default_factory=list)
     projection: Projection | None = None
+    fill: NeighbourFill | None = None
     rows_only_in_fit: Callable[[DataFrame], DataFrame] | None = None
 
     def apply(self, df: DataFrame, fitting: bool = False) -> DataFrame:
@@ -120,6 +123,8 @@ class Step:
             df = lookup_join(
                 df, column, table.frame, "k", "v", None if default is None else F.lit(default), "w", table.small, hot=table.hot()
             )
+        if self.fill is not None:
+            return self.fill.apply(df)
         if self.projection is not None:
             return self.projection.apply(df, self.drop)
         if self.replace or self.add or self.drop:
@@ -137,8 +142,13 @@ class FittedPreparation:
 
     steps: list[Step]
 
+    @property
+    def asks_neighbours(self) -> bool:
+        return any(s.fill is not None for s in self.steps)
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """Apply to later rows, batch or streaming: no statistic is recomputed."""
+        """Apply to later rows: no statistic is recomputed. A stream can be given too, unless a step
+        ``asks_neighbours``; those need its batches (see ``prepare_stream``)."""
         df = nan_to_null(df)
         for step in self.steps:
             df = step.apply(df)
@@ -149,13 +159,15 @@ class FittedPreparation:
         for i, s in enumerate(self.steps):
             if s.rows_only_in_fit is not None:
                 continue
+            if s.fill is not None:
+                s.fill.save(spark, f"{path}/neighbours-{i}")
             tables = []
             for j, (column, table, default, null_text) in enumerate(s.lookups):
                 table.frame.write.parquet(f"{path}/lookup-{i}-{j}")
                 tables.append([column, f"lookup-{i}-{j}", table.small, default, null_text])
             described.append(
                 {"step": s.step, "op": s.op, "replace": s.replace, "add": s.add, "drop": s.drop, "where": s.where, "lookups": tables,
-                 "projection": asdict(s.projection) if s.projection else None}
+                 "projection": asdict(s.projection) if s.projection else None, "fill": f"neighbours-{i}" if s.fill else None}
             )
         spark.createDataFrame([(json.dumps(described),)], "steps string").coalesce(1).write.parquet(f"{path}/steps")
 
@@ -169,7 +181,8 @@ class FittedPreparation:
             ]
             add = [(n, e) for n, e in d["add"]]
             projection = Projection(**d["projection"]) if d["projection"] else None
-            steps.append(Step(d["step"], d["op"], d["replace"], add, d["drop"], d["where"], lookups, projection))
+            fill = NeighbourFill.load(spark, f"{path}/{d['fill']}") if d["fill"] else None
+            steps.append(Step(d["step"], d["op"], d["replace"], add, d["drop"], d["where"], lookups, projection, fill))
         return cls(steps)
 
 

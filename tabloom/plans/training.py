@@ -16,13 +16,15 @@ from tabloom.functions import stats
 from tabloom.operators import cluster_metrics, metrics
 from tabloom.operators.profile import drop_sparse_columns
 from tabloom.operators.sampling import SAMPLE_ROWS, folds, sample_cap, train_test_split
-from tabloom.plans import registry
+from tabloom.plans import linear, registry, trees
 from tabloom.plans.features import FEATURES, feature_columns, fit_features, with_features
-from tabloom.plans.models import LABEL, FittedModel, KnnTable, fit_estimator
+from tabloom.plans.dual import KernelMachine
+from tabloom.plans.models import LABEL, FittedModel, fit_estimator
 from tabloom.session import working_copy
 from tabloom.types import as_double, col, dtype_of, is_numeric, nan_to_null
 
 MAX_CLASSES = 1000
+TREES = ("DecisionTree", "DecisionTreeRegressor", "RandomForest", "RandomForestRegressor")
 SHOWN = 10
 
 
@@ -191,10 +193,12 @@ def model_facts(model: FittedModel) -> dict[str, float]:
     m, out = model.model, {}
     if model.algorithm == "Lasso":
         out["non_zero_coefficients"] = m.coefficients.numNonzeros()
-    if model.algorithm in ("DecisionTree", "DecisionTreeRegressor") and hasattr(m, "depth"):
+    if model.algorithm in ("DecisionTree", "DecisionTreeRegressor"):
         out["tree_depth"] = m.depth
     if model.algorithm in ("RandomForest", "RandomForestRegressor"):
-        out["n_estimators"] = m.getNumTrees
+        out["n_estimators"] = m.count
+    if isinstance(m, KernelMachine):
+        out["n_support_vectors"] = m.n_support
     return out
 
 
@@ -249,7 +253,12 @@ def tune(
     seed: int = 42,
 ) -> TuneResult:
     """Cross-validated search on the 80 % split: accuracy for classes, r2 otherwise.
-    Features are one-hot without the first category and unscaled."""
+    Features are one-hot without the first category and unscaled.
+
+    Candidates share their passes where they can. The linear family needs the products of all
+    pairs of features once per fold; candidates are solved from those of the other folds. Trees
+    that differ only in depth, rows to split and number of trees are parts of one forest, which
+    is grown once per fold. The scores are those of separate fits."""
     task = registry.task_of(algorithm)
     candidates = [dict(c) for c in (candidates or registry.grid(algorithm))]
     if task == "clustering":
@@ -266,23 +275,56 @@ def _tune(clean, algorithm, task, target, candidates, key, k, parallelism, seed)
     stages = fit_features(train, numeric, text, scale=False, drop_first=True)
     data = with_label(with_features(stages, folds(train, k, seed + 1, key)), target, classes).select(FEATURES, LABEL, "fold").persist()
 
-    def score(job: tuple[int, int]) -> float:
-        at, fold = job
-        params = registry.resolve(algorithm, candidates[at])
-        part = data.where(F.col("fold") != fold).select(FEATURES, LABEL)
-        model, kernel, svr = fit_estimator(algorithm, task, part, params, seed, len(classes) if classes else None)
-        fitted = FittedModel(algorithm, task, target, [], classes, _NoStages(), model, params, kernel, svr)
-        held = fitted.raw(data.where(F.col("fold") == fold).select(FEATURES, LABEL))
+    params = [registry.resolve(algorithm, c) for c in candidates]
+
+    def judged(model: FittedModel, fold: int) -> float:
+        held = model.raw(data.where(F.col("fold") == fold).select(FEATURES, LABEL))
         if task == "classification":
             return held.agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
         e = F.col(LABEL) - F.col("prediction")
         got = held.agg(F.sum(e * e).alias("s"), (F.var_pop(LABEL) * F.count(F.lit(1))).alias("t")).first()
         return 1 - got["s"] / got["t"]
 
-    jobs = [(i, f) for i in range(len(candidates)) for f in range(k)]
+    def one(job: tuple[list[int], int]) -> list[float]:
+        (at,), fold = job
+        part = data.where(F.col("fold") != fold).select(FEATURES, LABEL)
+        model, kernel, svr = fit_estimator(algorithm, task, part, params[at], seed, len(classes) if classes else None)
+        return [judged(FittedModel(algorithm, task, target, [], classes, _NoStages(), model, params[at], kernel, svr), fold)]
+
+    def forest(job: tuple[list[int], int]) -> list[float]:
+        members, fold = job
+        part = data.where(F.col("fold") != fold).select(FEATURES, LABEL)
+        count = lambda i: params[i].get("n_estimators") or 1
+        loosest = {**params[members[0]], "max_depth": None, "min_samples_split": 2, "n_estimators": max(map(count, members))}
+        if all(params[i].get("max_depth") is not None for i in members):
+            loosest["max_depth"] = max(params[i]["max_depth"] for i in members)
+        loosest["min_samples_split"] = min(params[i].get("min_samples_split") or 2 for i in members)
+        whole, _, _ = fit_estimator(algorithm, task, part, loosest, seed, len(classes) if classes else None)
+        cut = [whole.stopped(params[i].get("max_depth"), params[i].get("min_samples_split") or 2, count(i)) for i in members]
+        return trees.scores(cut, data.where(F.col("fold") == fold), LABEL)
+
+    jobs = [([i], f) for i in range(len(candidates)) for f in range(k)]
+    work = one
+    if algorithm in TREES:
+        groups: dict[tuple, list[int]] = {}
+        for i, p in enumerate(params):
+            shared = {n: v for n, v in p.items() if n not in ("max_depth", "min_samples_split", "n_estimators")}
+            groups.setdefault(tuple(sorted((n, str(v)) for n, v in shared.items())), []).append(i)
+        jobs = [(members, f) for members in groups.values() for f in range(k)]
+        work = forest
+    found = [0.0] * (len(candidates) * k)
     try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            found = list(pool.map(score, jobs))
+        if algorithm in ("LinearRegression", "Ridge", "Lasso"):
+            shift, totals = linear.raw_products(data, LABEL, "fold")
+            for i, p in enumerate(params):
+                for f in range(k):
+                    weights = linear.solved(algorithm, p, sum(t for g, t in totals.items() if g != f), shift)
+                    found[i * k + f] = linear.explained(weights, totals[f], shift)
+        else:
+            with ThreadPoolExecutor(max_workers=parallelism) as pool:
+                for (members, f), values in zip(jobs, pool.map(work, jobs)):
+                    for i, value in zip(members, values):
+                        found[i * k + f] = value
     finally:
         data.unpersist()
     means = [sum(found[i * k : (i + 1) * k]) / k for i in range(len(candidates))]
@@ -311,7 +353,7 @@ COMPARED = {
     "Decision Tree": ("DecisionTree", {"max_depth": 10}),
     "Random Forest": ("RandomForest", {"n_estimators": 50, "max_depth": 10}),
     "KNN Classifier": ("KNeighborsClassifier", {"n_neighbors": 5}),
-    "SVC": ("SVC", {}),
+    "SVC": ("SVC", {"probability": True}),
 }
 
 
@@ -358,8 +400,8 @@ def compare_models(
             model, kernel, svr = fit_estimator(algorithm, "classification", data, params, seed, len(classes))
             out["training_time"] = round(time.time() - start, 4)
             fitted = FittedModel(algorithm, "classification", target, [], classes, _NoStages(), model, params, kernel, svr)
-            scored = fitted.raw(held).select("prediction", LABEL, *(["_p"] if not isinstance(model, KnnTable) and algorithm != "SVC" else []))
-            scored = scored if algorithm != "KNeighborsClassifier" else fitted.raw(held).select("prediction", LABEL, "_p")
+            scored = fitted.raw(held)
+            scored = scored.select("prediction", LABEL, *(["_p"] if "_p" in scored.columns else [])).persist()
             got = metrics.metrics_dict(metrics.classification_metrics(scored, LABEL, "prediction"))
             out.update({k: got[k] for k in ("accuracy", "precision", "recall")}, f1=got["f1_score"])
             if len(classes) == 2 and "_p" in scored.columns:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["profile", "prepare", "metrics", "catalog", "sql", "models", "streams", "proofs"]
+FAMILIES = ["profile", "prepare", "metrics", "catalog", "sql", "models", "streams", "proofs", "neighbours", "fits"]
 
 
 def _merged(attribute: str) -> dict:

@@ -117,7 +117,7 @@ def _smote(spark, sf):
 
 
 def _knn_fill(spark, sf):
-    df = embedding_dims(spark, sf, 4, "vec_id").withColumn("e0", F.when(F.col("vec_id") % 7 != 0, F.col("e0")))
+    df = embedding_dims(spark, sf, WIDE, "vec_id").withColumn("e0", F.when(F.col("vec_id") % 7 != 0, F.col("e0")))
     df = df.withColumn("vec_id", F.col("vec_id").cast("string"))
     return rounded(impute_knn(df).withColumn("vec_id", F.col("vec_id").cast("bigint")), 6)
 
@@ -310,11 +310,12 @@ ORACLES = {
     "smote_ranges": "SELECT quality, max(count(*)) OVER () AS n, "
     + ", ".join(f"min({c}) AS low_{c}, max({c}) AS high_{c}" for c in SIZES)
     + f" FROM {LABELLED_SQL} GROUP BY quality",
-    "impute_knn_vectors": f"""WITH s AS (SELECT *, vec_id % 7 = 0 AS gap FROM {embedding_sql(4, 'vec_id')}),
-      near AS (SELECT a.vec_id, b.e0, row_number() OVER (PARTITION BY a.vec_id
-        ORDER BY power(a.e1 - b.e1, 2) + power(a.e2 - b.e2, 2) + power(a.e3 - b.e3, 2)) AS k FROM s a, s b WHERE a.gap AND NOT b.gap),
+    "impute_knn_vectors": f"""WITH s AS (SELECT *, vec_id % 7 = 0 AS gap FROM {embedding_sql(WIDE, 'vec_id')}),
+      x AS (SELECT vec_id, gap, e0, [{', '.join(COMPONENTS[1:])}] AS v FROM s),
+      near AS (SELECT a.vec_id, b.e0, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v)) AS k
+        FROM x a, x b WHERE a.gap AND NOT b.gap),
       fill AS (SELECT vec_id, avg(e0) AS v FROM near WHERE k <= 5 GROUP BY vec_id)
-      SELECT vec_id, round(CASE WHEN gap THEN v ELSE e0 END, 6) AS e0, {', '.join(f'round(e{i}, 6) AS e{i}' for i in (1, 2, 3))}
+      SELECT vec_id, round(CASE WHEN gap THEN v ELSE e0 END, 6) AS e0, {', '.join(f'round(e{i}, 6) AS e{i}' for i in range(1, WIDE))}
       FROM s LEFT JOIN fill USING (vec_id)""",
     "sample_cap_members": "SELECT least(count(*), 10000) AS rows, least(count(*), 10000) AS known FROM lineitem",
     "train_test_cover": "SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys, 0.2::DOUBLE AS share FROM orders",

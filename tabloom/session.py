@@ -69,6 +69,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder. Unlike a checkpoint it carries no facts about its
+    columns along, which take very long to derive where many columns were renamed."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # inputs the optimizer estimates below this size are held in memory while they are fitted on
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
 

@@ -33,8 +33,17 @@ def _start(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> St
 def prepare_stream(
     fitted: FittedPreparation, stream: DataFrame, out: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Apply a fitted preparation to arriving rows. Its steps are expressions and lookups
-    against fixed tables, so no state is kept."""
+    """Apply a fitted preparation to arriving rows. Its steps are expressions, lookups and neighbour
+    searches against fixed tables, so no state is kept.
+
+    Neighbours are searched batch by batch; such batches are written under their own number, so
+    one that is repeated after a failure replaces itself."""
+    if fitted.asks_neighbours:
+
+        def write(batch: DataFrame, number: int) -> None:
+            fitted.transform(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+        return _start(stream.writeStream.foreachBatch(write), checkpoint, available_now)
     writer = fitted.transform(stream).writeStream.format("parquet").option("path", out).outputMode("append")
     return _start(writer, checkpoint, available_now)
 

@@ -19,7 +19,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = build_session(
         "tests",
-        "local[8]",
+        "local[" + os.environ.get("TEST_CPUS", "8") + "]",
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tabloom.errors import PrepareError
 from tabloom.operators.balance import smote
 from tabloom.operators.knn import Metric, classify, nearest, regress
-from tabloom.operators.knn_impute import impute_knn
-
-
-
+from tabloom.operators.knn_impute import NeighbourFill, impute_knn
+from tabloom.operators.neighbour_index import NeighbourIndex, masked_bound
+from tabloom.plans.prepare import prepare
+from tabloom.plans.steps import FittedPreparation
 
 def points(spark, x, ident, parts=4):
     return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], f"{ident} int, vec array<double>").repartition(parts)
@@ -47,6 +47,59 @@ def test_neighbours_match_brute_force(spark, rng, name, cell_rows):
         np.testing.assert_allclose([d for d, _ in have], [d for d, _ in want], rtol=1e-9)
 
 
+def groups(rng, n=2500, dims=64):
+    """Rows around 40 centres, as vectors of text or images are."""
+    middle = rng.normal(size=(40, dims))
+    return middle[rng.integers(0, 40, n)] + 0.05 * rng.normal(size=(n, dims))
+
+
+@pytest.mark.parametrize("regions", [12, 256])
+def test_wide_rows_visit_few_cells(spark, rng, tmp_path, regions):
+    x = groups(rng)
+    q = np.concatenate([x[:30], rng.normal(size=(2, 64))])
+    index = NeighbourIndex.build(points(spark, x, "tid"), cell_rows=50, regions=regions)
+    assert index.cut == (regions == 12)
+    cells = index.cells.count()
+    index.save(f"{tmp_path}/index")
+    index = NeighbourIndex.load(spark, f"{tmp_path}/index")
+    asked = points(spark, q, "qid")
+    found = {}
+    for r in index.nearest(asked, 5).collect():
+        found.setdefault(r["qid"], []).append((r["dist"], r["tid"]))
+    for i, want in brute(q, x, 5, DISTANCES["euclidean"][1]).items():
+        assert [j for _, j in sorted(found[i])] == [j for _, j in want]
+    visited = {r["qid"]: r["cells"] for r in index.visits(asked, 5).collect()}
+    assert cells >= 25 and np.mean([visited[i] for i in range(30)]) < 0.2 * cells
+
+
+def test_parts_are_searched_apart(spark, rng):
+    x = groups(rng, 400, 6)
+    part = ["ab"[i % 2] if i % 50 else "rare" for i in range(len(x))]
+    rows = [(i, v.tolist(), p) for i, (v, p) in enumerate(zip(x, part))]
+    train = spark.createDataFrame(rows, "tid int, vec array<double>, part string").repartition(4)
+    asked = spark.createDataFrame([r for r in rows if r[0] % 10 == 0], "qid int, vec array<double>, part string")
+    got = {}
+    for r in NeighbourIndex.build(train, cell_rows=15, regions=5, flat=1).nearest(asked, 4, skip_self=True).collect():
+        got.setdefault(r["qid"], []).append((r["dist"], r["tid"]))
+    for i, v, p in rows[::10]:
+        own = [(float(np.sqrt(((x[j] - x[i]) ** 2).sum())), j) for j in range(len(x)) if j != i and part[j] == p]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in sorted(own)[:4]]
+
+
+def test_bound_over_missing_coordinates_is_never_too_large(rng):
+    metric = Metric("nan_euclidean")
+    for _ in range(30):
+        t = rng.normal(rng.normal(0, 3, 5), 1, size=(20, 5))
+        t[rng.random(t.shape) < rng.random()] = np.nan
+        q = rng.normal(0, 3, size=(15, 5))
+        q[rng.random(q.shape) < 0.4] = np.nan
+        here = ~np.isnan(t)
+        low, high = np.where(here, t, np.inf).min(0), np.where(here, t, -np.inf).max(0)
+        bound = masked_bound(q, low[None], high[None], here.sum(0)[None], np.array([len(t)]))[:, 0]
+        dist = metric.pairwise(q, t).min(1)
+        assert (bound <= dist * (1 + 1e-12) + 1e-12).all()
+
+
 def test_a_third_of_all_rows_at_one_point(spark, rng):
     t = np.concatenate([np.zeros((100, 2)), rng.normal(size=(200, 2))])
     got = nearest(points(spark, np.zeros((3, 2)), "qid"), points(spark, t, "tid"), 5, cell_rows=30).collect()
@@ -93,6 +146,37 @@ def test_impute_matches_brute_force(spark, rng, cell_rows):
     np.testing.assert_allclose(have, numpy_impute(x), rtol=1e-9)
 
 
+@pytest.mark.parametrize("cell_rows", [4, 4096])
+def test_later_rows_are_filled_from_the_rows_learned(spark, rng, tmp_path, cell_rows):
+    x = rng.normal(size=(160, 4))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    schema = "k string, a double, b double, c double, d double"
+    rows = [(str(i), *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    known, later = rows[:110], rows[110:] + [("none", None, None, None, None)]
+    fill = NeighbourFill.fit(spark.createDataFrame(known, schema).repartition(3), cell_rows=cell_rows)
+    fill.save(spark, f"{tmp_path}/fill")
+    out = NeighbourFill.load(spark, f"{tmp_path}/fill").apply(spark.createDataFrame(later, schema).repartition(2)).collect()
+    have = {r["k"]: list(r)[1:] for r in out}
+    for row in later[:-1]:
+        alone = np.concatenate([x[:110], x[int(row[0])][None]])
+        # the later row is no donor: it lacks what it asks for
+        np.testing.assert_allclose(have[row[0]], numpy_impute(alone)[-1], rtol=1e-9)
+    np.testing.assert_allclose(have["none"], np.nanmean(x[:110], axis=0), rtol=1e-9)
+    narrow = NeighbourFill.load(spark, f"{tmp_path}/fill").apply(spark.createDataFrame([(None, 1, "x")], "b double, a int, z string"))
+    assert narrow.columns == ["b", "a", "z"] and narrow.first()["b"] is not None
+
+
+def test_a_stored_preparation_fills_and_scales(spark, rng, tmp_path):
+    x = rng.normal(5, 2, size=(60, 2))
+    rows = [(float(a), None if i % 6 == 0 else float(b)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(3)
+    done = prepare(df, {"missing_values": ["knn"], "scaling": ["standard"]}, ["a", "b"])
+    done.fitted.save(spark, f"{tmp_path}/prepared")
+    again = FittedPreparation.load(spark, f"{tmp_path}/prepared").transform(df)
+    key = lambda d: sorted((round(r["a"], 9), round(r["b"], 9)) for r in d.collect())
+    assert key(again) == key(done.df)
+
+
 def test_impute_of_an_all_null_row_uses_the_mean(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0), (None, None)], "a double, b double")
     assert sorted(tuple(r) for r in impute_knn(df).collect()) == [(1.0, 2.0), (2.0, 3.0), (3.0, 4.0)]

@@ -116,6 +116,62 @@ def test_silhouettes_match_brute_force(spark, rng):
     assert cluster_metrics.silhouette_squared(df, ["x", "y", "z"], "c").first()["value"] == pytest.approx(silhouette(x, c, True))
 
 
+def davies_bouldin(x, c):
+    names = sorted(set(c))
+    m = {k: x[c == k].mean(axis=0) for k in names}
+    s = {k: np.sqrt(((x[c == k] - m[k]) ** 2).sum(axis=1)).mean() for k in names}
+    return np.mean([max((s[a] + s[b]) / np.sqrt(((m[a] - m[b]) ** 2).sum()) for b in names if b != a) for a in names])
+
+
+def test_many_clusters_in_blocks_and_tiles(spark, rng):
+    x = np.concatenate([rng.normal(size=(120, 3)), np.ones((40, 3)) * 5])
+    c = np.concatenate([rng.integers(0, 23, 120), np.full(40, 30)])
+    df = spark.createDataFrame([(*map(float, r), int(k)) for r, k in zip(x, c)], "x double, y double, z double, c int").repartition(4)
+    for block in (3, 2048):
+        got = cluster_metrics.davies_bouldin(df, ["x", "y", "z"], "c", block_rows=block).first()["value"]
+        assert got == pytest.approx(davies_bouldin(x, c))
+    for tile in (4, 512):
+        got = cluster_metrics.silhouette_squared(df, ["x", "y", "z"], "c", tile=tile).first()["value"]
+        assert got == pytest.approx(silhouette(x, c, True))
+
+
+def test_candidates_that_share_passes_score_as_separate_fits(spark, lines):
+    df = lines.drop("y")
+    grid = [{"max_depth": d, "min_samples_split": s, "criterion": g} for d in (None, 2) for s in (2, 30) for g in ("gini", "entropy")]
+    together = [r["score"] for r in training.tune(df, "DecisionTree", "c", grid, ["id"]).scores.orderBy("candidate").collect()]
+    apart = [training.tune(df, "DecisionTree", "c", [g], ["id"]).scores.first()["score"] for g in grid[:4]]
+    assert together[:4] == pytest.approx(apart) and len(set(together)) > 1
+    forest = [{"n_estimators": n, "max_depth": d} for n in (3, 5) for d in (None, 3)]
+    together = [r["score"] for r in training.tune(df, "RandomForest", "c", forest, ["id"]).scores.orderBy("candidate").collect()]
+    apart = [training.tune(df, "RandomForest", "c", [g], ["id"]).scores.first()["score"] for g in forest[:2]]
+    assert together[:2] == pytest.approx(apart)
+
+
+@pytest.mark.parametrize("algorithm,params", [("Ridge", {"alpha": 30.0}), ("LinearRegression", {"fit_intercept": False}), ("Lasso", {"alpha": 0.2})])
+def test_linear_candidates_are_solved_from_fold_products(spark, lines, algorithm, params):
+    df = lines.select("id", "a", "b", "y")
+    result = training.tune(df, algorithm, "y", [params, {"fit_intercept": True}], ["id"])
+    train, _ = training.train_test_split(df, seed=42, key=["id"])
+    held = training.folds(train, 3, 43, ["id"]).toPandas()
+    scores = []
+    for f in range(3):
+        a, b = held[held["fold"] != f], held[held["fold"] == f]
+        x, t = a[["a", "b"]].to_numpy(), a["y"].to_numpy()
+        mean, top = (x.mean(axis=0), t.mean()) if params.get("fit_intercept", True) else (np.zeros(2), 0.0)
+        x, t = x - mean, t - top
+        if algorithm == "Lasso":
+            w = np.zeros(2)
+            for _ in range(500):
+                for j in range(2):
+                    pull = x[:, j] @ (t - x @ w + x[:, j] * w[j]) / len(t)
+                    w[j] = np.sign(pull) * max(abs(pull) - params["alpha"], 0) / (x[:, j] @ x[:, j] / len(t))
+        else:
+            w = np.linalg.solve(x.T @ x + params.get("alpha", 0.0) * np.eye(2), x.T @ t)
+        left = b["y"].to_numpy() - top - (b[["a", "b"]].to_numpy() - mean) @ w
+        scores.append(1 - (left**2).sum() / ((b["y"] - b["y"].mean()) ** 2).sum())
+    assert result.scores.orderBy("candidate").first()["score"] == pytest.approx(np.mean(scores), rel=1e-6)
+
+
 def test_metrics_of_awkward_predictions(spark):
     one = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "y double, p double")
     got = metrics.metrics_dict(metrics.classification_metrics(one, "y", "p"))

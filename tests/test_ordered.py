@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from tabloom.functions import ordered
 from tabloom.functions.lookup import lookup_join
 from tabloom.functions.ordered import asof_join, first_per_group, running_sums, split_values
 from tabloom.operators import catalog, sampling
+from tabloom.operators.metrics import auc_value, roc_curve
 
 
 def test_running_sums_over_many_ranges(spark, rng):
@@ -21,6 +24,21 @@ def test_running_sums_over_many_ranges(spark, rng):
         assert len(both) == 500 and (both["total_x"] == both["total_y"]).all()
 
 
+def test_more_ranges_than_the_text_holds(spark, rng, monkeypatch):
+    monkeypatch.setattr(ordered, "LITERAL_RANGES", 2)
+    rows = [(float(o), int(v), i % 2) for i, (o, v) in enumerate(zip(rng.integers(0, 90, 400), rng.integers(0, 2, 400)))]
+    df = spark.createDataFrame(rows, "s double, hit int, g int").repartition(5)
+    points = roc_curve(df, F.col("hit") == 1, "s", ranges=30).orderBy("fp", "tp").collect()
+    hits, threshold = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    want = sorted((int((hits[threshold >= t] == 0).sum()), int((hits[threshold >= t] == 1).sum())) for t in set(threshold.tolist()))
+    assert [(r["fp"], r["tp"]) for r in points] == [(0, 0), *want]
+    assert auc_value(df, F.col("hit") == 1, "s", ranges=30) == pytest.approx(auc_value(df, F.col("hit") == 1, "s", ranges=2))
+    left = spark.createDataFrame([(i, f"k{i % 3}", float(t)) for i, t in enumerate(rng.integers(0, 400, 200))], "id int, k string, t double")
+    right = spark.createDataFrame([(f"k{i % 4}", float(t), i) for i, t in enumerate(rng.integers(50, 400, 120))], "k string, t double, v int")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(asof_join(left, right, "t", ["k"], ranges=15)) == key(asof_join(left, right, "t", ["k"], ranges=1))
+
+
 def test_splits_ignore_copies(spark):
     rows = [(1.0,)] * 5000 + [(float(i),) for i in range(2, 200)]
     df = spark.createDataFrame(rows, "x double")
