@@ -36,6 +36,8 @@ def table():
     words[len(words) // 2] = "changedword"
     near = " ".join(words)
     extra = [text, near, "first words " + item + " and so on", "12 34 !!", None, "", "same line of all pages here\n" + line("xx", 20), "same line of all pages hero\n" + line("yy", 20)]
+    wide = line("xx", 60).split(" ")
+    extra += [" ".join(wide), " ".join([*wide[:30], "changedword", *wide[31:]])]
     rows += [(300 + k, t, "xx", "s", 0 if t is None else len(t)) for k, t in enumerate(extra)]
     rows += [(400 + k, text, None, "hot", len(text)) for k in range(60)]
     return rows, [(1, item), (2, None), (3, "zzz qqq")]
