@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.errors import PrepareError
+from tabloom.functions.ordered import running_sums
 from tabloom.operators.balance import smote
 from tabloom.operators.knn import Metric, classify, nearest, regress
 from tabloom.operators.knn_impute import NeighbourFill, impute_knn
@@ -196,6 +197,15 @@ def test_smote_balances_and_stays_between_neighbours(spark, rng):
     assert key(out) == key(again)
 
 
+@pytest.mark.parametrize("cell_rows", [3, 4096])
+def test_queries_taken_from_the_rows_themselves(spark, cell_rows):
+    """Both sides of the search share the columns of one frame."""
+    rows = spark.createDataFrame([(str(i), [float(i)], "ab"[i % 2]) for i in range(60)], "tid string, vec array<double>, part string")
+    asked = running_sums(rows, "tid", {"upto": F.lit(1)}, by=["part"]).select(F.col("tid").alias("qid"), "vec", "part")
+    got = nearest(asked, rows, 1, skip_self=True, cell_rows=cell_rows).collect()
+    assert len(got) == 60 and all(r["dist"] == 2.0 for r in got)
+
+
 def test_smote_errors(spark):
     one = spark.createDataFrame([(1.0, 0), (2.0, 0), (3.0, 1)], "a double, y int")
     with pytest.raises(PrepareError, match="at least 2 samples"):
