@@ -7,7 +7,7 @@ or at most ``VALUE_LIMIT`` distinct values per requested order statistic.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,7 @@ SMALL_ROWS = 100_000
 VALUE_LIMIT = 10_000
 ACCURACY = 10_000
 SKETCH_GAP = 2.0 / ACCURACY  # how far from a quantile its two sketched neighbours are
+WIDE = 16  # more columns than this are aggregated below one another
 
 
 def one_row(df: DataFrame, aggs: Mapping[str, Column]) -> dict:
@@ -34,6 +35,34 @@ def one_row(df: DataFrame, aggs: Mapping[str, Column]) -> dict:
     return {k: row[i] for i, k in enumerate(keys)}
 
 
+def each_column(frame: DataFrame, columns: Sequence[str], aggs: Mapping[str, Callable[[Column], Column]]) -> dict[str, dict]:
+    """The same aggregates of several columns of one type in a single job. Many columns are written below
+    one another: a plan of hundreds of aggregates costs the driver more than the rows cost the executors."""
+    if not columns:
+        return {}
+    if len(columns) > WIDE:
+        long = frame.select(F.posexplode(F.array(*[col(c) for c in columns])).alias("i", "v"))
+        rows = long.groupBy("i").agg(*[f(F.col("v")).alias(f"a{n}") for n, f in enumerate(aggs.values())]).collect()  # one per column
+        if rows:
+            found = {r["i"]: r for r in rows}
+            return {c: {k: found[i][f"a{n}"] for n, k in enumerate(aggs)} for i, c in enumerate(columns)}
+        # no rows at all: what one column gives, all do
+        return {c: one_row(frame, {k: f(col(columns[0])) for k, f in aggs.items()}) for c in columns}
+    got = one_row(frame, {(c, k): f(col(c)) for c in columns for k, f in aggs.items()})
+    return {c: {k: got[(c, k)] for k in aggs} for c in columns}
+
+
+def at_probabilities(
+    frame: DataFrame, wanted: Mapping[str, Sequence[float]], agg: Callable[[Column, list[float]], Column]
+) -> dict[str, list[float] | None]:
+    """An aggregate of a column and probabilities, each column at its own ones, in a single job."""
+    if len(wanted) <= WIDE:
+        return one_row(frame, {c: agg(col(c), list(p)) for c, p in wanted.items()})
+    every = sorted({v for p in wanted.values() for v in p})
+    got = each_column(frame, list(wanted), {"p": lambda x: agg(x, every)})
+    return {c: got[c]["p"] and [got[c]["p"][every.index(v)] for v in p] for c, p in wanted.items()}
+
+
 @dataclass
 class Moments:
     rows: int
@@ -61,27 +90,20 @@ def moments(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = ())
     around these quantiles comes along, for ``quantiles`` to start from."""
     around = [p for q in probs for p in (max(q - SKETCH_GAP, 0.0), min(q + SKETCH_GAP, 1.0))]
     frame = df.select(*[as_double(df, c).alias(c) for c in columns])
-    aggs: dict = {"rows": F.count(F.lit(1))}
-    for c in columns:
-        x = col(c)
-        aggs.update(
-            {
-                (c, "n"): F.count(x),
-                (c, "min"): F.min(x),
-                (c, "max"): F.max(x),
-                (c, "mean"): F.avg(x),
-                (c, "std"): F.stddev_samp(x),
-                (c, "var_pop"): F.var_pop(x),
-                (c, "skew_pop"): F.skewness(x),
-                (c, "kurt_pop"): F.kurtosis(x),
-            }
-        )
-        if around:
-            aggs[(c, "sketch")] = F.percentile_approx(x, around, ACCURACY)
-    got = one_row(frame, aggs)
-    fields = ["n", "min", "max", "mean", "std", "var_pop", "skew_pop", "kurt_pop"]
-    fields += ["sketch"] if around else []
-    return {c: Moments(got["rows"], *[got[(c, f)] for f in fields]) for c in columns}
+    aggs = {
+        "rows": lambda x: F.count(F.lit(1)),
+        "n": F.count,
+        "min": F.min,
+        "max": F.max,
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "var_pop": F.var_pop,
+        "skew_pop": F.skewness,
+        "kurt_pop": F.kurtosis,
+    }
+    if around:
+        aggs["sketch"] = lambda x: F.percentile_approx(x, around, ACCURACY)
+    return {c: Moments(**found) for c, found in each_column(frame, columns, aggs).items()}
 
 
 def sample_skewness(n: Column, skew: Column) -> Column:
@@ -141,7 +163,7 @@ def _enclosed(
         q = k / max(counts[c] - 1, 1)
         probes.setdefault(c, []).extend([max(q - eps, 0.0), min(q + eps, 1.0)])
     sketches = {c: list(given[c]) for c in probes} if given else {}
-    sketches |= one_row(frame, {c: F.percentile_approx(col(c), p, accuracy) for c, p in probes.items() if c not in sketches})
+    sketches |= at_probabilities(frame, {c: p for c, p in probes.items() if c not in sketches}, lambda x, p: F.percentile_approx(x, p, accuracy))
     edges = {c: sorted(set(sketches[c])) for c in probes}
     # segment 2i + 1 is the i-th edge, 2i what lies before it
     kept = {c: set() for c in probes}
@@ -221,7 +243,7 @@ def quantiles(
     large = [c for c in wanted if counts[c] > small_rows]
     out: dict[str, list[float | None]] = {}
     if small:
-        got = one_row(frame, {c: F.percentile(col(c), F.array(*[F.lit(float(p)) for p in wanted[c]])) for c in small})
+        got = at_probabilities(frame, {c: wanted[c] for c in small}, lambda x, p: F.percentile(x, F.array(*[F.lit(float(v)) for v in p])))
         out.update({c: list(got[c]) if got[c] is not None else [None] * len(wanted[c]) for c in small})
     if large:
         ranks = {(c, p): (counts[c] - 1) * float(p) for c in large for p in wanted[c]}

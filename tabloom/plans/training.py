@@ -20,7 +20,7 @@ from tabloom.plans import linear, registry, trees
 from tabloom.plans.features import FEATURES, feature_columns, fit_features, with_features
 from tabloom.plans.dual import KernelMachine
 from tabloom.plans.models import LABEL, FittedModel, fit_estimator
-from tabloom.session import working_copy
+from tabloom.session import plain_plans, working_copy
 from tabloom.types import as_double, col, dtype_of, is_numeric, nan_to_null
 
 MAX_CLASSES = 1000
@@ -91,7 +91,7 @@ def fit_model(
     params = registry.resolve(algorithm, hyperparameters)
     if task != "clustering" and (not target or target not in df.columns):
         raise TrainError(f"Target column '{target}' not found in dataset columns: {df.columns}")
-    with working_copy(nan_to_null(df).dropna()) as clean:
+    with plain_plans(df.sparkSession), working_copy(nan_to_null(df).dropna()) as clean:
         return _fit(clean, algorithm, task, target, params, key, seed, exact_silhouette, held_out)
 
 
@@ -263,7 +263,7 @@ def tune(
     candidates = [dict(c) for c in (candidates or registry.grid(algorithm))]
     if task == "clustering":
         raise TrainError(f"Auto-Tune is not supported for clustering models like '{algorithm}'.")
-    with working_copy(nan_to_null(df).dropna()) as clean:
+    with plain_plans(df.sparkSession), working_copy(nan_to_null(df).dropna()) as clean:
         return _tune(clean, algorithm, task, target, candidates, key, k, parallelism, seed)
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,31 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+FACTS = "spark.sql.constraintPropagation.enabled"
+_plain: dict[str, list] = {}
+_plain_lock = Lock()
+
+
+@contextmanager
+def plain_plans(spark: SparkSession) -> Iterator[None]:
+    """Jobs planned in here go without the facts that the optimizer derives about columns. Where an
+    expression over dozens of columns meets as many renamed ones, the facts double with each of them and
+    fill the driver. Results are the same. Threads of a session may be in here together."""
+    session = str(spark._jsparkSession.sessionUUID())
+    with _plain_lock:
+        inside = _plain.setdefault(session, [0, spark.conf.get(FACTS)])
+        inside[0] += 1
+        spark.conf.set(FACTS, "false")
+    try:
+        yield
+    finally:
+        with _plain_lock:
+            inside[0] -= 1
+            if not inside[0]:
+                spark.conf.set(FACTS, inside[1])
+                del _plain[session]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 

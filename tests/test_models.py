@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.errors import TrainError
 from tabloom.operators import cluster_metrics, metrics
-from tabloom.plans import registry, training
+from tabloom.plans import models, registry, training
 from tabloom.plans.models import FittedModel
 from tabloom.session import scratch_path
 from tabloom.sources import writers
@@ -228,3 +228,21 @@ def test_comparison_isolates_failures(lines, monkeypatch):
     assert "Logistic Regression" in curves
     board = metrics.leaderboard(table)
     assert board.count() == 4 and board.where("is_best").count() == 1
+
+
+def test_wide_frames_are_planned_without_derived_facts(spark, rng, monkeypatch):
+    """A frame too large to be cached, with dozens of columns: its plans must not fill the driver."""
+    from tabloom import session
+
+    seen, original = [], models.materialize
+    monkeypatch.setattr(models, "materialize", lambda df: (seen.append(df.sparkSession.conf.get(session.FACTS)), original(df))[1])
+    rows = [(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(60, 3)))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y double")
+    fit = training.fit_model(df, "KNeighborsRegressor", "y", key=["k"], held_out="k % 5 = 0")
+    assert seen and set(seen) == {"false"} and spark.conf.get(session.FACTS) == "true"
+    assert fit.metrics.count() > 0
+    with session.plain_plans(spark):
+        with pytest.raises(ValueError), session.plain_plans(spark):
+            raise ValueError
+        assert spark.conf.get(session.FACTS) == "false"
+    assert spark.conf.get(session.FACTS) == "true"

@@ -116,3 +116,41 @@ def test_ranking_falls_back(spark):
     facts = spark.createDataFrame([("problem_type", "clustering")], "feature string, value string")
     got = [r["algorithm"] for r in profile.algorithm_ranking(facts).orderBy("rank").collect()]
     assert got == profile.FALLBACK_ALGORITHMS
+
+
+def plan_size(df, ask):
+    """The most aggregates in one job of those a function starts."""
+    seen, agg = [], type(df).agg
+    from pyspark.sql.group import GroupedData
+
+    grouped = GroupedData.agg
+    try:
+        type(df).agg = lambda self, *a: (seen.append(len(a)), agg(self, *a))[1]
+        GroupedData.agg = lambda self, *a: (seen.append(len(a)), grouped(self, *a))[1]
+        return ask(), max(seen)
+    finally:
+        type(df).agg, GroupedData.agg = agg, grouped
+
+
+def test_wide_tables_need_no_aggregate_per_column(spark, rng):
+    x = rng.normal(size=(300, 40))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = np.nan
+    names = [f"c{i}" for i in range(40)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(5)
+    m, size = plan_size(df, lambda: stats.moments(df, names, [0.5]))
+    wanted = {c: [0.25, 0.5] if i % 2 else [0.9] for i, c in enumerate(names)}
+    counts = {c: m[c].n for c in names}
+    small, size_small = plan_size(df, lambda: stats.quantiles(df, wanted, counts))
+    large, size_large = plan_size(df, lambda: stats.quantiles(df, wanted, counts, small_rows=10))
+    assert max(size, size_small, size_large) <= 10
+    for i, c in enumerate(names):
+        v = x[:, i][~np.isnan(x[:, i])]
+        assert (m[c].rows, m[c].n) == (300, len(v))
+        if not len(v):
+            assert m[c].mean is None and small[c] == [None] * len(wanted[c])
+            continue
+        assert np.allclose([m[c].min, m[c].max, m[c].mean, m[c].std, m[c].var_pop], [v.min(), v.max(), v.mean(), v.std(ddof=1), v.var()])
+        assert np.allclose(small[c], np.quantile(v, wanted[c])) and np.allclose(large[c], np.quantile(v, wanted[c]))
+    none = stats.moments(df.where("false"), names)
+    assert all((s.rows, s.n, s.mean) == (0, 0, None) for s in none.values())
