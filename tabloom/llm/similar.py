@@ -9,11 +9,11 @@ block meets with a probability of about a quarter, one of eight with more than 0
 all but one in a thousand pairs meet. A further 64 bits of SimHash, which travel with the
 block, reject most chance meetings in the task that finds them.
 
-All texts around a variant are paired with the first of them, not with each other, and of the
+All texts around a variant are first paired with the first of them, not with each other, and of the
 pairs a task finds only those of a spanning forest leave it, the most similar ones first by
-those 64 bits: at whatever similarity pairs are cut later, the forest connects what all pairs
-would. So a group of copies gives no list of all pairs. Every pair is then verified by the exact similarity of
-the shingle sets; verified pairs form the groups. Equal shingle sets are one entry from the
+those 64 bits. So a group of copies gives no list of all pairs. Every pair is then verified by the exact
+similarity of the shingle sets; verified pairs form groups. Texts of which a pair was left out meet a second
+time: then all pairs that share a variant and lie in different groups are verified, so none is missed. Equal shingle sets are one entry from the
 start. Sets and shingles are known by 64-bit hashes.
 """
 
@@ -40,6 +40,7 @@ SKETCH = BLOCKS * WIDTH // 64 + 1  # numbers of 64 bits: the blocks, then the bi
 CHECK_BITS = 22  # of those at most so many differ between candidates; at 0.8 it is 10, give or take 3
 CELLS = 4  # of each block, while a cell can hold every text
 PAIRS_HELD = 200_000  # pairs of a task, beside those of its forest
+PAIRS_AT_ONCE = 1_000_000  # compared by their travelling bits
 MIX = [0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(1, SKETCH + 1)]
 
 
@@ -93,12 +94,38 @@ class BlockBall(Ball):
         self.masks, self.mask_hash = self.masks[keep], self.mask_hash[keep]
 
 
-def met_pairs(values: np.ndarray, check: np.ndarray, ids: np.ndarray, ball: Ball, cell_bits: int, cell: int, part_bits: int):
-    """(id, first id around a common variant, differing bits) of the blocks whose variants fall into a cell."""
+def met_pairs(
+    values: np.ndarray, check: np.ndarray, ids: np.ndarray, ball: Ball, cell_bits: int, cell: int, part_bits: int, groups: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of the blocks whose variants fall into a cell, pairs (larger id, smaller id) that share a variant, and the ids
+    of which more pairs may be wanted. Without ``groups`` the pairs are a spanning forest of those with the first id
+    around a variant; with them all pairs of different groups, of which none is left out."""
     order = np.argsort(ball.hash(values), kind="stable")
     values, check, ids = values[order], check[order], ids[order]
+    groups = ids if groups is None else groups[order]
+    whole = groups is not ids
     classes = ball.hash(values)
-    found = [np.zeros((0, 3), np.int64)]
+    found, more = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)]
+
+    def reduced() -> np.ndarray:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        if whole:
+            return pairs
+        kept = strongest(pairs)
+        if len(kept) < len(pairs):
+            cut = pairs[~np.isin(_rows(pairs), _rows(kept))]
+            more.append(np.unique(cut[:, :2]))
+        return kept
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        apart = np.bitwise_count(check[x] ^ check[y]).astype(np.int64)
+        good = (ids[x] != ids[y]) & (apart <= CHECK_BITS)
+        if good.any():
+            x, y = ids[x[good]], ids[y[good]]
+            found.append(np.unique(np.column_stack([np.maximum(x, y), np.minimum(x, y), apart[good]]), axis=0))
+            if sum(map(len, found)) > max(PAIRS_HELD, 2 * len(found[0])):
+                found[:] = [reduced()]
+
     for part in range(1 << part_bits):
         wanted = (cell | part << cell_bits) ^ ball.mask_hash  # the hash of all variants expanded now
         low, high = np.searchsorted(classes, wanted), np.searchsorted(classes, wanted, side="right")
@@ -107,18 +134,45 @@ def met_pairs(values: np.ndarray, check: np.ndarray, ids: np.ndarray, ball: Ball
             continue
         own = np.concatenate([np.arange(low[m], high[m]) for m in used])
         variant = values[own] ^ np.repeat(ball.masks[used], high[used] - low[used])
-        by = np.lexsort((ids[own], variant))
+        by = np.lexsort((ids[own], groups[own], variant)) if whole else np.lexsort((ids[own], variant))
         own, variant = own[by], variant[by]
         first = np.ones(len(own), bool)
         first[1:] = variant[1:] != variant[:-1]
-        head = own[np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))]
-        apart = np.bitwise_count(check[own] ^ check[head]).astype(np.int64)
-        good = ~first & (ids[own] != ids[head]) & (apart <= CHECK_BITS)
-        if good.any():
-            found.append(np.unique(np.column_stack([ids[own[good]], ids[head[good]], apart[good]]), axis=0))
-            if sum(map(len, found)) > PAIRS_HELD:
-                found = [strongest(np.unique(np.concatenate(found), axis=0))]
-    return strongest(np.unique(np.concatenate(found), axis=0))
+        if not whole:
+            start = np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
+            size = np.diff(np.append(np.flatnonzero(first), len(own)))
+            more.append(np.unique(ids[own[np.repeat(size, size) > 2]]))
+            add(own[~first], own[start[~first]])
+            if len(more) > 64:
+                more[:] = [np.unique(np.concatenate(more))]
+            continue
+        # everything with everything of the later groups around the variant, by bounded stretches
+        next_group = first.copy()
+        next_group[1:] |= groups[own[1:]] != groups[own[:-1]]
+        partners = _ends(next_group)
+        times = _ends(first) - partners
+        upto = np.cumsum(times)
+        at = 0
+        while at < len(own):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+            n = times[at:stop]
+            if n.any():
+                x = np.repeat(np.arange(at, stop), n)
+                y = np.repeat(partners[at:stop], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+                add(own[x], own[y])
+            at = stop
+    pairs = reduced()
+    return pairs, np.unique(np.concatenate(more))
+
+
+def _ends(starts: np.ndarray) -> np.ndarray:
+    """For every place where the run ends that it lies in; runs begin where ``starts`` is true."""
+    at = np.append(np.flatnonzero(starts), len(starts))
+    return np.repeat(at[1:], np.diff(at))
+
+
+def _rows(pairs: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(pairs).view([("", pairs.dtype)] * pairs.shape[1]).ravel()
 
 
 def strongest(pairs: np.ndarray) -> np.ndarray:
@@ -143,8 +197,11 @@ def strongest(pairs: np.ndarray) -> np.ndarray:
 
 
 def candidates(kinds: DataFrame) -> DataFrame:
-    """(a, b): different pairs of kinds (kind long, sketch binary) that may be alike."""
+    """(a, b): different pairs of kinds (kind long, sketch binary) that may be alike, a > b. They connect all that may
+    be; a kind of which other pairs may be wanted, where some of these turn out not to be alike, is there with
+    itself. If kinds have a ``grp`` (long), all pairs of different groups are returned."""
     n = kinds.count()
+    grouped = "grp" in kinds.columns
     masks = len(BlockBall(1).masks)
     cells = CELLS
     while n * min(1, masks / cells) > CELL_FINGERPRINTS:
@@ -156,29 +213,31 @@ def candidates(kinds: DataFrame) -> DataFrame:
         ball = BlockBall(cell_bits + part_bits)
         to = np.unique(ball.mask_hash & (cells - 1))
         for batch in batches:
-            ids, sketches = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, sketches, groups = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for at in range(0, len(ids), 2048):
                 blocks, check = blocks_of(sketches[at : at + 2048])
-                some = ids[at : at + 2048].view(np.uint64)
+                some, of = ids[at : at + 2048].view(np.uint64), groups[at : at + 2048].view(np.uint64)
                 names, blobs = [], []
                 for b in range(BLOCKS):
                     goal = ((ball.hash(blocks[:, b]) & (cells - 1))[:, None] ^ to).ravel()
                     order = np.argsort(goal, kind="stable")
                     goal, row = goal[order], np.repeat(np.arange(len(some)), len(to))[order]
-                    sent = np.column_stack([blocks[row, b], check[row], some[row]])
+                    sent = np.column_stack([blocks[row, b], check[row], some[row], of[row]][: 4 if grouped else 3])
                     heads = np.flatnonzero(np.append(True, goal[1:] != goal[:-1]))
                     names += (goal[heads] + b * cells).tolist()
                     blobs += [part.tobytes() for part in np.split(sent, heads[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["cell", "held"])
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        held = np.frombuffer(b"".join(frame["held"]), np.uint64).reshape(-1, 3)
+        held = np.frombuffer(b"".join(frame["held"]), np.uint64).reshape(-1, 4 if grouped else 3)
         ball = BlockBall(cell_bits + part_bits)
         ids = np.ascontiguousarray(held[:, 2]).view(np.int64)
-        pairs = met_pairs(held[:, 0], held[:, 1], ids, ball, cell_bits, int(frame["cell"].iloc[0]) & (cells - 1), part_bits)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        groups = np.ascontiguousarray(held[:, 3]).view(np.int64) if grouped else None
+        cell = int(frame["cell"].iloc[0]) & (cells - 1)
+        pairs, more = met_pairs(held[:, 0], held[:, 1], ids, ball, cell_bits, cell, part_bits, groups)
+        return pd.DataFrame({"a": np.append(pairs[:, 0], more), "b": np.append(pairs[:, 1], more)})
 
-    sent = kinds.select("kind", "sketch").mapInArrow(send, "cell int, held binary")
+    sent = kinds.select("kind", "sketch", "grp" if grouped else F.col("kind").alias("grp")).mapInArrow(send, "cell int, held binary")
     return sent.groupBy("cell").applyInPandas(meet, "a long, b long").distinct()
 
 
@@ -234,12 +293,19 @@ def keep_one(
     rows = written(map_columns(narrow, ["text"], fields, make, keep=["doc_id", "row_key"]), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key"))
     kinds = written(rows.groupBy("kind").agg(F.first("sketch").alias("sketch"), first.alias("first")), "kinds")
-    pairs = written(candidates(kinds.where("sketch IS NOT NULL")), "pairs")
-    asked = pairs.select(F.col("a").alias("kind")).union(pairs.select(F.col("b").alias("kind"))).distinct()
+    met = written(candidates(kinds.where("sketch IS NOT NULL")), "pairs")
+    asked = met.select(F.col("a").alias("kind")).union(met.select(F.col("b").alias("kind"))).distinct()
     asked = kinds.join(asked, "kind", "left_semi").select("kind", F.col("first.doc_id").alias("id"), F.col("first.row_key").alias("row"))
     told = narrow.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("row"))).select("kind", "text")
-    sets = map_columns(told, ["text"], [("hashes", T.BinaryType())], make_sets, keep=["kind"]).dropDuplicates(["kind"])
-    links = written(verified(pairs, written(sets, "sets"), similarity), "links")
+    sets = written(map_columns(told, ["text"], [("hashes", T.BinaryType())], make_sets, keep=["kind"]).dropDuplicates(["kind"]), "sets")
+    pairs = met.where("a <> b")
+    links = written(verified(pairs, sets, similarity), "links")
+    # pairs that were left out while their ends are still apart
+    open_ = kinds.join(met.where("a = b").select(F.col("a").alias("kind")), "kind", "left_semi").select("kind", "sketch")
+    open_ = open_.join(components(links).withColumnRenamed("node", "kind"), "kind", "left")
+    open_ = written(open_.select("kind", "sketch", F.coalesce("root", "kind").alias("grp")), "open")
+    rest = written(candidates(open_).where("a <> b").join(pairs, ["a", "b"], "left_anti"), "rest")
+    links = written(links.unionByName(verified(rest, sets, similarity)), "all_links")
     named = kinds.join(components(links).withColumnRenamed("node", "kind"), "kind", "left")
     heads = written(named.groupBy(F.coalesce("root", "kind").alias("root")).agg(F.min("first").alias("first")), "heads")
     stay = heads.select(F.col("first.doc_id").alias(own_id), F.col("first.row_key").alias(own_row))

@@ -88,3 +88,36 @@ def test_blocks_are_independent_of_byte_order():
     assert blocks.shape == (2, 8) and blocks[0, 0] == int.from_bytes(bytes(range(5)), "little") and blocks.max() < 1 << 40
     assert check[0] == int.from_bytes(bytes(range(40, 48)), "little") and check[1] == 0
     assert np.array_equal(similar.shingle_set(b"a B c"), similar.shingle_set(b"A b\tC"))
+
+
+def test_a_pair_is_met_although_the_first_around_its_variant_is_unlike_both(spark):
+    blocks, other = bytes(range(1, 41)), bytes(range(101, 141))
+    ones, zeros = b"\xff" * 8, bytes(8)
+    few = b"\x0f" + bytes(7)  # four bits from zeros
+    half = b"\xff\xff\x00\x00" + bytes(4)
+    rows = [(1, blocks + ones), (2, blocks + zeros), (3, blocks + few), (4, other + half), (5, other + zeros), (6, other + few), (7, bytes(range(180, 220)) + zeros)]
+    kinds = spark.createDataFrame([(k, bytearray(s)) for k, s in rows], "kind long, sketch binary").repartition(3)
+    got = {(r.a, r.b) for r in similar.candidates(kinds).collect()}
+    marked = {a for a, b in got if a == b}
+    assert {2, 3} <= marked and {5, 6, 4} <= marked and 7 not in marked
+    every = {(r.a, r.b) for r in similar.candidates(kinds.selectExpr("kind", "sketch", "kind AS grp")).collect()}
+    assert {p for p in every if p[0] != p[1]} == {(3, 2), (5, 4), (6, 4), (6, 5)}
+    grouped = kinds.selectExpr("kind", "sketch", "CASE WHEN kind IN (4, 5) THEN 9 ELSE kind END AS grp")
+    assert {(r.a, r.b) for r in similar.candidates(grouped).collect()} == {(3, 2), (6, 4), (6, 5)}
+
+
+def test_no_link_is_lost_where_the_first_of_three_is_not_alike(spark):
+    """b and c are alike, a is near both but below the similarity: over many triples all links are found that pairs alone find."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(300)]
+        a, b, c = list(words), list(words), list(words)
+        for k in range(14):
+            a[20 * k + 3] = f"a{g}x{k}"
+        b[297], c[298] = "b", "c"
+        rows += [(3 * g + k, " ".join(t)) for k, t in enumerate((a, b, c))]
+    rng.shuffle(rows)
+    want, _ = brute(rows)
+    kept = {r.doc_id for r in similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {rows[k][0] for k in want} == kept and len(kept) == 120
