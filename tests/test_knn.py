@@ -9,7 +9,7 @@ from tabloom.functions.ordered import running_sums
 from tabloom.operators.balance import smote
 from tabloom.operators.knn import Metric, classify, nearest, regress
 from tabloom.operators.knn_impute import NeighbourFill, impute_knn
-from tabloom.operators.neighbour_index import NeighbourIndex, masked_bound
+from tabloom.operators.neighbour_index import NeighbourIndex, Screen, masked_bound
 from tabloom.plans.prepare import prepare
 from tabloom.plans.steps import FittedPreparation
 
@@ -214,3 +214,27 @@ def test_smote_errors(spark):
         smote(one.withColumn("y", F.col("y").cast("double")), ["a"], "y")
     with pytest.raises(PrepareError, match="missing values"):
         smote(one.withColumn("y", F.when(F.col("a") > 1, F.col("y"))), ["a"], "y")
+
+
+@pytest.mark.parametrize("metric", [Metric("euclidean"), Metric("manhattan"), Metric("nan_euclidean")])
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_few_rows_of_a_chunk_are_measured_and_the_nearest_are_among_them(rng, metric, offset):
+    """Quick distances, also far from the origin and among equal rows, leave few pairs to compute exactly."""
+    t, q = rng.normal(size=(5000, 16)) + offset, rng.normal(size=(40, 16)) + offset
+    t[:4] = t[0]
+    q[0] = t[0]
+    if metric.masked:
+        t[rng.random(t.shape) < 0.1] = np.nan
+        q[rng.random(q.shape) < 0.1] = np.nan
+    else:
+        t[9, 0], q[5, 1] = np.inf, np.nan
+    screen = Screen(metric, t)
+    i, j = screen.near(q, 5, np.full(40, -1), ~np.isnan(t))
+    assert len(i) < 40 * 200
+    dist = screen.exact(q, i, j)
+    with np.errstate(all="ignore"):
+        whole = metric.pairwise(q, t)
+    for r in range(40):
+        mine = i == r
+        got = sorted((a, b) for a, b in zip(dist[mine], j[mine]) if np.isfinite(a))[:5]
+        assert got == sorted((a, b) for b, a in enumerate(whole[r]) if np.isfinite(a))[:5]
