@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,12 @@ LAMBDA_RANGE = (-5.0, 5.0)
 WIDEST = 640.0
 LAMBDAS_PER_PASS = 24
 PASSES = 4
+# logarithms are cut into bins of this width; the sums of so many powers per bin give all candidates
+BIN_WIDTH = 1 / 64
+POWERS = 12
+# candidates up to here are exact to rounding from these sums
+BINNED_RANGE = 8.0
+LARGEST_LOG = 709.0  # of a variance that a DOUBLE holds
 
 
 def yeojohnson_sql(x: str, lam: float) -> str:
@@ -43,26 +50,102 @@ def boxcox_sql(x: str, lam: float) -> str:
     return f"(pow({x}, {number(lam)}) - 1D) / {number(lam)}"
 
 
+class PowerSums:
+    """The likelihood of all powers from one scan. A transformed value is a function of t, the logarithm of
+    x (of 1 + |x| for Yeo-Johnson): exp(l t) up to constants. Per narrow bin of t and sign of x the rows
+    and the sums of powers of (t - centre) are kept, which give the mean and variance of exp(l t) for any
+    l by its series. There are as many bins as logarithms of a DOUBLE can differ, whatever the rows."""
+
+    def __init__(self, df: DataFrame, x: str, method: str):
+        self.signed = method == "yeojohnson"
+        t = f"log1p(abs({x}))" if self.signed else f"ln({x})"
+        side = f"{x} >= 0D" if self.signed else "true"
+        logs = df.selectExpr(f"{t} AS t", f"{side} AS up").where("t IS NOT NULL")
+        logs = logs.withColumn("bin", F.floor(F.col("t") / F.lit(BIN_WIDTH)))
+        u = F.col("t") - (F.col("bin") + F.lit(0.5)) * F.lit(BIN_WIDTH)
+        powers, term = [], F.lit(1.0)
+        logs = logs.withColumn("u", u)
+        for k in range(1, POWERS + 1):
+            term = term * F.col("u")
+            powers.append(F.sum(term).alias(f"s{k}"))
+        # a bounded number of rows: bins that occur
+        found = logs.groupBy("up", "bin").agg(F.count(F.lit(1)).alias("n"), *powers).orderBy("up", "bin").collect()
+        self.up = np.array([r["up"] for r in found], bool)
+        self.centre = (np.array([r["bin"] for r in found], float) + 0.5) * BIN_WIDTH
+        self.n = np.array([r["n"] for r in found], float)
+        self.sums = np.array([[r[f"s{k}"] for k in range(1, POWERS + 1)] for r in found], float).reshape(len(found), POWERS)
+        total = self.n * self.centre + self.sums[:, 0]
+        self.jacobian = float(np.where(self.up | ~np.array(self.signed), total, -total).sum())
+        self.rows = float(self.n.sum())
+
+    @property
+    def finite(self) -> bool:
+        return bool(len(self.n)) and bool(np.isfinite(self.sums).all())
+
+    @property
+    def wide(self) -> bool:
+        """Whether the logarithms differ by enough of a bin's width for its sums to tell them apart."""
+        z = self.centre - float((self.n * self.centre).sum() / self.rows)
+        z = z - float((self.n * z + self.sums[:, 0]).sum() / self.rows)
+        variance = float((self.n * z * z + 2 * z * self.sums[:, 0] + self.sums[:, 1]).sum() / self.rows)
+        return variance > (1e-4 * BIN_WIDTH) ** 2
+
+    def score(self, lam: float) -> float | None:
+        """The likelihood of a power, None where its variance is zero or too large for a DOUBLE."""
+        rate = np.where(self.up, lam, 2.0 - lam) if self.signed else np.full(len(self.n), lam)
+        sign = np.where(self.up, 1.0, -1.0) if self.signed else 1.0
+        # exp(rate * t) is held as a multiple of exp(top), so that no large power overflows
+        middle = 0.0 if self.signed else float((self.n * self.centre).sum() / self.rows)
+        z = self.centre - middle
+        top = max(0.0, float((rate * z).max()))
+        with np.errstate(over="ignore", invalid="ignore"):
+            base = np.exp(rate * z - top)
+            still = np.abs(rate) < 1e-12
+            at = np.where(still, z * np.exp(-top), np.exp(-top) * np.expm1(np.minimum(rate * z, 700.0)) / np.where(still, 1.0, rate))
+            at = np.where(rate * z > 700.0, base / np.where(still, 1.0, rate), at)
+        first, second = np.zeros(len(self.n)), np.zeros(len(self.n))
+        for k in range(POWERS, 0, -1):
+            first += rate ** (k - 1) / math.factorial(k) * self.sums[:, k - 1]
+            if k > 1:
+                second += (2.0**k - 2.0) * rate ** (k - 2) / math.factorial(k) * self.sums[:, k - 1]
+        at, first = sign * at, sign * base * first
+        mean = float((self.n * at + first).sum() / self.rows)
+        off = at - mean
+        variance = float((self.n * off * off + 2 * off * first + base * base * second).sum() / self.rows)
+        if not variance > 0:
+            return None
+        log = math.log(variance) + 2 * top + 2 * lam * middle
+        if log > LARGEST_LOG:
+            return None
+        return -self.rows / 2.0 * log + (lam - 1.0) * self.jacobian
+
+
 def best_lambda(df: DataFrame, x: str, method: str) -> float:
-    """Maximum-likelihood lambda. A pass scores a grid of candidates in one aggregate; a best
-    one at the border widens the grid, another one is closed in on, and a parabola refines the
-    last three."""
+    """Maximum-likelihood lambda. A grid of candidates is scored from sums of one scan; a best one at the
+    border widens the grid, another one is closed in on, and a parabola refines the last three. Only
+    grids far beyond the usual powers, or of infinite or nearly equal values, take a pass of their own each."""
     form = yeojohnson_sql if method == "yeojohnson" else boxcox_sql
     jacobian = f"sign({x}) * log1p(abs({x}))" if method == "yeojohnson" else f"ln({x})"
     low, high = LAMBDA_RANGE
     best, closings = 1.0, 0
+    sums = PowerSums(df, x, method)
+    binned = sums.finite and sums.wide
     while closings < PASSES:
         step = (high - low) / (LAMBDAS_PER_PASS - 1)
         grid = [low + k * step for k in range(LAMBDAS_PER_PASS)]
-        aggs = {("v", k): F.expr(f"ln(nullif(var_pop({form(x, lam)}), 0D))") for k, lam in enumerate(grid)}
-        aggs["n"] = F.expr(f"count({x})")
-        aggs["j"] = F.expr(f"sum({jacobian})")
-        got = stats.one_row(df, aggs)
-        scores = {
-            k: -got["n"] / 2.0 * got[("v", k)] + (lam - 1.0) * got["j"]
-            for k, lam in enumerate(grid)
-            if got[("v", k)] is not None and math.isfinite(got[("v", k)])
-        }
+        if binned and max(abs(low), abs(high)) <= BINNED_RANGE:
+            found = {k: sums.score(lam) for k, lam in enumerate(grid)}
+            scores = {k: v for k, v in found.items() if v is not None}
+        else:
+            aggs = {("v", k): F.expr(f"ln(nullif(var_pop({form(x, lam)}), 0D))") for k, lam in enumerate(grid)}
+            aggs["n"] = F.expr(f"count({x})")
+            aggs["j"] = F.expr(f"sum({jacobian})")
+            got = stats.one_row(df, aggs)
+            scores = {
+                k: -got["n"] / 2.0 * got[("v", k)] + (lam - 1.0) * got["j"]
+                for k, lam in enumerate(grid)
+                if got[("v", k)] is not None and math.isfinite(got[("v", k)])
+            }
         if not scores:
             return best
         k = max(scores, key=scores.get)

@@ -225,3 +225,29 @@ def test_steps_need_no_shuffle_once_fitted(mixed):
     ops = {"missing_values": ["median"], "outliers": ["iqr"], "scaling": ["standard"], "transformations": ["sqrt"]}
     plan = prepare(mixed, ops, ["x"]).df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Project") <= 2 and "Join" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("method", ["boxcox", "yeojohnson"])
+def test_likelihoods_of_all_powers_come_from_one_scan(spark, rng, monkeypatch, method):
+    x = rng.exponential(size=3000) * 1e4 if method == "boxcox" else rng.normal(size=3000) ** 3
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    form = transform.boxcox_sql if method == "boxcox" else transform.yeojohnson_sql
+    jacobian = np.log(x).sum() if method == "boxcox" else (np.sign(x) * np.log1p(np.abs(x))).sum()
+    sums = transform.PowerSums(df, "CAST(x AS DOUBLE)", method)
+    for lam in (-5.0, -1.3, 0.0, 1e-7, 0.5, 2.0, 5.0, 8.0):
+        variance = df.selectExpr(f"var_pop({form('x', lam)}) AS v").first()["v"]
+        want = -len(x) / 2 * np.log(variance) + (lam - 1) * jacobian
+        assert abs(sums.score(lam) - want) < 1e-6 * max(1.0, abs(want))
+
+    def refused(*_):
+        raise AssertionError("a pass of its own")
+
+    monkeypatch.setattr(transform.stats, "one_row", refused)
+    found = transform.best_lambda(df, "CAST(x AS DOUBLE)", method)
+    assert all(sums.score(found) >= sums.score(found + d) for d in (-1e-3, 1e-3))
+
+
+def test_a_column_of_zeros_has_the_neutral_power(spark):
+    df = spark.createDataFrame([(0.0,)] * 20, "x double")
+    assert transform.best_lambda(df, "CAST(x AS DOUBLE)", "yeojohnson") == 1.0
+    assert transform.best_lambda(df, "greatest(CAST(x AS DOUBLE), 1e-6)", "boxcox") == 1.0
