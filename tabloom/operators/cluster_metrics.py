@@ -14,6 +14,12 @@ from tabloom.session import materialize
 from tabloom.types import as_double
 
 BLOCK_ROWS = 2048
+LARGE_BLOCK = 16_384  # points of a block of the exact silhouette, and from how many blocks on blocks grow to it
+SPREAD_BLOCKS = 16
+NUMBERS_AT_ONCE = 4_000_000  # distances held at once
+CLOSE = 1e-6  # of the sum of squared norms: below it a matrix product has lost too many digits
+PAIRS_AT_ONCE = 100_000
+LARGEST = 1e100  # beyond this, squares may overflow
 TILE = 512  # clusters that a point is compared with at once
 ROWS_PER_TILE = 200_000
 
@@ -149,7 +155,22 @@ def silhouette_squared(df: DataFrame, columns: Sequence[str], cluster: str, tile
     return rows.agg(mean.alias("value")).select(F.lit("silhouette_squared").alias("metric"), "value")
 
 
-def silhouette(df: DataFrame, columns: Sequence[str], cluster: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances [a, b] by a matrix product; where it loses digits, pairs close to each other
+    for their distance from the origin, coordinate by coordinate."""
+    if not max(np.abs(a).max(), np.abs(b).max()) < LARGEST:
+        with np.errstate(all="ignore"):
+            return np.sqrt(sum(np.square(a[:, j, None] - b[None, :, j]) for j in range(a.shape[1])))
+    top = np.square(a).sum(1)[:, None] + np.square(b).sum(1)
+    squared = np.maximum(top - 2.0 * (a @ b.T), 0.0)
+    i, j = np.nonzero(squared <= CLOSE * top)
+    for at in range(0, len(i), PAIRS_AT_ONCE):
+        r, c = i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
+        squared[r, c] = np.square(a[r] - b[c]).sum(1)
+    return np.sqrt(squared, out=squared)
+
+
+def silhouette(df: DataFrame, columns: Sequence[str], cluster: str, block_rows: int | None = None) -> DataFrame:
     """Mean silhouette under plain Euclidean distances.
 
     The mean of unsquared distances has no closed form, so every point must meet every
@@ -167,7 +188,12 @@ def silhouette(df: DataFrame, columns: Sequence[str], cluster: str, block_rows:
         .agg(F.count(F.lit(1)).alias("w"))
         .select(content.alias("k"), F.col("c").cast("string").alias("c"), "w", F.array(*[F.col(f"x{i}") for i in range(d)]).alias("x"))
     )
-    blocks = -(-points.count() // block_rows) or 1
+    points = materialize(points)
+    n = points.count()
+    # few large blocks, as every point is sent and reported once per block; but enough of them for many tasks
+    blocks = -(-n // (block_rows or LARGE_BLOCK)) or 1
+    if block_rows is None:
+        blocks = max(blocks, min(SPREAD_BLOCKS, -(-n // BLOCK_ROWS)))
     placed = points.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = placed.withColumn("o", others)
@@ -177,19 +203,25 @@ def silhouette(df: DataFrame, columns: Sequence[str], cluster: str, block_rows:
         if a.empty or b.empty:
             return pd.DataFrame(columns=["k", "c", "w", "oc", "total", "n"])
         ax, bx = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        squared = np.zeros((len(ax), len(bx)))
-        for j in range(ax.shape[1]):
-            gap = ax[:, j, None] - bx[None, :, j]
-            squared += gap * gap
-        reach = np.sqrt(squared) * b["w"].to_numpy()[None, :]
-        out = []
-        for c, at in b.groupby("c").indices.items():
-            out.append(
-                pd.DataFrame(
-                    {"k": a["k"], "c": a["c"], "w": a["w"], "oc": c, "total": reach[:, at].sum(axis=1), "n": b["w"].to_numpy()[at].sum()}
-                )
-            )
-        return pd.concat(out)
+        b = b.assign(c=b["c"].astype(object))
+        at, names = pd.factorize(b["c"])  # rows without a cluster stand in none
+        known = at >= 0
+        bx, at, weight = bx[known], at[known], b["w"].to_numpy()[known]
+        order = np.argsort(at, kind="stable")
+        bx, at, weight = bx[order], at[order], weight[order].astype(float)
+        if not len(at):
+            return pd.DataFrame(columns=["k", "c", "w", "oc", "total", "n"])
+        starts = np.searchsorted(at, np.arange(len(names)))
+        if max(np.abs(ax).max(), np.abs(bx).max()) < LARGEST:  # all of them numbers
+            middle = bx.mean(0)
+            ax, bx = ax - middle, bx - middle
+        rows = max(1, NUMBERS_AT_ONCE // len(bx))
+        sums = [np.add.reduceat(_reach(ax[r : r + rows], bx) * weight, starts, axis=1) for r in range(0, len(ax), rows)]
+        size = np.add.reduceat(weight, starts).astype(np.int64)
+        # a row per point of this block and cluster of the other one
+        times = len(names)
+        own = a[["k", "c", "w"]].iloc[np.repeat(np.arange(len(a)), times)].reset_index(drop=True)
+        return own.assign(oc=np.tile(np.asarray(names, dtype=object), len(a)), total=np.concatenate(sums).ravel(), n=np.tile(size, len(a)))
 
     met = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(
         meet, "k string, c string, w bigint, oc string, total double, n bigint"

@@ -232,8 +232,7 @@ def test_comparison_isolates_failures(lines, monkeypatch):
 
 def test_wide_frames_are_planned_without_derived_facts(spark, rng, monkeypatch):
     """A frame too large to be cached, with dozens of columns: its plans must not fill the driver."""
-    from tabloom import session
-
+    
     seen, original = [], models.materialize
     monkeypatch.setattr(models, "materialize", lambda df: (seen.append(df.sparkSession.conf.get(session.FACTS)), original(df))[1])
     rows = [(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(60, 3)))]
@@ -246,3 +245,18 @@ def test_wide_frames_are_planned_without_derived_facts(spark, rng, monkeypatch):
             raise ValueError
         assert spark.conf.get(session.FACTS) == "false"
     assert spark.conf.get(session.FACTS) == "true"
+
+
+def test_exact_silhouette_keeps_its_digits_far_from_the_origin_and_reports_large_blocks(spark, rng):
+    x = rng.normal(size=(60, 3)) * 1e-2 + 1e6
+    x[:5] = x[0]
+    c = rng.integers(0, 3, 60)
+    df = spark.createDataFrame([(*map(float, row), int(k)) for row, k in zip(x, c)], "x double, y double, z double, c int")
+    for rows in (None, 7):
+        assert cluster_metrics.silhouette(df, ["x", "y", "z"], "c", rows).first()["value"] == pytest.approx(silhouette(x, c, False), abs=1e-6)
+    near = rng.normal(size=(2, 50)) + np.zeros((4, 1, 1))
+    a = near.reshape(8, 50)
+    want = np.sqrt(np.square(a[:, None] - a[None]).sum(2))
+    assert np.allclose(cluster_metrics._reach(a, a), want, rtol=1e-9, atol=0)
+    # a point is reported once per block: three blocks of the old size are few tasks, a hundred are too many rows
+    assert cluster_metrics.LARGE_BLOCK >= 4 * cluster_metrics.BLOCK_ROWS
