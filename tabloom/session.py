@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,20 +38,32 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 FACTS = "spark.sql.constraintPropagation.enabled"
+SCAN = "spark.sql.files.maxPartitionBytes"
+SCAN_BYTES = 16 * 1024 * 1024  # of files that a task of a fit scans: feature vectors take many times the room
 _plain: dict[str, list] = {}
 _plain_lock = Lock()
 
 
+def _bytes(size: str) -> int:
+    """A setting such as 128MB, 64m or 1000b as a number of bytes."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", size.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit[:1]]
+
+
 @contextmanager
 def plain_plans(spark: SparkSession) -> Iterator[None]:
     """Jobs planned in here go without the facts that the optimizer derives about columns. Where an
     expression over dozens of columns meets as many renamed ones, the facts double with each of them and
-    fill the driver. Results are the same. Threads of a session may be in here together."""
+    fill the driver. Files are scanned in smaller pieces, as a task of a fit reads the feature vectors of its
+    rows again and again, which are far larger than the compressed columns they come from. Results are
+    the same. Threads of a session may be in here together."""
     session = str(spark._jsparkSession.sessionUUID())
     with _plain_lock:
-        inside = _plain.setdefault(session, [0, spark.conf.get(FACTS)])
+        inside = _plain.setdefault(session, [0, spark.conf.get(FACTS), spark.conf.get(SCAN)])
         inside[0] += 1
         spark.conf.set(FACTS, "false")
+        if not inside[0] > 1 and _bytes(inside[2]) > SCAN_BYTES:
+            spark.conf.set(SCAN, str(SCAN_BYTES))
     try:
         yield
     finally:
@@ -58,6 +71,7 @@ def plain_plans(spark: SparkSession) -> Iterator[None]:
             inside[0] -= 1
             if not inside[0]:
                 spark.conf.set(FACTS, inside[1])
+                spark.conf.set(SCAN, inside[2])
                 del _plain[session]
 
 
@@ -105,17 +119,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 # inputs the optimizer estimates below this size are held in memory while they are fitted on
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
+COPY_BYTES = 4 * 1024 * 1024  # of the estimate per partition of such a copy
 
 
 @contextmanager
 def working_copy(df: DataFrame) -> Iterator[DataFrame]:
-    """A small input spread over all cores and cached for the passes of a fit; a large one
-    as it is, to be scanned again with only the needed columns."""
+    """A small input spread over all cores and cached for the passes of a fit, in more partitions the more
+    there is of it; a large one as it is, to be scanned again with only the needed columns."""
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if estimate > SMALL_INPUT_BYTES:
         yield df
         return
-    kept = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    kept = df.repartition(max(cores, -(-estimate // COPY_BYTES))).persist()
     try:
         yield kept
     finally:

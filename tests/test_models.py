@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom import session
 from tabloom.errors import TrainError
 from tabloom.operators import cluster_metrics, metrics
 from tabloom.plans import models, registry, training
@@ -232,7 +233,8 @@ def test_comparison_isolates_failures(lines, monkeypatch):
 
 def test_wide_frames_are_planned_without_derived_facts(spark, rng, monkeypatch):
     """A frame too large to be cached, with dozens of columns: its plans must not fill the driver."""
-    
+    from tabloom import session
+
     seen, original = [], models.materialize
     monkeypatch.setattr(models, "materialize", lambda df: (seen.append(df.sparkSession.conf.get(session.FACTS)), original(df))[1])
     rows = [(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(60, 3)))]
@@ -247,6 +249,21 @@ def test_wide_frames_are_planned_without_derived_facts(spark, rng, monkeypatch):
     assert spark.conf.get(session.FACTS) == "true"
 
 
+def test_a_fit_scans_files_in_small_pieces(spark, tmp_path, monkeypatch):
+    """A task that scans much reads as many feature vectors in every pass of a fit."""
+    path = str(tmp_path / "rows")
+    spark.range(200_000).selectExpr("id", "rand(1) AS x").coalesce(1).write.option("parquet.block.size", 1 << 16).parquet(path)
+    monkeypatch.setattr(session, "SCAN_BYTES", 1 << 18)
+    before = spark.conf.get(session.SCAN)
+    pieces = spark.read.parquet(path).rdd.getNumPartitions()
+    with session.plain_plans(spark):
+        with session.plain_plans(spark):
+            assert spark.read.parquet(path).rdd.getNumPartitions() > pieces
+        assert spark.read.parquet(path).rdd.getNumPartitions() > pieces
+    assert spark.conf.get(session.SCAN) == before
+    assert [session._bytes(v) for v in ("128MB", "64m", "1000b", "7")] == [128 << 20, 64 << 20, 1000, 7]
+
+
 def test_exact_silhouette_keeps_its_digits_far_from_the_origin_and_reports_large_blocks(spark, rng):
     x = rng.normal(size=(60, 3)) * 1e-2 + 1e6
     x[:5] = x[0]
@@ -260,3 +277,13 @@ def test_exact_silhouette_keeps_its_digits_far_from_the_origin_and_reports_large
     assert np.allclose(cluster_metrics._reach(a, a), want, rtol=1e-9, atol=0)
     # a point is reported once per block: three blocks of the old size are few tasks, a hundred are too many rows
     assert cluster_metrics.LARGE_BLOCK >= 4 * cluster_metrics.BLOCK_ROWS
+
+
+def test_a_working_copy_has_more_partitions_the_larger_it_is(spark, monkeypatch):
+    df = spark.range(50_000).repartition(2)
+    cores = spark.sparkContext.defaultParallelism
+    with session.working_copy(df) as kept:
+        assert kept.rdd.getNumPartitions() == cores
+    monkeypatch.setattr(session, "COPY_BYTES", 10_000)
+    with session.working_copy(df) as kept:
+        assert kept.rdd.getNumPartitions() == 40 and kept.count() == 50_000
