@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import fresh, map_columns, worker_store, written
+from tabloom.llm.common import fresh, map_columns, tidy, worker_store, written
 from tabloom.llm.components import components, forest
 
 EDITS = 2
@@ -280,6 +280,7 @@ def texts(docs: DataFrame, text_col: str) -> DataFrame:
     """id, line: the different lines of each batch of documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             lines = list({line for t in batch.column(0).to_pylist() for _, line in lines_of(t)})
             ids = np.array([line_id(x) for x in lines], np.uint64).view(np.int64)
@@ -321,8 +322,9 @@ def links(docs: DataFrame, lines: int, text_col: str, edits: int, bytes_per_edit
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh64_intdigest
-        plans = worker_store().setdefault(("key plans", edits, bytes_per_edit), {})
+        digest, known = xxhash.xxh64_intdigest, ("key plans", edits, bytes_per_edit)
+        tidy(known)
+        plans = worker_store().setdefault(known, {})
         for batch in batches:
             keys: list[int] = []
             ids, counts, probing = [], [], []
@@ -352,6 +354,7 @@ def links(docs: DataFrame, lines: int, text_col: str, edits: int, bytes_per_edit
             )
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         keys, ids = (np.frombuffer(b"".join(frame[c]), np.uint64) for c in ("keys", "ids"))
         task, line, probe = met_keys(keys, ids, np.frombuffer(b"".join(frame["probe"]), bool))
         return pd.DataFrame({"task": task.view(np.int64), "id": line.view(np.int64), "probe": probe})
@@ -361,6 +364,7 @@ def links(docs: DataFrame, lines: int, text_col: str, edits: int, bytes_per_edit
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-met.count() // MET_ROWS), 100_000))
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         a, b = verified(
             frame["task"].to_numpy(np.int64).view(np.uint64), frame["probe"].to_numpy(bool), frame["id"].to_numpy(np.int64).view(np.uint64),
             [bytes(x) for x in frame["line"]], edits, bytes_per_edit,

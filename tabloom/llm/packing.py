@@ -140,7 +140,7 @@ def token_pieces(
         return work
 
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    made = map_columns(texts, ["text"], [("pieces", T.ArrayType(piece))], make, keep=["doc_id"])
+    made = map_columns(texts, ["text"], [("pieces", T.ArrayType(piece))], make, keep=["doc_id"], needed=name)
     return made.select("doc_id", F.inline("pieces"))
 
 

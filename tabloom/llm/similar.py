@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import fresh, map_columns, written
+from tabloom.llm.common import fresh, map_columns, tidy, written
 from tabloom.llm.components import components
 from tabloom.llm.simhash import CELL_FINGERPRINTS, PART_VARIANTS, SEED, STRETCH, Ball
 
@@ -210,6 +210,7 @@ def candidates(kinds: DataFrame) -> DataFrame:
     part_bits = max(0, int(n * masks / cells / PART_VARIANTS).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         ball = BlockBall(cell_bits + part_bits)
         to = np.unique(ball.mask_hash & (cells - 1))
         for batch in batches:
@@ -229,6 +230,7 @@ def candidates(kinds: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["cell", "held"])
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         held = np.frombuffer(b"".join(frame["held"]), np.uint64).reshape(-1, 4 if grouped else 3)
         ball = BlockBall(cell_bits + part_bits)
         ids = np.ascontiguousarray(held[:, 2]).view(np.int64)
@@ -245,6 +247,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets (kind, hashes) have at least this Jaccard similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):

@@ -149,7 +149,7 @@ def apply_edits(text: str, tree: CountTree, edits: list[tuple[int, int, str]], c
     return edited, again
 
 
-def _counts(ranks: str, pattern: str, docs: DataFrame) -> Callable[[], PieceCounts]:
+def _counts(ranks: str, pattern: str, docs: DataFrame) -> tuple[tuple, Callable[[], PieceCounts]]:
     with open(ranks, "rb") as f:
         source = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(source)  # one vocabulary file
@@ -161,13 +161,13 @@ def _counts(ranks: str, pattern: str, docs: DataFrame) -> Callable[[], PieceCoun
             store[name] = PieceCounts(shared.value, pattern)
         return store[name]
 
-    return get
+    return name, get
 
 
 def build(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", names: tuple[str, str] = ("n_tokens", "tree")) -> DataFrame:
     """The documents with their token count and tree (both arrays of sums, as bytes). A NULL
     text counts as an empty one."""
-    get = _counts(ranks, pattern, docs)
+    name, get = _counts(ranks, pattern, docs)
 
     def make():
         counts = get()
@@ -179,7 +179,7 @@ def build(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", nam
 
         return work
 
-    return map_columns(docs, [text_col], [(names[0], T.LongType()), (names[1], T.BinaryType())], make)
+    return map_columns(docs, [text_col], [(names[0], T.LongType()), (names[1], T.BinaryType())], make, needed=name)
 
 
 def edit(
@@ -190,7 +190,7 @@ def edit(
     that were read again, and the tree to go on with.
 
     edits: an array of structs (start, end, text), in order and apart; NULL for none."""
-    get = _counts(ranks, pattern, state)
+    name, get = _counts(ranks, pattern, state)
 
     def make():
         counts = get()
@@ -209,7 +209,7 @@ def edit(
         return work
 
     fields = list(zip(names, [T.StringType(), T.LongType(), T.LongType(), T.BinaryType()]))
-    return map_columns(state, [text_col, tree_col, edits_col], fields, make)
+    return map_columns(state, [text_col, tree_col, edits_col], fields, make, needed=name)
 
 
 def count_edits(
@@ -217,7 +217,7 @@ def count_edits(
 ) -> DataFrame:
     """``build`` and ``edit`` in one task, for documents whose trees are not kept: the kept
     columns (default: all) with n_tokens, n_tokens_edited and n_read."""
-    get = _counts(ranks, pattern, docs)
+    name, get = _counts(ranks, pattern, docs)
 
     def make():
         counts = get()
@@ -234,7 +234,7 @@ def count_edits(
         return work
 
     fields = [(name, T.LongType()) for name in ("n_tokens", "n_tokens_edited", "n_read")]
-    return map_columns(docs, [text_col, edits_col], fields, make, keep=keep)
+    return map_columns(docs, [text_col, edits_col], fields, make, keep=keep, needed=name)
 
 
 def redactions(docs: DataFrame, name: str, text_col: str = "text", kinds: list[str] = pii.KINDS) -> DataFrame:

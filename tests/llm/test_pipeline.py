@@ -147,3 +147,24 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_stage_starts_without_what_others_left_in_its_workers(spark):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from tabloom.llm.common import map_columns, worker_store
+
+    def leave(batches):
+        worker_store()["cache of another stage"] = list(range(1000))
+        worker_store()["own cache"] = [1]
+        yield from batches
+
+    def make():
+        held = len(worker_store().get("cache of another stage", []))
+        return lambda columns: [pa.array([held] * len(columns[0]), pa.int64())]
+
+    rows = spark.range(0, 64, 1, 16)
+    rows.mapInArrow(leave, rows.schema).count()
+    seen = map_columns(rows, ["id"], [("held", T.LongType())], make, needed="own cache")
+    assert [r["held"] for r in seen.select("held").distinct().collect()] == [0]
