@@ -28,6 +28,7 @@ CUT_ROWS = 20_000  # rows, drawn by hash, that cuts are taken from; smaller tabl
 LOCAL_ROWS = 100_000
 NAMES = {"feature": int, "threshold": float, "left": int, "right": int, "value": float, "rows": int}
 HISTOGRAM_NUMBERS = 4_000_000  # of the nodes of one pass, per task
+COUNTED = 50_000  # rows, about, that are added to the histograms at once
 
 
 @dataclass(frozen=True)
@@ -128,6 +129,11 @@ def stops(whole: np.ndarray, depth: int, rules: Rules) -> bool:
     return bool(deep or whole[0] < max(2, rules.min_samples_split) or impurity <= 1e-9 * max(float(weight), 1e-300))
 
 
+def settled(side: np.ndarray, depth: int, rules: Rules) -> bool:
+    """Whether a child stops by its depth or rows alone, so that its part of its parent's histogram says all."""
+    return bool((rules.max_depth is not None and depth >= rules.max_depth) or side[0] < max(2, rules.min_samples_split))
+
+
 def grow_here(bins: np.ndarray, y: np.ndarray, w: np.ndarray, rules: Rules, node: int, depth: int, sizes: np.ndarray) -> list[tuple]:
     """The subtree of a node as (feature, bin, left, right, value, bin beyond, rows) in order of place; leaves
     have feature -1."""
@@ -318,13 +324,26 @@ def fit_trees(data: DataFrame, label: str, rules: Rules, trees: int = 1, bins: i
 
     def places(known: tuple[np.ndarray, ...], held: np.ndarray) -> np.ndarray:
         feature, cut, left, right = known
+        ends, own = feature < 0, np.arange(len(feature))
+        asked = np.where(ends, 0, feature)
+        goal = np.column_stack([np.where(ends, own, left), np.where(ends, own, right)]).ravel()  # a leaf leads to itself
+        cells, rows = held.ravel(), np.arange(len(held)) * d
         at = np.zeros(len(held), int)
-        while True:
-            inner = np.flatnonzero(feature[at] >= 0)
-            if not len(inner):
-                return at
-            here = at[inner]
-            at[inner] = np.where(held[inner, feature[here]] <= cut[here], left[here], right[here])
+        while not ends[at].all():
+            at = goal[2 * at + (cells[rows + asked[at]] > cut[at])]
+        return at
+
+    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The batches, several of them as one."""
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n >= COUNTED:
+                yield pd.concat(held)
+                held, n = [], 0
+        if n:
+            yield pd.concat(held)
 
     def table(b: pd.DataFrame) -> np.ndarray:
         return np.frombuffer(b"".join(b["bins"]), np.uint16).reshape(len(b), d)
@@ -339,10 +358,8 @@ def fit_trees(data: DataFrame, label: str, rules: Rules, trees: int = 1, bins: i
         known = {t: arrays(t) for t in wanted}
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = {t: np.zeros((len(ks) * d * top, rules.width)) for t, ks in wanted.items()}
-            for b in batches:
-                if not len(b):
-                    continue
+            total = {t: np.zeros((rules.width, len(ks) * d * top)) for t, ks in wanted.items()}
+            for b in together(batches):
                 held, y, ids = table(b), b["y"].to_numpy(), b["id"].to_numpy()
                 for t, ks in wanted.items():
                     w = weights(ids, t)
@@ -350,14 +367,14 @@ def fit_trees(data: DataFrame, label: str, rules: Rules, trees: int = 1, bins: i
                     slot[ks] = np.arange(len(ks))
                     own = slot[places(known[t], held)]
                     use = np.flatnonzero((own >= 0) & (w > 0))
-                    cell = ((own[use, None] * d + np.arange(d)) * top + held[use]).ravel()
+                    cell = (own[use] * (d * top) + (np.arange(d) * top)[:, None] + held[use].T).ravel()
                     stats = statistics(y[use], w[use], rules)
                     for k in range(rules.width):
-                        total[t][:, k] += np.bincount(cell, np.repeat(stats[:, k], d), len(total[t]))
+                        total[t][k] += np.bincount(cell, np.tile(stats[:, k], d), len(total[t][k]))
             for t, ks in wanted.items():
-                used = np.flatnonzero(total[t][:, 0])
+                used = np.flatnonzero(total[t][0])
                 node, rest = np.divmod(used, d * top)
-                yield pd.DataFrame({"tree": t, "node": np.array(ks)[node], "cell": rest, "stats": list(total[t][used])})
+                yield pd.DataFrame({"tree": t, "node": np.array(ks)[node], "cell": rest, "stats": list(total[t][:, used].T)})
 
         def choose(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             t, k = key
@@ -368,7 +385,9 @@ def fit_trees(data: DataFrame, label: str, rules: Rules, trees: int = 1, bins: i
             name, depth = names[(t, k)]
             found = None if stops(whole, depth, rules) else best_cut(histogram, rules, name)
             j, b, beyond, left, right = found or (-1, 0, 0, np.zeros(1), np.zeros(1))
-            return pd.DataFrame([{"tree": t, "node": k, "j": j, "b": b, "beyond": beyond, "left": left[0], "right": right[0], "rows": whole[0], "value": rules.value(whole)}])
+            ends = [rules.value(side) if found and settled(side, depth + 1, rules) else [] for side in (left, right)]
+            row = {"tree": t, "node": k, "j": j, "b": b, "beyond": beyond, "left": left[0], "right": right[0], "rows": whole[0], "value": rules.value(whole)}
+            return pd.DataFrame([{**row, "left_value": ends[0], "right_value": ends[1]}])
 
         names = {(t, k): (upper[t][k][7], upper[t][k][8]) for t, k in asked}
         slots = binned.mapInPandas(count, "tree int, node int, cell int, stats array<double>")
@@ -376,7 +395,7 @@ def fit_trees(data: DataFrame, label: str, rules: Rules, trees: int = 1, bins: i
         summed = slots.groupBy("tree", "node", "cell").agg(
             F.array(*[F.sum(F.get("stats", F.lit(k))) for k in range(rules.width)]).alias("stats")
         )
-        kinds = "tree int, node int, j int, b int, beyond int, left double, right double, rows double, value array<double>"
+        kinds = "tree int, node int, j int, b int, beyond int, left double, right double, rows double, value array<double>, left_value array<double>, right_value array<double>"
         split = summed.groupBy("tree", "node").applyInPandas(choose, kinds)
         for r in split.collect():
             node = upper[r["tree"]][r["node"]]
@@ -385,7 +404,10 @@ def fit_trees(data: DataFrame, label: str, rules: Rules, trees: int = 1, bins: i
             if r["j"] < 0:
                 continue
             node[1], node[2], node[3], node[5] = r["b"], len(upper[r["tree"]]), len(upper[r["tree"]]) + 1, r["beyond"]
-            for side, size in ((1, r["left"]), (2, r["right"])):
+            for side, size, value in ((1, r["left"], r["left_value"]), (2, r["right"], r["right_value"])):
+                if size > local_rows and len(value):  # a leaf, whose value is known without another pass
+                    upper[r["tree"]].append([-1, 0, -1, -1, list(value), 0, int(size), mixed(node[7], side), node[8] + 1])
+                    continue
                 upper[r["tree"]].append([-2, 0, -1, -1, None, 0, 0, mixed(node[7], side), node[8] + 1])
                 if size > local_rows:
                     large.append((r["tree"], len(upper[r["tree"]]) - 1))

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tabloom.operators import metrics
-from tabloom.plans import training
+from tabloom.plans import training, trees
 from tabloom.plans.features import FEATURES
 from tabloom.plans.models import LABEL, FittedModel
 from tabloom.plans.trees import Rules, fit_trees
@@ -107,3 +107,26 @@ def test_regressor_keeps_its_feature_choice_and_its_store(spark, rng):
     result.model.save(spark, path)
     both = result.model.transform(df).join(FittedModel.load(spark, path).transform(df).select("id", F.col("prediction").alias("q")), "id")
     assert both.where("prediction <> q").count() == 0 and both.count() == 200
+
+
+def test_leaves_that_a_rule_of_depth_makes_need_no_pass_of_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 40, size=(3000, 3)).astype(float)
+    y = 3 * x[:, 0] + x[:, 1] * (x[:, 2] > 20) + rng.normal(size=3000)
+    data = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y)], "x array<double>, y double")
+    data = data.select(array_to_vector("x").alias(FEATURES), "y")
+    rules = trees.Rules("regression", max_depth=3)
+    here = trees.fit_trees(data, "y", rules)  # in one task
+    levels = []
+    group_by = type(data).groupBy
+
+    def counted(self, *by):
+        if by == ("tree", "node", "cell"):
+            levels.append(by)
+        return group_by(self, *by)
+
+    monkeypatch.setattr(type(data), "groupBy", counted)
+    spread = trees.fit_trees(data, "y", rules, local_rows=100)
+    assert len(levels) == 3  # one per level of cuts, none for the leaves
+    assert np.allclose(here.outputs(x), spread.outputs(x))
+    assert sorted(here.rows[0][here.feature[0] < 0]) == sorted(spread.rows[0][spread.feature[0] < 0])
