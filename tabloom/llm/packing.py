@@ -14,11 +14,16 @@ ranks in a bucket), so that one frequent length is no single task, and joined wi
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterable
+from operator import add
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,68 +34,105 @@ from tabloom.llm.common import map_columns, small_table, worker_store, written
 CACHED_WORDS = 600_000
 CACHED_ROOTS = 800_000
 TOGETHER = 128  # roots encoded by one call
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # of ASCII, without the apostrophe
+LATIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"  # letters of ASCII and Latin-1
 
 
 class WordIds(dict):
     """Word -> its token ids as little-endian 32-bit numbers.
 
     White space always separates tokens of this vocabulary, so a text's ids are those of its
-    words. Words of letters share the encoding of their lower-case form, their root, with the
-    full stop or comma behind them added. A root is one run of letters, so its last token, and
-    no other, closes a word: new roots are encoded together and cut at the closing tokens."""
+    words. A word of a root, which is a run of letters, and a tail of marks has the ids of both: the
+    vocabulary's pattern cuts between them. Words share the encoding of the lower-case root. A root's last
+    token, and no other, closes a word: new roots are encoded together and cut at the closing tokens.
+    Normalisation leaves lower-case Latin letters as they are and the pattern takes a run of them whole,
+    so roots go to the bare model. Other words, and all words of a vocabulary of which this does not
+    hold, are encoded one by one."""
 
     def __init__(self, model):
         super().__init__()
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.model = model
-        self.closes = {i for token, i in model.get_vocab().items() if token.endswith("</w>")}
+        self.bare = Tokenizer(model.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocab = model.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.latin = re.compile(LATIN).fullmatch
         self.roots: dict[bytes, bytes] = {}
-        self.marks = {mark: self.pack(self.encode(mark.decode())) for mark in (b".", b",")}
-
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text, add_special_tokens=False).ids
+        self.tails: dict[bytes, bytes] = {}
+        upper = "".join(chr(c) for c in [*range(0x41, 0x5B), *range(0xC0, 0xDF)] if c != 0xD7)
+        alone = np.array(self.bare.encode(upper.lower(), add_special_tokens=False).ids, "<u4").tobytes()
+        self.parted = self.encode(upper.encode() + MARKS) == alone + self.encode(MARKS)
 
-    @staticmethod
-    def pack(ids: list[int]) -> bytes:
+    def encode(self, text: bytes) -> bytes:
+        ids = self.model.encode(text.decode(), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: Iterable[bytes]) -> None:
         """Make sure that all the words are there."""
-        new = words.difference(self)
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > CACHED_WORDS:
             self.clear()
             new = words
         if len(self.roots) > CACHED_ROOTS:
             self.roots.clear()
-        roots, marks = self.roots, self.marks
-        open_words, open_roots = [], []
+        if len(self.tails) > CACHED_WORDS:
+            self.tails.clear()
+        if not self.parted:
+            self.update((word, self.encode(word)) for word in new)
+            return
+        latin, tails = self.latin, self.tails
+        of_parts: tuple[list[bytes], list[bytes], list[bytes]] = ([], [], [])
+        add_word, add_root, add_tail = (part.append for part in of_parts)
         for word in new:
-            mark = marks.get(word[-1:])
-            root = word if mark is None else word[:-1]
+            root = word.rstrip(MARKS)
+            tail = word[len(root) :]
             if root.isalpha():  # ASCII letters
                 root = root.lower()
-            elif not root.decode().isalpha():
-                self[word] = self.pack(self.encode(word.decode()))
-                continue
-            ids = roots.get(root)
-            if ids is None:
-                open_words.append(word)
-                open_roots.append(root)
+            elif latin(root):
+                root = root.decode().lower().encode()
             else:
-                self[word] = ids if mark is None else ids + mark
-        unknown = list(set(open_roots))
-        for at in range(0, len(unknown), TOGETHER):
-            group = unknown[at : at + TOGETHER]
-            ids = self.encode(b" ".join(group).decode())
-            ends = [k + 1 for k, i in enumerate(ids) if i in self.closes]
+                self[word] = self.encode(word)
+                continue
+            if tail not in tails:
+                tails[tail] = self.encode(tail)
+            add_word(word)
+            add_root(root)
+            add_tail(tail)
+        same, roots_of, tails_of = of_parts
+        self.learn_roots(list(set(roots_of).difference(self.roots)))
+        self.update(zip(same, map(add, map(self.roots.__getitem__, roots_of), map(tails.__getitem__, tails_of))))
+
+    def learn_roots(self, unknown: list[bytes]) -> None:
+        groups = [unknown[at : at + TOGETHER] for at in range(0, len(unknown), TOGETHER)]
+        for group in groups:
+            made = self.bare.encode_batch_fast([b" ".join(group).decode()], add_special_tokens=False)[0]
+            ids = np.array(made.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
             if len(ends) != len(group):
-                roots.update((root, self.pack(self.encode(root.decode()))) for root in group)
+                self.roots.update((root, self.encode(root)) for root in group)
             else:
-                packed, start = self.pack(ids), 0
-                for root, end in zip(group, ends):
-                    roots[root] = packed[4 * start : 4 * end]
-                    start = end
-        for word, root in zip(open_words, open_roots):
-            self[word] = roots[root] + marks.get(word[-1:], b"")
+                packed = ids.tobytes()
+                self.roots.update((root, packed[start:end]) for root, start, end in zip(group, [0, *ends], ends))
+
+    def of_texts(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
+        """The ids of all the texts behind one another, and the bytes at which each text's begin, and the end.
+        A word that the batch repeats is looked up once."""
+        if not len(texts):
+            return memoryview(b""), [0]
+        words = pc.ascii_split_whitespace(texts.cast(pa.binary()).fill_null(b"").cast(pa.string(), safe=False))
+        ends = words.offsets.to_numpy()
+        coded = words.values.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.learn(distinct)
+        ids = pa.array(list(map(self.__getitem__, distinct)), pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
+        data = ids.buffers()[2]
+        return memoryview(data if data is not None else b""), at[ends].tolist()
 
 
 def token_pieces(
@@ -124,10 +166,9 @@ def token_pieces(
 
         def work(columns: list[pa.Array]) -> list[pa.Array]:
             out = []
-            texts = [(text or b"").split() for text in columns[0].to_pylist()]
-            known.learn(set().union(*texts))
-            for words in texts:
-                ids = b"".join(map(known.__getitem__, words)) + closing
+            packed, ends = known.of_texts(columns[0])
+            for start, end in zip(ends, ends[1:]):
+                ids = bytes(packed[start:end]) + closing
                 n, view = len(ids) // 4, memoryview(ids)
                 out.append(
                     [

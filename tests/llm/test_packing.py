@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -69,6 +70,46 @@ def test_word_ids_equal_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == model.encode(t, add_special_tokens=False).ids, t
 
 
+def test_letters_and_marks_are_encoded_apart(monkeypatch):
+    model = Tokenizer.from_file(PATH)
+    ids = WordIds(model)
+    whole = []
+    encode = ids.encode
+    monkeypatch.setattr(ids, "encode", lambda text: whole.append(text) or encode(text))
+    words = ["planet", "Planet!!", "PLANET,%%%", "Été$$$", "ÀÞßÿ", "ny(", "it's", "a.b", "x2", "Σας.", "...", "naı̈ve", "e\u0301t", "×÷"]
+    ids.learn([w.encode() for w in words])
+    for w in words:
+        assert np.frombuffer(ids[w.encode()], "<u4").tolist() == model.encode(w, add_special_tokens=False).ids, w
+    assert not {b"planet", b"Planet!!", b"PLANET,%%%", "Été$$$".encode()} & set(whole)
+    assert {b"planet", "été".encode()} <= set(ids.roots)
+
+
+def test_ids_of_a_batch_of_texts(monkeypatch):
+    model = Tokenizer.from_file(PATH)
+    monkeypatch.setattr("tabloom.llm.packing.CACHED_WORDS", 40)  # the cache starts anew within the texts
+    monkeypatch.setattr("tabloom.llm.packing.CACHED_ROOTS", 30)
+    ids, rng = WordIds(model), random.Random(3)
+    alphabet = "abcdeéÉßАя中0 1\t\n.,'!%<|>\u0301\u00a0\x1c"
+    for _ in range(20):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(30)] + [None, "", "  ", "<|endoftext|>!!"]
+        batch = pa.array([None if t is None else t.encode() for t in ["left out", *texts]], pa.binary()).slice(1)
+        packed, ends = ids.of_texts(batch)
+        assert len(ends) == len(texts) + 1
+        for t, start, end in zip(texts, ends, ends[1:]):
+            assert np.frombuffer(packed[start:end], "<u4").tolist() == model.encode(t or "", add_special_tokens=False).ids, t
+    packed, ends = ids.of_texts(pa.array([], pa.binary()))
+    assert (bytes(packed), ends) == (b"", [0])
+
+
+def test_a_vocabulary_without_parts_is_encoded_word_by_word():
+    model = Tokenizer.from_file(PATH)
+    model.normalizer = None  # upper case stays
+    ids, words = WordIds(model), [b"Planet!!", b"planet", "Été".encode()]
+    ids.learn(words)
+    for w in words:
+        assert np.frombuffer(ids[w], "<u4").tolist() == model.encode(w.decode(), add_special_tokens=False).ids
+
+
 def test_documents(spark):
     texts = ["short text", None, "", "word " * 5000, "hot copy of one text"] + [f"row {i} " * (i % 40) for i in range(200)]
     rows = [(i, t, i) for i, t in enumerate(texts)] + [(4, texts[4], 4)] * 300
