@@ -42,6 +42,7 @@ FLAT_CHUNKS = 8  # a table of no more chunks is searched whole, which costs less
 QUERY_ROWS = 10_000  # queries that meet the cells of a region in one task
 CELLS_AT_ONCE = 2_000
 NUMBERS_AT_ONCE = 4_000_000
+MANY_PATTERNS = 64  # of missing coordinates in a chunk: up to here each is a block of its own
 GROUP = 64  # rows of a chunk whose least quick distance is one bound
 TILE_ROWS, TILE_NUMBERS = 4096, 16_384  # of a quick distance that is summed up coordinate by coordinate: they stay in the cache
 LARGEST = 1e30  # beyond this, squares or single precision may overflow
@@ -117,10 +118,17 @@ class Screen:
         if self.products:
             there = ~np.isnan(x)
             self.middle = np.where(there, x, 0.0).sum(0) / np.maximum(there.sum(0), 1)
-            self.there = there.astype(float) if metric.masked and not there.all() else None
+            if metric.masked and not there.all():
+                # rows that lack the same coordinates lie behind one another
+                patterns, of = np.unique(there, axis=0, return_inverse=True)
+                order = np.argsort(of.ravel(), kind="stable")
+                self.usable, x, there = self.usable[order], x[order], there[order]
+                self.patterns, self.starts = patterns.astype(float), np.searchsorted(of.ravel()[order], np.arange(len(patterns)))
+            self.lacking = np.flatnonzero(~there.all(0)) if metric.masked else np.zeros(0, int)
             self.x = np.where(there, x - self.middle, 0.0)
-            self.squares = np.square(self.x)
-            self.norms = self.squares.sum(1)
+            self.norms = np.square(self.x).sum(1)
+            if metric.masked:
+                self.squares, self.gone = np.square(self.x), (~there[:, self.lacking]).astype(float)
         elif self.sums:
             self.middle = x.mean(0) if len(x) else np.zeros(t.shape[1])
             centred = x - self.middle
@@ -143,16 +151,26 @@ class Screen:
         top = np.square(x).sum(1) + self.norms.max(initial=0.0)
         slack = 8 * (d + 8) * ROUNDING * top
         value = x @ (-2.0 * self.x.T)
-        if not self.metric.masked or (mine.all() and self.there is None):
-            value += np.square(x).sum(1)[:, None]
-            value += self.norms
+        value += np.square(x).sum(1)[:, None]
+        value += self.norms
+        if not self.metric.masked or (mine.all() and not len(self.lacking)):
             return value, slack
-        there = np.ones_like(self.x) if self.there is None else self.there
-        value += np.square(x) @ there.T
-        value += mine.astype(float) @ self.squares.T
-        shared = mine.astype(float) @ there.T
+        # the squares that only one side has are taken off again: few coordinates are lacking on either side
+        mute = np.flatnonzero(~mine.all(0))
+        one_sided = [np.square(x[:, self.lacking]), (~mine[:, mute]).astype(float)], [self.gone, self.squares[:, mute]]
+        value -= np.concatenate(one_sided[0], axis=1) @ np.concatenate(one_sided[1], axis=1).T
+        patterns = self.patterns if len(self.lacking) else np.ones((1, d))
+        starts = self.starts if len(self.lacking) else np.zeros(1, int)
+        shared = mine.astype(float) @ patterns.T
         with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(shared > 0, value * (d / shared), np.inf)
+            if len(patterns) <= MANY_PATTERNS:
+                for c, start, end in zip(range(len(patterns)), starts, [*starts[1:], len(self.x)]):
+                    part = value[:, start:end]
+                    part *= (d / shared[:, c])[:, None]
+                    part[shared[:, c] == 0] = np.inf
+            else:
+                shared = np.repeat(shared, np.diff([*starts, len(self.x)]), axis=1)
+                value = np.where(shared > 0, value * (d / shared), np.inf)
         return value, slack * d
 
     def _summed(self, q: np.ndarray) -> np.ndarray:

@@ -238,3 +238,30 @@ def test_few_rows_of_a_chunk_are_measured_and_the_nearest_are_among_them(rng, me
         mine = i == r
         got = sorted((a, b) for a, b in zip(dist[mine], j[mine]) if np.isfinite(a))[:5]
         assert got == sorted((a, b) for b, a in enumerate(whole[r]) if np.isfinite(a))[:5]
+
+
+@pytest.mark.parametrize("kinds", [0, 1, 5, 300])
+def test_quick_distances_over_gaps_stay_within_their_bound(kinds):
+    rng = np.random.default_rng(kinds)
+    metric = Metric("nan_euclidean")
+    t, q = rng.normal(50, 3, (400, 9)), rng.normal(50, 3, (40, 9))
+    if kinds:
+        masks = rng.random((kinds, 9)) < 0.4
+        t[masks[rng.integers(0, kinds, len(t))]] = np.nan
+    q[:30][rng.random((30, 9)) < 0.3] = np.nan
+    q[0], t[0, 0] = np.nan, np.inf
+    screen = Screen(metric, t)
+    assert set(screen.usable) == set(range(1, 400))
+    # rows that lack the same coordinates are one block each, so that a distance takes one product and thin ones
+    assert len(screen.lacking) == np.isnan(t[1:]).any(0).sum()
+    value, slack = screen.quick(q)
+    want = metric.pairwise(q, t[screen.usable]) ** 2
+    assert (np.isinf(value) == np.isinf(want)).all()
+    there = np.isfinite(want)
+    assert (np.abs(value - want)[there] <= np.broadcast_to(slack[:, None], want.shape)[there]).all()
+    need, here = np.where(np.arange(40) % 2, 3, -1), ~np.isnan(t)
+    i, j = screen.near(q, 4, need, here)
+    for a in range(40):
+        far = np.where(here[:, 3] if need[a] >= 0 else True, metric.pairwise(q[a : a + 1], t)[0], np.inf)
+        far[0] = np.inf
+        assert set(np.flatnonzero(far < np.sort(far)[4])) <= set(j[i == a])
