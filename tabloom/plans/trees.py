@@ -373,6 +373,8 @@ def fit_trees(data: DataFrame, label: str, rules: Rules, trees: int = 1, bins: i
                         total[t][k] += np.bincount(cell, np.tile(stats[:, k], d), len(total[t][k]))
             for t, ks in wanted.items():
                 used = np.flatnonzero(total[t][0])
+                if not len(used):  # a task may hold no row of these nodes, and Arrow knows no empty column of arrays
+                    continue
                 node, rest = np.divmod(used, d * top)
                 yield pd.DataFrame({"tree": t, "node": np.array(ks)[node], "cell": rest, "stats": list(total[t][:, used].T)})
 

@@ -130,3 +130,15 @@ def test_leaves_that_a_rule_of_depth_makes_need_no_pass_of_their_own(spark, monk
     assert len(levels) == 3  # one per level of cuts, none for the leaves
     assert np.allclose(here.outputs(x), spread.outputs(x))
     assert sorted(here.rows[0][here.feature[0] < 0]) == sorted(spread.rows[0][spread.feature[0] < 0])
+
+
+def test_tasks_without_rows_take_part_in_no_level(spark):
+    """Files of few large parts leave most tasks of a scan empty, and the rows of a deep node lie in a few."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(400, 2)), 1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.2)).astype(float)
+    parts = [[], [(v.tolist(), float(t)) for v, t in zip(x, y)], []]
+    held = spark.sparkContext.parallelize(parts, 3).flatMap(lambda part: part)
+    data = spark.createDataFrame(held, f"x array<double>, {LABEL} double").select(array_to_vector("x").alias(FEATURES), LABEL)
+    rules = Rules("classification", 2, max_depth=4)
+    assert same(nested(fit_trees(data, LABEL, rules, local_rows=50)), brute(x, y, rules))
