@@ -15,7 +15,7 @@ from tabloom.errors import TrainError
 from tabloom.functions import stats
 from tabloom.operators import cluster_metrics, metrics
 from tabloom.operators.profile import drop_sparse_columns
-from tabloom.operators.sampling import SAMPLE_ROWS, folds, sample_cap, train_test_split
+from tabloom.operators.sampling import folds, sample_cap, train_test_split
 from tabloom.plans import linear, registry, trees
 from tabloom.plans.features import FEATURES, feature_columns, fit_features, with_features
 from tabloom.plans.dual import KernelMachine
@@ -361,7 +361,7 @@ def compare_models(
     df: DataFrame,
     target: str | None = None,
     key: Sequence[str] | None = None,
-    rows: int | None = SAMPLE_ROWS,
+    rows: int | None = None,
     names: Sequence[str] | None = None,
     compat: bool = False,
     parallelism: int = 5,
@@ -369,8 +369,8 @@ def compare_models(
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(one row per classifier, ROC curves of a binary target).
 
-    The target is the last column unless named. ``rows`` caps the training part by a
-    random sample, None uses all of it; every held-out row is scored. By default everything is learned from the training
+    The target is the last column unless named. Models learn from the whole training part, unless ``rows`` asks for
+    a random sample of so many; every held-out row is scored. By default everything is learned from the training
     part; ``compat`` fits the feature preparation on all rows, as a quick look would.
     """
     spark = df.sparkSession

@@ -231,6 +231,19 @@ def test_comparison_isolates_failures(lines, monkeypatch):
     assert board.count() == 4 and board.where("is_best").count() == 1
 
 
+def test_comparison_learns_from_every_training_row(spark, monkeypatch):
+    df = spark.range(14_000).selectExpr("id", "cast(id % 97 as double) AS a", "CASE WHEN id % 97 > 40 THEN 'x' ELSE 'y' END AS c")
+    learned = []
+
+    def counted(algorithm, task, data, *rest):
+        learned.append(data.count())
+        raise ValueError("enough")
+
+    monkeypatch.setattr(training, "fit_estimator", counted)
+    training.compare_models(df, "c", ["id"], names=["Decision Tree"])
+    assert learned == [training.train_test_split(df, key=["id"])[0].count()] and learned[0] > 10_000
+
+
 def test_wide_frames_are_planned_without_derived_facts(spark, rng, monkeypatch):
     """A frame too large to be cached, with dozens of columns: its plans must not fill the driver."""
     from tabloom import session
