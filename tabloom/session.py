@@ -125,8 +125,13 @@ COPY_BYTES = 4 * 1024 * 1024  # of the estimate per partition of such a copy
 @contextmanager
 def working_copy(df: DataFrame) -> Iterator[DataFrame]:
     """A small input spread over all cores and cached for the passes of a fit, in more partitions the more
-    there is of it; a large one as it is, to be scanned again with only the needed columns."""
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    there is of it; a large one as it is, to be scanned again with only the needed columns. What is joined from
+    several tables says little about its size beforehand and would be joined anew by every pass: it is written first."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    estimate = int(plan.stats().sizeInBytes())
+    if estimate > SMALL_INPUT_BYTES and plan.collectLeaves().size() > 1 and not any(f.dataType.typeName() == "void" for f in df.schema.fields):
+        df = stored(df, "input")
+        estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if estimate > SMALL_INPUT_BYTES:
         yield df
         return

@@ -197,3 +197,37 @@ def test_kernel_matrices_are_held_in_blocks(spark, monkeypatch):
     got = dual._adding(seen, points, coefs).func(pd.Series(list(x)), pd.Series([np.ones(2)] * 500))
     assert np.allclose(np.stack(got), of(x, points) @ coefs + 1.0)
     assert max(held) <= 3000
+
+
+def test_start_from_few_coordinates_reaches_the_optimum(spark, rng, monkeypatch):
+    """Near-copies of rows make single steps creep; the barrier's start leaves next to nothing to do."""
+    monkeypatch.setattr(dual, "STARTED", 50)
+    of, taken = dual.Kernel("rbf", 0.2), []
+    begin = dual.started
+    monkeypatch.setattr(dual, "started", lambda *given: (taken.append(len(given[1].points)), begin(*given))[1])
+    x, y = points(rng, 120)
+    x = np.vstack([x, x + 1e-4])
+    y = np.append(y, y)
+    k, c, p = of(x, x), np.full(len(y), 2.0), -np.ones(len(y))
+    want, _ = dual.solve(of, x, y, c, np.zeros(len(y)), p, 1e-6)
+    rows = [(i, v.tolist(), float(t), -1.0, 2.0) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y double, p double, c double").repartition(3)
+    vectors, b = dual.fit_dual(df, of, 300)
+    a = np.zeros(len(y))
+    for r in vectors.collect():
+        a[r["id"]] = r["coef"] * y[r["id"]]
+    assert taken and taken[0] < 200
+    assert objective(k, y, p, a) == pytest.approx(objective(k, y, p, want), rel=1e-5) and abs(y @ a) < 1e-7
+    margin = k @ (a * y) + b
+    assert (y[a == 0] * margin[a == 0] > 1 - 5e-3).all() and (y[a >= 2] * margin[a >= 2] < 1 + 5e-3).all()
+    assert np.abs(y * margin - 1)[(a > 0) & (a < 2)].max(initial=0) < 5e-3
+
+
+def test_parts_of_a_problem_reach_its_optimum(rng):
+    x, y = points(rng, 400)
+    of, c, p = dual.Kernel("rbf", 0.5), np.full(400, 2.0), -np.ones(400)
+    want, _ = dual.solve(of, x, y, c, np.zeros(400), p)
+    got, grad = dual.solve_by_parts(of, x, y, c, p, 40)
+    k = of(x, x)
+    assert objective(k, y, p, got) == pytest.approx(objective(k, y, p, want), rel=1e-4) and abs(y @ got) < 1e-9
+    np.testing.assert_allclose(grad, p + y * (k @ (y * got)), atol=1e-8)

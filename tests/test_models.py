@@ -300,3 +300,17 @@ def test_a_working_copy_has_more_partitions_the_larger_it_is(spark, monkeypatch)
     monkeypatch.setattr(session, "COPY_BYTES", 10_000)
     with session.working_copy(df) as kept:
         assert kept.rdd.getNumPartitions() == 40 and kept.count() == 50_000
+
+
+def test_joined_inputs_are_joined_once(spark, monkeypatch):
+    """The estimate of a join is far above its size, and every pass of a fit would join again."""
+    from tabloom import session
+
+    monkeypatch.setattr(session, "SMALL_INPUT_BYTES", 1000)
+    left = spark.range(400).selectExpr("id AS k", "cast(id % 17 as double) AS a")
+    df = left.join(spark.range(400).selectExpr("id AS k", "cast(id % 17 + id % 3 as double) AS y"), "k")
+    with session.working_copy(df) as kept:
+        assert kept._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+        assert sorted(kept.collect()) == sorted(df.collect())
+    with session.working_copy(left.repartition(2)) as kept:  # one table is scanned as it is
+        assert "parquet" not in kept._jdf.queryExecution().optimizedPlan().toString().lower()
