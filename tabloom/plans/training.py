@@ -319,7 +319,7 @@ def _tune(clean, algorithm, task, target, candidates, key, k, parallelism, seed)
             for i, p in enumerate(params):
                 for f in range(k):
                     weights = linear.solved(algorithm, p, sum(t for g, t in totals.items() if g != f), shift)
-                    found[i * k + f] = linear.explained(weights, totals[f], shift)
+                    found[i * k + f] = float(linear.explained(weights, totals[f], shift))
         else:
             with ThreadPoolExecutor(max_workers=parallelism) as pool:
                 for (members, f), values in zip(jobs, pool.map(work, jobs)):
